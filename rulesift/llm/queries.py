@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rulesift.llm import decontamination, language_id, media, quality, simhash, substring, toxicity, url_filter
+from rulesift.llm import brown, decontamination, language_id, media, pieces, quality, simhash, substring, toxicity, url_filter
 from rulesift.llm.common import table
 
 
@@ -14,6 +14,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.tokenize(table(spark, sf_dir, "documents"))
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.judge(table(spark, sf_dir, "documents"))
+
+
 #: The rules that the url query judges by (host, path, verdict).
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -46,7 +54,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op4_url_filter, op5_media, op6_simhash, op7_substring, op8_decontamination, op9_toxicity, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_lm_scoring, op4_url_filter, op5_media, op6_simhash, op7_substring, op8_decontamination, op9_toxicity, op10_quality)}
 
 _OP4 = """
 WITH parts AS (
