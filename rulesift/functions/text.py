@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space of scripts that also know the byte-order mark: Unicode's, and U+FEFF.
 SPACE = r"[\s\x{FEFF}]"
@@ -14,7 +15,7 @@ _WORD = r"[\p{L}\p{N}]+"
 _ASTRAL = r"[\x{10000}-\x{10FFFF}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode compatibility composition; null stays null."""
     return texts.map(lambda x: None if x is None else x if x.isascii() else unicodedata.normalize("NFKC", x))
@@ -117,9 +118,9 @@ def occurrence_starts(text: Column, span: Column) -> Column:
     return F.when(F.length(span) > 0, seen).otherwise(F.array().cast("array<int>"))
 
 
-def snippet(text: Column, query: Column, query_tokens: Column, around: int = 120, compose: bool = True) -> Column:
-    """Up to ``around`` code points on either side of the first token (of the text as it is, else of its search form)."""
-    lowered, folded = F.lower(text), normalize_search(text, compose)
+def snippet(text: Column, folded: Column, query: Column, query_tokens: Column, around: int = 120) -> Column:
+    """Up to ``around`` code points on either side of the first token (of the text as it is, else of its search form ``folded``)."""
+    lowered = F.lower(text)
     first = F.array_min(F.transform(query_tokens, lambda t: F.when(F.instr(lowered, t) > 0, F.instr(lowered, t) - 1)))
     other = F.array_min(F.concat(F.array(index_of(folded, query)), F.transform(query_tokens, lambda t: F.when(F.instr(folded, t) > 0, F.instr(folded, t) - 1))))
     at = F.least(F.coalesce(first, other, F.lit(0)), F.length(text))

@@ -6,6 +6,8 @@ conflict, sorted and judged with array functions. Validation of a table needs no
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,14 +17,14 @@ from rulesift.operators import decide
 from rulesift.operators.scan import scan_array
 from rulesift.plans.rulepack import Rule, RulePack
 
-FINDINGS = f"array<{S.struct(S.FINDING).simpleString()}>"
+FINDINGS = f"array<{S.nested(S.FINDING)}>"
 CONFLICT = "SOURCE-RULE-CONFLICT"
 SPECIFIC_NAME = "OFFICIAL-SPECIFIC-NAME"
 
 
 def evidence_of(pack: RulePack, rule: Rule) -> Column:
     """The excerpts that a rule cites, as a literal in the rule's order; an official rule without any is an error of the pack."""
-    kind = f"array<{S.struct(S.EVIDENCE_SUMMARY).simpleString()}>"
+    kind = f"array<{S.nested(S.EVIDENCE_SUMMARY)}>"
     if rule.editorial:
         return F.array().cast(kind)
     if not rule.evidence or any(e not in pack.evidence_of for e in rule.evidence):
@@ -165,11 +167,11 @@ def context_status(found: Column, needs: Column) -> Column:
 
 def severity(status: Column, order: tuple[str, ...]) -> Column:
     """Place in an order from mild to severe, to be taken the maximum of."""
-    return F.array_position(F.array(*map(F.lit, order)), status).cast("int")
+    return reduce(lambda out, x: F.when(status == x[1], x[0]).otherwise(out), enumerate(order, 1), F.lit(None).cast("int"))
 
 
 def by_severity(place: Column, order: tuple[str, ...]) -> Column:
-    return F.element_at(F.array(*map(F.lit, order)), place)
+    return reduce(lambda out, x: F.when(place == x[0], x[1]).otherwise(out), enumerate(order, 1), F.lit(None).cast("string"))
 
 
 def overall_status(content: Column, context: Column) -> Column:
@@ -190,10 +192,9 @@ def validate(entries: DataFrame, pack: RulePack, institutions: tuple[str, ...] =
     an error has null statuses. Names are compared as they are (texts in NFKC).
     """
     have = set(entries.columns)
-    blank = {"provenance": S.PROVENANCE, "activityContext": S.ACTIVITY, "volunteerContext": S.VOLUNTEER, "grade": "x int", "curriculum": "x string", "profile": "x string"}
-    for name, ddl in blank.items():
+    optional = {"provenance": S.nested(S.PROVENANCE), "activityContext": S.nested(S.ACTIVITY), "volunteerContext": S.nested(S.VOLUNTEER), "grade": "int", "curriculum": "string", "profile": "string"}
+    for name, kind in optional.items():
         if name not in have:
-            kind = S.struct(ddl).simpleString() if name[0] != "x" and not ddl.startswith("x ") else ddl[2:]
             entries = entries.withColumn(name, F.lit(None).cast(kind))
     checked = entries.withColumn("error", decide.shape_error(pack)).withColumn("profile", F.coalesce("profile", F.lit(pack.default_profile)))
     field, text = F.col("field"), F.col("text")
