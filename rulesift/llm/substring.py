@@ -4,11 +4,13 @@ A window is ``WINDOW`` consecutive words of one document. Every word is removed
 also start anywhere else, in the same document too. Whole texts are judged, and all windows on the input.
 
 1. Phrases. Each window's ``PHRASE``-word runs have an order by hash; the window's phrase is its first run in that
-   order. Equal windows have equal phrases. A word is written as one of 63488 letters, so a phrase is eight letters, two
+   order. Equal windows have equal phrases. A word is written as one of 65536 letters, so a phrase is eight letters, two
    longs. Phrases are counted over the corpus; those that occur once can't lie in a repeated window.
 2. Automata. Documents are dealt into shards. The recurring phrases of a shard are compiled into an Aho-Corasick
-   automaton, the shard's documents, written as letters, are streamed through it, and it locates every occurrence of the
-   phrases. Windows whose phrase was located are candidates; the rest are settled.
+   automaton, the shard's documents are streamed through it, and it locates every occurrence of the phrases. Windows
+   whose phrase was located are candidates; the rest are settled. The automaton looks for a node's child in a list, so a
+   letter is spelled as four signs of 16 each, different ones for each of the four places: no node has over 16 children,
+   and matches begin at words.
 3. Confirmation. Candidate windows are counted by a 64-bit hash of all their words over the corpus (each once for each
    shard, with its number). Those that start at least twice are confirmed.
 4. Removal. Documents with candidates are streamed again past their shard's confirmed windows, and covered words go.
@@ -48,6 +50,7 @@ SHARDS = 3
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
+_SHIFTS, _PLACES = np.array([12, 8, 4, 0], np.uint16), np.array([0, 16, 32, 48], np.uint16)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -55,10 +58,13 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def letters(hashes: np.ndarray) -> np.ndarray:
-    """A code point of the basic plane for each word, surrogates left out."""
-    x = ((hashes >> np.uint64(32)) % np.uint64(63488)).astype(np.uint16)
-    x[x >= 0xD800] += np.uint16(0x800)
-    return x
+    """One of 65536 letters for each word."""
+    return (hashes >> np.uint64(32)).astype(np.uint16)
+
+
+def spelled(letter: np.ndarray) -> str:
+    """Four signs for each letter, for the automaton."""
+    return (((letter[:, None] >> _SHIFTS) & np.uint16(15)) + _PLACES).astype(np.uint8).tobytes().decode("latin-1")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -121,9 +127,9 @@ def compile_phrases(codes: np.ndarray) -> ahocorasick.Automaton | None:
     if not len(codes):
         return None
     automaton = ahocorasick.Automaton()
-    data = np.ascontiguousarray(codes).tobytes()
-    for i in range(0, len(data), 2 * PHRASE):
-        automaton.add_word(data[i : i + 2 * PHRASE].decode("utf-16-le"), 1)
+    signs = spelled(np.ascontiguousarray(codes).view(np.uint16).reshape(-1))
+    for i in range(0, len(signs), 4 * PHRASE):
+        automaton.add_word(signs[i : i + 4 * PHRASE], 1)
     automaton.make_automaton()
     return automaton
 
@@ -131,12 +137,12 @@ def compile_phrases(codes: np.ndarray) -> ahocorasick.Automaton | None:
 def candidates(hashes: np.ndarray, automaton: ahocorasick.Automaton) -> np.ndarray:
     """Starts of the windows whose phrase the automaton locates."""
     letter = letters(hashes)
-    ends = [end for end, _ in automaton.iter(letter.tobytes().decode("utf-16-le"))]
+    ends = [end for end, _ in automaton.iter(spelled(letter))]
     if not ends:
         return np.zeros(0, np.int64)
     order = phrase_order(letter)
     located = np.full(len(order), _LAST)
-    at = np.array(ends) - (PHRASE - 1)
+    at = np.array(ends) // 4 - (PHRASE - 1)
     located[at] = order[at]
     return np.flatnonzero(_sliding(np.minimum, located, RUNS) == _sliding(np.minimum, order, RUNS))
 
