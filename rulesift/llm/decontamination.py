@@ -8,7 +8,7 @@ by word, and only equal windows count. An item of fewer words is one window; suc
 words as fingerprint and are met by runs of that length.
 
 Spread: a document is turned into positions inside one generated stage and looked up in the benchmark's fingerprints
-there, so only hits leave the scan. The benchmark's fingerprints are broadcast if their size, which is counted first, is
+there, so only hits, and a row for each document, leave the scan. The benchmark's fingerprints are broadcast if their size, which is counted first, is
 within ``BROADCAST_ROWS``; beyond that the join shuffles both sides, the documents' fingerprints made distinct in each
 document first. Hits are gathered by document.
 
@@ -61,58 +61,71 @@ def _starts(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n))
 
 
-def fingerprints(texts: DataFrame, n: int) -> DataFrame:
-    """The columns of ``texts`` (words, hashes and others), at and fp: a row for each run of n words."""
-    runs = texts.select("*", F.explode_outer(_starts(F.col("words"), n)).alias("at"))  # outer: else the words are made again for a filter on their number
+def fingerprints(texts: DataFrame, n: int, mark: bool = False) -> DataFrame:
+    """The columns of ``texts`` (words, hashes and others), at and fp: a row for each run of n words; with ``mark`` one more for each text, at -1."""
+    starts = _starts(F.col("words"), n)
+    if mark:
+        starts = F.concat(F.array(F.lit(-1)), F.coalesce(starts, F.array().cast("array<int>")))
+    runs = texts.select("*", F.explode_outer(starts).alias("at"))  # outer: else the words are made again for a filter on their number
     at = F.col("at")
-    return runs.withColumn("fp", _fingerprint(F.col("hashes"), at) if n == WINDOW else _gram(F.col("hashes"), at, n))
+    return runs.withColumn("fp", F.when(at >= 0, _fingerprint(F.col("hashes"), at) if n == WINDOW else _gram(F.col("hashes"), at, n)))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """key, item_id, at, n: occurrences of item windows (n words from position ``at``) in ``docs`` (key, text)."""
+def hits(docs: DataFrame, benchmark: DataFrame, mark: bool = False) -> DataFrame:
+    """Columns of ``docs`` (a and b, which name a row, text, and others) but text; item_id, at, n: occurrences of item windows (n words from position ``at``).
+
+    With ``mark`` there is also a row for each document, at -1, with n_words: documents are then read once for both.
+    """
+    names = [c for c in docs.columns if c != "text"]
     items = benchmark.select("item_id", words_of(ascii_lower(F.col("text"))).alias("words")).withColumn("hashes", _word_hashes(F.col("words")))
-    sizes = items.where(F.size("words") > 0).groupBy(F.least(F.size("words"), F.lit(WINDOW)).alias("n")).agg(F.sum(F.greatest(F.size("words") - WINDOW + 1, F.lit(1))).alias("windows")).collect()
-    texts = docs.select("key", words_of(ascii_lower(F.col("text"))).alias("words")).withColumn("hashes", _word_hashes(F.col("words")))
-    found = None
-    for n, windows in sorted((r["n"], r["windows"]) for r in sizes):
+    found = items.where(F.size("words") > 0).groupBy(F.least(F.size("words"), F.lit(WINDOW)).alias("n")).agg(F.sum(F.greatest(F.size("words") - WINDOW + 1, F.lit(1))).alias("windows")).collect()
+    sizes = {WINDOW: 0} | {r["n"]: r["windows"] for r in found}
+    texts = docs.select(*names, words_of(ascii_lower(F.col("text"))).alias("words")).withColumn("hashes", _word_hashes(F.col("words")))
+    out = None
+    for n, windows in sorted(sizes.items(), reverse=True):
+        marked = mark and n == WINDOW
         whole = items if n == WINDOW else items.where(F.size("words") == n)
-        tests = fingerprints(whole, n).select("fp", "item_id", F.slice("words", F.col("at") + 1, n).alias("window"))
-        train = fingerprints(texts, n)
+        tests = fingerprints(whole, n).where("at IS NOT NULL").select("fp", "item_id", F.slice("words", F.col("at") + 1, n).alias("window"))
+        size = F.when(F.col("words").isNull(), 0).otherwise(F.size("words")).cast("long") if marked else F.lit(None).cast("long")
+        same = F.slice("words", F.col("at") + 1, n) == F.col("window")
         if windows <= BROADCAST_ROWS:
-            met = train.join(F.broadcast(tests), "fp").select("key", "item_id", "at", "words", "window")
+            met = fingerprints(texts, n, marked).join(F.broadcast(tests), "fp", "left" if marked else "inner")
+            own = met.where((F.col("at") == -1) | same if marked else same).select(*names, "item_id", "at", F.lit(n).alias("n"), size.alias("n_words"))
         else:
-            places = train.select("key", "fp").distinct()  # before the shuffle: a fingerprint once for each document
-            shared = places.join(tests, "fp").groupBy("key").agg(F.collect_set(F.struct("fp", "item_id", "window")).alias("tests"))
-            met = train.select("key", "words", "at", "fp").join(shared, "key").select("key", "words", "at", "fp", F.explode("tests").alias("test")).where("fp = test.fp").select("key", "test.item_id", "at", "words", "test.window")
-        own = met.where(F.slice("words", F.col("at") + 1, n) == F.col("window")).select("key", "item_id", "at", F.lit(n).alias("n"))
-        found = own if found is None else found.unionByName(own)
-    return found if found is not None else texts.select("key", F.lit(None).cast(dict(benchmark.dtypes)["item_id"]).alias("item_id"), F.lit(0).alias("at"), F.lit(0).alias("n")).where(F.lit(False))
-
-
-def row_key() -> Column:
-    """Names a row by id and text, so that rows that share an id but not a text stay apart."""
-    return F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"))
+            # Only hashes are shuffled, a fingerprint once for each document; the texts that share one are met by key after that.
+            places = fingerprints(texts, n).select("a", "b", "fp").where("fp IS NOT NULL").distinct()
+            shared = places.join(tests, "fp").groupBy("a", "b").agg(F.collect_set(F.struct("fp", "item_id", "window")).alias("tests"))
+            again = docs.join(shared, ["a", "b"]).select(*names, "tests", words_of(ascii_lower(F.col("text"))).alias("words")).withColumn("hashes", _word_hashes(F.col("words")))
+            met = fingerprints(again, n).withColumn("window", F.slice("words", F.col("at") + 1, n))
+            met = met.select(*names, "at", F.explode(F.filter("tests", lambda t: (t["fp"] == F.col("fp")) & (t["window"] == F.col("window")))).alias("test"))
+            own = met.select(*names, "test.item_id", "at", F.lit(n).alias("n"), F.lit(None).cast("long").alias("n_words"))
+            if marked:
+                own = own.unionByName(texts.select(*names, F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(-1).alias("at"), F.lit(n).alias("n"), size.alias("n_words")))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
-def spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """key, n_hit, n_items, items (sorted as text): a row for each row key of ``docs`` with a hit."""
-    found = hits(docs.select(row_key().alias("key"), "text"), benchmark)
-    covered = F.size(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("at", "n")), lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1)))))
-    return found.groupBy("key").agg(covered.alias("n_hit"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items")).withColumn("n_items", F.size("items").cast("long"))
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, a, b, text: two hashes name a row beside its id, so that rows that share an id but not a text stay apart."""
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"), "text")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row."""
-    counted = docs.select("doc_id", row_key().alias("key"), F.when(F.col("text").isNull(), 0).otherwise(F.size(words_of(F.col("text")))).cast("long").alias("n_words"))
-    joined = counted.join(spans(docs, benchmark), "key", "left")
-    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return joined.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
-    )
+    hit = F.col("at") >= 0
+    places = F.collect_set(F.when(hit, F.struct("at", "n")))
+    rolled = hits(keyed(docs), benchmark, mark=True).groupBy("doc_id", "a", "b").agg(
+        F.count_if(F.col("at") == -1).alias("rows"), F.max("n_words").alias("n_words"), places.alias("places"), F.array_sort(F.collect_set(F.when(hit, F.col("item_id").cast("string")))).alias("items")
+    )
+    covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1))))).cast("long")
+    each = rolled.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))  # repeated rows get a row each
+    return each.select(
+        "doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("places") > 0).alias("contaminated")
+    )
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pipeline stage: rows without a hit, with their columns as they were."""
-    dirty = spans(docs, benchmark).select("key")
-    return docs.withColumn("__row_key", row_key()).join(dirty, F.col("__row_key") == F.col("key"), "left_anti").select(*[f"`{x}`" for x in docs.columns])
+    dirty = hits(keyed(docs).drop("doc_id"), benchmark).select(F.col("a").alias("__a"), F.col("b").alias("__b")).distinct()
+    own = (F.xxhash64("doc_id", "text") == F.col("__a")) & (F.xxhash64("text", F.lit(1)) == F.col("__b"))
+    return docs.join(dirty, own, "left_anti").select(*[f"`{x}`" for x in docs.columns])
