@@ -10,34 +10,36 @@ from rulesift.operators.integrity import BundleError, dangling
 from rulesift.sources.extract import CIRCLED
 
 
-def _number(text: Column, n: int) -> Column:
-    digits = F.nullif(F.regexp_extract(text, r"(\d+)", 1), F.lit(""))
-    return F.when(digits.isNotNull(), pad_start(digits, n))
+# How passages of the known sources are called.
+GUIDE_LABEL, STATUTE_LABEL = "2026 초등 기재요령", "교육부훈령 제555호"
+
+
+def _digits(text: Column) -> Column:
+    return F.nullif(F.regexp_extract(text, r"(\d+)", 1), F.lit(""))
 
 
 def chunk_id(source_id: Column, locator: Column) -> Column:
-    """Id of a passage by where it stands: page, article (with branch and paragraph), addendum, unit."""
-    article = locator["article"]
-    branch = F.nullif(F.regexp_extract(article, r"\d+조?의(\d+)", 1), F.lit(""))
-    slug = F.concat(
-        F.lit(":article-"), F.coalesce(_number(article, 2), F.lit("00")), F.coalesce(F.concat(F.lit("-"), branch), F.lit("")),
-        F.coalesce(F.concat(F.lit("-p"), _number(locator["paragraph"], 2)), F.lit("")),
-    )
-    addendum = F.concat(F.lit(":addendum-"), F.coalesce(F.nullif(F.regexp_extract(article, r"(\d+)", 1), F.lit("")), F.lit("1")))
+    """Id of a passage by where it stands: page, article (with branch and paragraph), addendum, unit. Articles of another form are an error."""
+    article, paragraph = locator["article"], locator["paragraph"]
+    form = r"^제(\d+)조(?:의(\d+))?$"
+    branch = F.nullif(F.regexp_extract(article, form, 2), F.lit(""))
+    slug = F.concat(F.lit(":article-"), pad_start(F.regexp_extract(article, form, 1), 2), F.coalesce(F.concat(F.lit("-"), branch), F.lit("")), F.coalesce(F.concat(F.lit("-p"), pad_start(_digits(paragraph), 2)), F.lit("")))
+    addendum = F.concat(F.lit(":addendum"), F.coalesce(F.concat(F.lit("-"), F.nullif(F.regexp_extract(paragraph, r"제(\d+)호", 1), F.lit(""))), F.lit("")))
     place = (
         F.when(locator["kind"] == "pdf-page", F.concat(F.lit(":pdf-"), pad_start(locator["pdfPage"].cast("string"), 3)))
-        .when((locator["kind"] == "article") & article.startswith("부칙"), addendum)
-        .when(locator["kind"] == "article", slug)
-        .otherwise(F.concat(F.lit(":unit-"), pad_start(locator["unitIndex"].cast("string"), 4)))
+        .when((locator["kind"] == "article") & (article == "부칙"), addendum)
+        .when((locator["kind"] == "article") & article.rlike(form), slug)
+        .when(locator["kind"] == "appendix", F.concat(F.lit(":unit-"), pad_start(locator["unitIndex"].cast("string"), 4)))
+        .otherwise(F.raise_error(F.lit("unsupported locator")))
     )
     return F.concat(source_id, place)
 
 
-def locator_label(title: Column, locator: Column) -> Column:
-    page = F.concat(title, F.coalesce(F.concat(F.lit(" 인쇄 "), locator["printedPage"].cast("string"), F.lit("쪽")), F.lit("")), F.lit(" (PDF "), locator["pdfPage"].cast("string"), F.lit("쪽)"))
-    head = F.when(locator["article"].rlike(r"^\d+$"), F.concat(F.lit("제"), locator["article"], F.lit("조"))).otherwise(locator["article"])
-    article = F.concat(title, F.lit(" "), head, F.coalesce(F.concat(F.lit(" 제"), locator["paragraph"], F.lit("항")), F.lit("")))
-    unit = F.concat(title, F.lit(" 별지 "), locator["appendix"].cast("string"), F.lit("-"), locator["unitIndex"].cast("string"))
+def locator_label(locator: Column, guide: str = GUIDE_LABEL, statute: str = STATUTE_LABEL) -> Column:
+    pdf = F.concat(F.lit("PDF "), locator["pdfPage"].cast("string"), F.lit("쪽"))
+    page = F.when(locator["printedPage"].isNull(), F.concat(F.lit(f"{guide} "), pdf)).otherwise(F.concat(F.lit(f"{guide} 인쇄 "), locator["printedPage"].cast("string"), F.lit("쪽 ("), pdf, F.lit(")")))
+    article = F.concat(F.lit(f"{statute} "), locator["article"], F.coalesce(F.concat(F.lit("제"), F.coalesce(_digits(locator["paragraph"]), locator["paragraph"]), F.lit("항")), F.lit("")))
+    unit = F.concat(F.lit(f"{statute} 별표 "), locator["appendix"].cast("string"), F.lit(", 단위 "), locator["unitIndex"].cast("string"))
     return F.when(locator["kind"] == "pdf-page", page).when(locator["kind"] == "article", article).otherwise(unit)
 
 
@@ -59,7 +61,7 @@ def chunks(units: DataFrame, sources: DataFrame) -> DataFrame:
     text = normalize_corpus(F.col("rawText"))
     rows = joined.withColumn("text", text).where("text <> ''")
     return rows.select(
-        chunk_id(F.col("sourceId"), F.col("locator")).alias("id"), "sourceId", "authority", "schoolLevels", "locator", locator_label(F.col("title"), F.col("locator")).alias("locatorLabel"), "headingPath", "text",
+        chunk_id(F.col("sourceId"), F.col("locator")).alias("id"), "sourceId", "authority", "schoolLevels", "locator", locator_label(F.col("locator")).alias("locatorLabel"), "headingPath", "text",
         normalize_search(F.col("text")).alias("searchText"), sha256_upper(F.col("text")).alias("textSha256"),
     )
 

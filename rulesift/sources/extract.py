@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from rulesift.functions.text import normalize_corpus, trim, utf16_length
 
-# Anchors of statute texts.
-FIRST_ARTICLE, LAST_ARTICLE, ADDENDUM = "제1조(목적)", "제22조(재검토기한)", "부칙"
-ARTICLE_HEAD = r"(?m)^\s*제(\d+)조(?:의(\d+))?\(([^)]*)\)"
+# Anchors, headings and the current addendum of statute texts; circled numbers.
+FIRST_ARTICLE, LAST_ARTICLE = "제1조(목적)", "제22조(재검토기한)"
+ARTICLE_HEAD = r"제\d+조(?:의\d+)?(?:[ \t]*\([^\r\n)]*\)|[ \t]*<[ \t]*삭[ \t]*제[ \t]*>)"
+ADDENDUM_HEAD = r"[ \t]*부[ \t]*칙[ \t]*<[ \t]*([^>\r\n]+?)[ \t]*>[ \t]*(?=\r?$)"
+CURRENT_ADDENDUM = "제555호, 2026. 2. 12."
 CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳㉑"
 
 
@@ -134,20 +136,27 @@ def page_headings(text: Column) -> Column:
     return F.filter(F.slice(_lines(text), 1, 2), lambda x: utf16_length(x) <= 120)
 
 
-def statute_units(files: DataFrame) -> DataFrame:
-    """sourceId, article, branch, title, body: articles between the first article and the addendum after the last; missing anchors are an error."""
-    text = F.regexp_replace("text", "\r\n", "\n")
-    first = F.instr(text, FIRST_ARTICLE)
-    last = F.locate(LAST_ARTICLE, text, 1)
-    end = F.when(last > 0, F.expr(f"locate('{ADDENDUM}', regexp_replace(text, '\r\n', '\n'), instr(regexp_replace(text, '\r\n', '\n'), '{LAST_ARTICLE}'))"))
-    checked = F.when((first > 0) & (last > 0) & (end > 0), F.substring(text, first, end - first)).otherwise(F.raise_error(F.lit("statute anchors are missing")))
-    bodies = files.select("sourceId", checked.alias("body"))
-    heads = F.regexp_extract_all("body", F.lit(f"({ARTICLE_HEAD})"), F.lit(1))
-    rests = F.split("body", ARTICLE_HEAD, -1)
-    joined = F.zip_with(heads, F.slice(rests, 2, F.size(rests)), lambda h, r: F.struct(h.alias("head"), r.alias("rest")))
-    rows = bodies.select("sourceId", F.posexplode(joined).alias("k", "x"))
-    part = lambda i: F.regexp_extract("x.head", ARTICLE_HEAD, i)
-    return rows.select("sourceId", (F.col("k") + 1).alias("unitIndex"), part(1).alias("article"), F.nullif(part(2), F.lit("")).alias("branch"), part(3).alias("title"), normalize_corpus(F.concat("x.head", "x.rest")).alias("body"))
+def statute_units(files: DataFrame, addendum: str = CURRENT_ADDENDUM) -> DataFrame:
+    """sourceId, unitIndex, article, paragraph, heading, rawText: articles up to the first addendum after the last article, then the one addendum with the marker.
+
+    An addendum's article is 부칙 and its paragraph the marker. Texts without the first or last article are an error.
+    """
+    text = F.regexp_replace("text", "^\\x{FEFF}", "")
+    first, last = F.instr(text, FIRST_ARTICLE), F.instr(text, LAST_ARTICLE)
+    at_addendum = rf"(?m)(?=^{ADDENDUM_HEAD})"
+    tail = F.element_at(F.split(F.substring(text, last, F.length(text)), at_addendum, -1), 1)
+    body = F.when((first > 0) & (last >= first), F.concat(F.substring(text, first, last - first), tail)).otherwise(F.raise_error(F.lit("statute anchors are missing")))
+    articles = F.filter(F.split(body, rf"(?m)(?=^{ARTICLE_HEAD})", -1), lambda x: x.rlike(f"^{ARTICLE_HEAD}"))
+    addenda = F.filter(F.split(text, at_addendum, -1), lambda x: F.regexp_extract(x, rf"(?m)\A{ADDENDUM_HEAD}", 1) == addendum)
+
+    def unit(x: Column) -> Column:
+        return F.struct(F.regexp_extract(x, r"^(제\d+조(?:의\d+)?)", 1).alias("article"), F.lit(None).cast("string").alias("paragraph"), F.regexp_extract(x, f"^({ARTICLE_HEAD})", 1).alias("heading"), trim(x).alias("rawText"))
+
+    def extra(x: Column) -> Column:
+        return F.struct(F.lit("부칙").alias("article"), F.lit(addendum).alias("paragraph"), F.lit(f"부칙 <{addendum}>").alias("heading"), trim(x).alias("rawText"))
+
+    rows = files.select("sourceId", F.posexplode(F.concat(F.transform(articles, unit), F.transform(F.slice(addenda, 1, 1), extra))).alias("k", "u"))
+    return rows.select("sourceId", (F.col("k") + 1).alias("unitIndex"), "u.*")
 
 
 def circled_paragraphs(units: DataFrame, column: str = "body") -> DataFrame:

@@ -185,9 +185,10 @@ def test_extraction(spark):
     assert extract.hwp5_units(json.dumps(tree)) == [(1, "ab"), (2, "x\ty")]
     files = spark.createDataFrame([("s1", "hwpml", xml), ("s2", "hwp5-json", json.dumps(tree))], "sourceId string, format string, text string")
     assert extract.file_units(files).count() == 4
-    statute = "머리\n제1조(목적) 가\n제2조의3(정의) 나\n① 하나\n② 둘\n제22조(재검토기한) 끝\n부칙\n제1조(시행일) x"
+    statute = "\ufeff머리\n제1조(목적) 가\n제2조의3(정의) 나\n① 하나\n② 둘\n제3조 < 삭 제 >\n제22조(재검토기한) 끝\n 부 칙 <제1호, 2020. 1. 1.>\n제1조(시행일) x\n부칙 <제555호, 2026. 2. 12.>\n이 훈령은 시행한다."
     units = extract.statute_units(spark.createDataFrame([("s", statute)], "sourceId string, text string")).orderBy("unitIndex").collect()
-    assert [(u["article"], u["branch"], u["title"]) for u in units] == [("1", None, "목적"), ("2", "3", "정의"), ("22", None, "재검토기한")]
+    assert [(u["article"], u["paragraph"], u["heading"]) for u in units] == [("제1조", None, "제1조(목적)"), ("제2조의3", None, "제2조의3(정의)"), ("제3조", None, "제3조 < 삭 제 >"), ("제22조", None, "제22조(재검토기한)"), ("부칙", "제555호, 2026. 2. 12.", "부칙 <제555호, 2026. 2. 12.>")]
+    assert units[3]["rawText"] == "제22조(재검토기한) 끝" and units[4]["rawText"].endswith("시행한다.")
     with pytest.raises(Exception, match="anchors"):
         extract.statute_units(spark.createDataFrame([("s", "x")], "sourceId string, text string")).collect()
     parts = extract.circled_paragraphs(spark.createDataFrame([("s", "머리\n① 하나\n② 둘")], "k string, body string")).collect()
@@ -196,10 +197,10 @@ def test_extraction(spark):
 
 def test_corpus(spark, tmp_path):
     src = spark.createDataFrame([("A", "Guide", "primary-guide", "pdf", 80, ["elementary"], 2026, "2026-03-01", None, "f", "a", "a", "0", None, 3), ("B", "Law", "directive-body", "text", 100, ["elementary"], 2026, "2026-03-01", None, "f", "b", "b", "0", None, 1), ("C", "Copy", "verification-copy", "text", 100, ["elementary"], 2026, "2026-03-01", None, "f", "c", "c", "0", None, 1)], S.SOURCES)
-    units = spark.createDataFrame([("A", ("pdf-page", 7, 3, None, None, None, None), ["h"], " text\r\none "), ("B", ("article", None, None, "4", None, None, None), [], "제4조(x)\n① 하나\n② 둘"), ("C", ("article", None, None, "4", None, None, None), [], "copy")], S.UNITS)
+    units = spark.createDataFrame([("A", ("pdf-page", 7, 3, None, None, None, None), ["h"], " text\r\none "), ("B", ("article", None, None, "제4조", None, None, None), [], "제4조(x)\n① 하나\n② 둘"), ("C", ("article", None, None, "제4조", None, None, None), [], "copy")], S.UNITS)
     got = {r["id"]: r for r in chunk.chunks(units, src).collect()}
     assert sorted(got) == ["A:pdf-007", "B:article-04", "B:article-04-p01", "B:article-04-p02"]
-    assert got["A:pdf-007"]["text"] == "text\none" and got["A:pdf-007"]["locatorLabel"] == "Guide 인쇄 3쪽 (PDF 7쪽)" and got["B:article-04-p02"]["locatorLabel"] == "Law 제4조 제2항"
+    assert got["A:pdf-007"]["text"] == "text\none" and got["A:pdf-007"]["locatorLabel"] == "2026 초등 기재요령 인쇄 3쪽 (PDF 7쪽)" and got["B:article-04-p02"]["locatorLabel"] == "교육부훈령 제555호 제4조제2항"
     docs = chunk.documents(units, src)
     assert docs.where("includedInChunks").count() == 2
     with pytest.raises(integrity.BundleError, match="extraction-floor"):
