@@ -1,18 +1,24 @@
 """LM scoring with Brown class-based n-grams.
 
-Tokens are the words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, then one end. Each word belongs to a unit:
-the ``CLUSTERED`` most frequent tokens are units of their own, all others share a unit with the words of the same
-ending. Exchange clustering assigns units to ``CLASSES`` classes so that the likelihood of the corpus' class bigrams
-grows with every exchange. The model then is
+Tokens are the words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, then one end. Every word of the training
+texts has a class of its own choice; the number of classes grows with the vocabulary. Classes are found in two steps:
 
-    P(token | before) = P(class | class before) * P(unit | class) * P(word | unit)
+1. Exchange: the ``CLUSTERED`` most frequent tokens are units of their own, all others share a unit with the words of
+   the same ending. Units move between classes so that the likelihood of the corpus' class bigrams grows every time.
+2. Placing: every word that shared a unit is taken by itself. Its neighbours' classes of step 1 are counted over all
+   training texts, and it goes to the class where these counts raise the likelihood most. This is one shuffle of
+   partial counts by word; words are placed side by side, against the class bigrams of step 1.
 
-with smoothed relative frequencies; the text's first token follows an end. Beside it stands a base, the smoothed
-unigram model.
+Class bigrams are then counted anew over all training texts, with every word's last class. The model is
 
-All counts cover all training texts: word counts are summed in the cluster and never gathered, unit bigrams are at most
-``(CLUSTERED + ENDINGS)^2`` numbers. Workers hold the ``HELD`` most frequent words with their counts; the other words
-of a text meet the full table of counts in a join, and what they add is summed per text.
+    P(token | before) = P(class | class before) * P(word | class)
+
+with smoothed relative frequencies; the text's first token follows an end. Words that training texts don't have belong
+to the class with the most words. Beside it stands a base, the smoothed unigram model.
+
+All counts cover all training texts: word counts are summed in the cluster and never gathered; unit bigrams are at most
+``(CLUSTERED + ENDINGS)^2`` numbers, class bigrams the square of the number of classes. Workers hold the ``HELD`` most
+frequent words with their counts and classes; the other words of a text meet the full table in a join.
 
 Cases: null and empty texts are one end. Without training texts the counts are 0 and all scores follow from smoothing.
 Repeated rows count, and get a row, as often as they occur. Extra columns are ignored.
@@ -24,25 +30,30 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulesift.llm.common import id_remainder, map_pieces, materialize, utf8
+from rulesift.llm.common import id_remainder, map_pieces, materialize, pieces, utf8
 
 #: Units: most frequent tokens (the end included), and endings that the other words are dealt into.
 CLUSTERED, ENDINGS = 1024, 512
+#: Classes of a small vocabulary; a larger one has the cube root of its size.
 CLASSES = 48
 #: Frequent words that each worker holds with their counts.
 HELD = 131_072
 #: Rounds of exchange at most.
 ROUNDS = 12
-#: Smoothing: of words against the base's vocabulary, of class bigrams, of units in a class.
-ALPHA, BIGRAM, UNIT = 0.1, 20.0, 0.5
-#: Distinct words of a worker's partial count.
-PARTIAL = 300_000
+#: Smoothing: of words against the vocabulary or their class, and of class bigrams.
+ALPHA, BIGRAM = 0.1, 20.0
+#: Distinct words of a worker's partial count, neighbours that it counts at once, and bytes of text that it cuts at once for these.
+PARTIAL, NEIGHBOURS, CUT = 300_000, 2_500_000, 2 << 20
+#: Pairs of a word and a neighbour's class that are weighed against all classes at once.
+WEIGHED = 8192
 
 UNITS = CLUSTERED + ENDINGS
 END = 0  # the end's unit
@@ -53,33 +64,34 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 def ending(word: bytes) -> int:
-    """The unit of words that aren't frequent, by their last three bytes."""
+    """The unit that words that aren't frequent begin in, by their last three bytes."""
     return CLUSTERED + zlib.crc32(word[-3:]) % ENDINGS
 
 
+def class_count(vocabulary: int) -> int:
+    return max(CLASSES, round(vocabulary ** (1 / 3)))
+
+
 # --- counts -----------------------------------------------------------------------------------------------------
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of words; the row without a word counts texts."""
+    """Partial counts of words."""
     counts: Counter[bytes] = Counter()
-    texts = 0
 
     def out() -> Iterator[pa.RecordBatch]:
         words = list(counts)
         for at in range(0, len(words), 50_000):
             part = words[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(map(ending, part), pa.int32()), pa.array((counts[w] for w in part), pa.int64())], ["word", "unit", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([counts[w] for w in part], pa.int64())], ["word", "n"])
         counts.clear()
 
     for batch in batches:
         for text in batch.column("text").to_pylist():
             counts.update(tokens(text))
-        texts += batch.num_rows
         if len(counts) > PARTIAL:
             yield from out()
     yield from out()
-    yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([END], pa.int32()), pa.array([texts], pa.int64())], ["word", "unit", "n"])
 
 
 class _Units(dict):
@@ -150,7 +162,8 @@ def exchange(n: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.
             c[:, k] -= q
             c[k, k] -= self_n
             left, right = c.sum(axis=1), c.sum(axis=0)
-            gain = (_phi(c + r) - _phi(c)).sum(axis=1) + (_phi(c + q[:, None]) - _phi(c)).sum(axis=0)
+            after, before = np.flatnonzero(r), np.flatnonzero(q)
+            gain = (_phi(c[:, after] + r[after]) - _phi(c[:, after])).sum(axis=1) + (_phi(c[before] + q[before, None]) - _phi(c[before])).sum(axis=0)
             own = np.diag(c)
             gain += _phi(own + r + q + self_n) - _phi(own + r) - _phi(own + q) + _phi(own)
             gain -= _phi(left + out_u[u]) - _phi(left) + _phi(right + in_u[u]) - _phi(right)
@@ -172,17 +185,140 @@ def exchange(n: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.
     return of
 
 
+# --- placing ----------------------------------------------------------------------------------------------------
+
+_ENTRY = np.dtype([("slot", "<u2"), ("n", "<u4")])
+
+
+class _Numbers(dict):
+    """Numbers of words in the order of their first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def _neighbours(frequent: dict[bytes, int], of: np.ndarray, classes: int):
+    """Partial counts of the classes before and after each word that isn't frequent, packed: slot k is class k before it, slot classes + k class k after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, numbers = _Units(frequent), _Numbers()
+        seen: list[np.ndarray] = [np.zeros(0, np.int64)]
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, counts = np.unique(np.concatenate(seen), return_counts=True)
+            words, own = list(numbers), keys // (2 * classes)
+            numbers.clear()
+            del seen[1:]
+            entries = np.empty(len(keys), _ENTRY)
+            entries["slot"], entries["n"] = keys % (2 * classes), counts
+            ends = np.searchsorted(own, np.arange(len(words) + 1)) * _ENTRY.itemsize
+            for at in range(0, len(words), 50_000):
+                part = words[at : at + 50_000]
+                e = ends[at : at + len(part) + 1]
+                packed = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((e - e[0]).astype(np.int32).tobytes()), pa.py_buffer(entries.view(np.uint8)[e[0] : e[-1]].tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), packed], ["word", "packed"])
+
+        def cut(texts: list[list[bytes]]) -> int:
+            ids = _unit_ids(texts, units)
+            at, c = np.flatnonzero(ids >= CLUSTERED), of[ids]
+            own = np.fromiter((k for t in texts for k in map(numbers.__getitem__, [w for w in t if w not in frequent])), np.int64, len(at)) * (2 * classes)
+            seen.append(np.concatenate((own + c[at - 1], own + classes + c[at + 1])))
+            return 2 * len(at)
+
+        for batch in batches:
+            for part in pieces(batch, most=CUT):
+                size += cut([tokens(t) for t in part.column("text").to_pylist()])
+                if len(numbers) > PARTIAL or size > NEIGHBOURS:
+                    yield from out()
+                    size = 0
+        yield from out()
+
+    return run
+
+
+def best_classes(group: np.ndarray, slot: np.ndarray, n: np.ndarray, own: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's count, and the class where its neighbours raise the likelihood most when it is taken out of its own.
+
+    group, slot, n: counts of neighbours, ordered by word; own: the word's class so far; c: class bigrams with all words
+    in them.
+    """
+    classes = len(c)
+    table = np.concatenate((c, c.T))  # slot -> the bigrams that a word in class k adds to
+    once = _phi(table + 1) - _phi(table)
+    total = np.bincount(group[slot < classes], n[slot < classes], len(own))
+    left, right = c.sum(axis=1), c.sum(axis=0)
+    starts = np.searchsorted(group, np.arange(len(own) + 1))
+    best, at = np.empty(len(own), np.int64), 0
+    while at < len(own):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + WEIGHED, "right")) - 1)
+        e = slice(starts[at], starts[to])
+        s, k, own_k, t = slot[e], n[e].astype(np.float64), own[group[e]], total[at:to]
+        gain = once[s]
+        more = np.flatnonzero(k > 1)
+        gain[more] = _phi(table[s[more]] + k[more, None]) - _phi(table[s[more]])
+        there = table[s, own_k]
+        gain[np.arange(len(s)), own_k] = _phi(there) - _phi(np.maximum(there - k, 0))
+        gain = np.add.reduceat(gain, starts[at:to] - starts[at], axis=0)
+        rows, mine = np.arange(to - at), own[at:to]
+        each, of_each = np.unique(t, return_inverse=True)
+        for side in (left, right):
+            lost = (_phi(side + each[:, None]) - _phi(side))[of_each]
+            lost[rows, mine] = _phi(side[mine]) - _phi(np.maximum(side[mine] - t, 0))
+            gain -= lost
+        gain[rows, mine] += 1e-9
+        gain[:, (left == 0) & (right == 0)] = -np.inf  # all words would go to the same empty class
+        best[at:to] = gain.argmax(axis=1)
+        at = to
+    return total.astype(np.int64), best
+
+
+def _place(of: np.ndarray, c: np.ndarray):
+    """word, n, class from partial counts that are ordered by word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def placed(words: pa.Array, packed: pa.Array, starts: np.ndarray) -> pa.RecordBatch:
+            first = words.take(pa.array(starts[:-1]))
+            sizes = pc.binary_length(packed).to_numpy(zero_copy_only=False) // _ENTRY.itemsize
+            entries = np.frombuffer(b"".join(packed.to_pylist()), _ENTRY)
+            row_group = np.repeat(np.arange(len(first)), np.diff(starts))
+            keys, inverse = np.unique(np.repeat(row_group, sizes) * (2 * len(c)) + entries["slot"], return_inverse=True)
+            n = np.bincount(inverse, entries["n"], len(keys))
+            own = of[np.fromiter(map(ending, first.to_pylist()), np.int64, len(first))]
+            total, best = best_classes(keys // (2 * len(c)), keys % (2 * len(c)), n, own, c)
+            return pa.RecordBatch.from_arrays([first, pa.array(total), pa.array(best.astype(np.int32))], ["word", "n", "class"])
+
+        words = packed = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = batch.column("word") if words is None else pa.concat_arrays([words, batch.column("word")])
+            packed = batch.column("packed") if packed is None else pa.concat_arrays([packed, batch.column("packed")])
+            starts = np.flatnonzero(pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)) + 1
+            if len(starts):  # the last word may go on
+                end = int(starts[-1])
+                yield placed(words.slice(0, end), packed.slice(0, end), np.concatenate(([0], starts)))
+                words, packed = words.slice(end), packed.slice(end)
+        if words is not None:
+            yield placed(words, packed, np.array([0, len(words)]))
+
+    return run
+
+
 # --- model ------------------------------------------------------------------------------------------------------
 
 
 @dataclass
-class Model:
-    held: dict[bytes, int]  # counts of the most frequent words
-    frequent: dict[bytes, int]  # units of clustered words
-    of: np.ndarray  # class of each unit
-    transition: np.ndarray  # log10 P(class | class before)
-    emission: np.ndarray  # log10 P(unit | class)
-    unit_total: np.ndarray  # denominators of P(word | unit) of endings
+class Words:
+    table: DataFrame  # word (binary), n, class: every word of the training texts
+    held: dict[bytes, int]  # numbers of the most frequent words
+    held_class: np.ndarray  # their classes and log10(n + ALPHA); one entry more for words that aren't held
+    held_log: np.ndarray
+    classes: int
+    end_class: int
+    unseen: int  # the class of words that aren't in the table
+    class_total: np.ndarray  # denominators of P(word | class)
     ends: int
     tokens: int
     vocabulary: int
@@ -192,113 +328,158 @@ class Model:
         return self.tokens + ALPHA * (self.vocabulary + 1)
 
 
-@dataclass
-class Trained:
-    model: Model
-    counts: DataFrame  # word (binary), n
-
-
-def fit(texts: DataFrame) -> Trained:
-    """Learn from every row of ``texts`` (text)."""
-    texts = texts.select(utf8())
-    counts = materialize(map_pieces(texts, _word_counts, "word binary, unit int, n long").groupBy("word", "unit").agg(F.sum("n").alias("n")).where("n > 0"), "brown-counts")
-    words = counts.where("word IS NOT NULL")
-    top = words.orderBy(F.desc("n"), "word").limit(HELD).toArrow()  # HELD rows
-    held = dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
-    frequent = {w: i for i, w in enumerate(list(held)[: CLUSTERED - 1], 1)}
-    ends = counts.where("word IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    by_unit = words.groupBy("unit").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # a row for each ending at most
-    n, v = np.zeros(UNITS), np.zeros(UNITS)
-    for r in by_unit:
-        n[r["unit"]], v[r["unit"]] = r["n"], r["v"]
-    total, vocabulary = int(n.sum()) + ends, int(v.sum()) + (1 if ends else 0)
-    for w in frequent:
-        n[ending(w)] -= held[w]
-        v[ending(w)] -= 1
+def learn(texts: DataFrame) -> Words:
+    """The words of every row of ``texts`` (text) with their counts and classes."""
+    spark, texts = texts.sparkSession, texts.select(utf8())
+    counts = materialize(map_pieces(texts, _word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "brown-counts")
+    classes = class_count(counts.count())
+    top = counts.orderBy(F.desc("n"), "word").limit(min(HELD, CLUSTERED - 1)).toArrow()
+    frequent = {w: i for i, w in enumerate(top["word"].to_pylist(), 1)}
 
     pairs = map_pieces(texts, _bigrams(frequent), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # UNITS^2 rows at most
     bigrams = np.zeros(UNITS * UNITS)
     bigrams[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
     bigrams = bigrams.reshape(UNITS, UNITS)
-    of = exchange(bigrams)
-    member = np.zeros((UNITS, CLASSES))
+    ends = int(bigrams[:, END].sum())
+    of = exchange(bigrams, classes)
+    member = np.zeros((UNITS, classes))
     member[np.arange(UNITS), of] = 1
-    c, unit_n = member.T @ bigrams @ member, bigrams.sum(axis=0)
-    class_n = c.sum(axis=0)
-    prior = (class_n + 1) / (class_n.sum() + CLASSES)
-    transition = np.log10((c + BIGRAM * prior) / (c.sum(axis=1, keepdims=True) + BIGRAM))
-    emission = np.log10((unit_n + UNIT) / (class_n + UNIT * member.sum(axis=0))[of])
-    return Trained(Model(held, frequent, of, transition, emission, n + ALPHA * (v + 1), int(ends), total, vocabulary), words.select("word", "n"))
 
+    partial = map_pieces(texts, _neighbours(frequent, of, classes), "word binary, packed binary").repartition("word").sortWithinPartitions("word")
+    placed = partial.mapInArrow(_place(of, member.T @ bigrams @ member), "word binary, n long, class int")
+    first = spark.createDataFrame([(w, n, int(of[i])) for (w, i), n in zip(frequent.items(), top["n"].to_pylist(), strict=True)], "word binary, n long, class int")
+    table = materialize(first.unionByName(placed), "brown-classes")
+    held = table.orderBy(F.desc("n"), "word").limit(HELD).toArrow()  # HELD rows
+    n, v = np.zeros(classes), np.zeros(classes)
+    for r in table.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # a row for each class at most
+        n[r["class"]], v[r["class"]] = r["n"], r["v"]
+    unseen, end_class = int(v.argmax()), int(of[END])
+    n[end_class] += ends
+    v[end_class] += ends > 0
+    logs = np.log10(held["n"].to_numpy() + ALPHA)
+    return Words(
+        table, {w: i for i, w in enumerate(held["word"].to_pylist())}, np.append(held["class"].to_numpy(), 0).astype(np.int32), np.append(logs, 0.0),
+        classes, end_class, unseen, n + ALPHA * (v + 1), ends, int(n.sum()), int(v.sum()),
+    )
 
-def _texts(model):
-    """A row for each text: sums that need no further counts, and its words that aren't held, with their numbers."""
+
+def _codes(shared):
+    """A row for each text: sums over the words that are held, the classes of its words, and the words that aren't held; word j of these has -1 - j for a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        units, held = _Units(m.frequent), m.held
-        base_total, log_units = np.log10(m.base_total), np.log10(np.maximum(m.unit_total, ALPHA))
-        own_base = {w: np.log10(n + ALPHA) for w, n in held.items()}
-        end_base = np.log10(m.ends + ALPHA) - base_total
+        held, held_class, held_log = shared.value
         for batch in batches:
-            base, score, size, known, rare, numbers = [], [], [], [], [], []
+            logs, known, codes, rare = [], [], [], []
             for text in batch.column("text").to_pylist():
                 words = tokens(text)
-                ids = _unit_ids([words], units)
-                classes = m.of[ids]
-                s = m.transition[classes[:-1], classes[1:]].sum() + m.emission[ids[1:]].sum()
-                logs = np.fromiter(map(own_base.get, words, _NONE), np.float64, len(words))
-                there = logs == logs
-                inner = ids[1:-1]
-                shared = inner >= CLUSTERED
-                s += logs[there & shared].sum() - log_units[inner[shared]].sum()
-                base.append(float(logs[there].sum() - base_total * len(words) + end_base))
-                score.append(float(s))
-                size.append(len(words) + 1)
-                found = int(there.sum())
-                known.append(found + (m.ends > 0))
-                others = Counter(w for w, t in zip(words, there.tolist(), strict=True) if not t) if found < len(words) else {}
+                i = np.fromiter(map(held.get, words, repeat(-1)), np.int64, len(words))
+                code, others = held_class[i], _Numbers()
+                at = np.flatnonzero(i < 0)
+                if len(at):
+                    code[at] = [-1 - others[words[k]] for k in at.tolist()]
+                logs.append(float(held_log[i].sum()))
+                known.append(len(words) - len(at))
+                codes.append(code.tobytes())
                 rare.append(list(others))
-                numbers.append(list(others.values()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(base), pa.array(score), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(rare, pa.list_(pa.binary())), pa.array(numbers, pa.list_(pa.int32()))],
-                ["row", "doc_id", "held_out", "base", "score", "n_tokens", "known", "rare", "numbers"],
+                [batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(logs, pa.float64()), pa.array(known, pa.int64()), pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.binary()))],
+                ["row", "doc_id", "held_out", "logs", "known", "codes", "rare"],
             )
 
     return run
 
 
-class _Endless:
-    def __iter__(self):
-        return self
-
-    def __next__(self) -> float:
-        return np.nan
+def _resolve(unseen: int):
+    """The classes of all words, with what the words that aren't held add to the sums."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column("found")
+            js, ns, cs = (found.values.field(k).to_numpy() for k in range(3))
+            ends = found.offsets.to_numpy()
+            logs, known, codes = [], [], []
+            for i, (packed, s, more, size) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("codes", "logs", "known", "n_rare")), strict=True)):
+                code = np.frombuffer(packed, np.int32)
+                if size:
+                    n, of, part = np.zeros(size, np.int64), np.full(size, unseen, np.int32), slice(ends[i], ends[i + 1])
+                    n[js[part]], of[js[part]] = ns[part], cs[part]
+                    at = np.flatnonzero(code < 0)
+                    j = -1 - code[at]
+                    code = code.copy()
+                    code[at] = of[j]
+                    s += float(np.log10(n[j] + ALPHA).sum())
+                    more += int((n[j] > 0).sum())
+                logs.append(s)
+                known.append(more)
+                codes.append(code.astype(np.uint16).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(logs, pa.float64()), pa.array(known, pa.int64()), pa.array(codes, pa.binary())], ["doc_id", "held_out", "logs", "known", "codes"])
 
-_NONE = _Endless()
+    return run
 
 
-def score(docs: DataFrame, trained: Trained) -> DataFrame:
-    """doc_id, held_out (as they are), n_tokens, n_known, train_tokens, base_score, score, perplexity for every row of ``docs``."""
-    m = trained.model
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+def coded(docs: DataFrame, words: Words) -> DataFrame:
+    """doc_id, held_out (as they are), logs (of the words' counts), known, codes (classes of the words) for every row of ``docs``."""
+    spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     named = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", utf8())
-    schema = f"row long, doc_id {id_type}, held_out boolean, base double, score double, n_tokens long, known long, rare array<binary>, numbers array<int>"
-    texts = materialize(map_pieces(named, _texts(docs.sparkSession.sparkContext.broadcast(m)), schema), "brown-texts")
-    rare = texts.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "numbers")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.numbers").alias("k"))
-    n = F.coalesce("n", F.lit(0))
-    added = rare.join(trained.counts, "word", "left").groupBy("row").agg(F.sum(F.col("k") * F.log10(n + F.lit(ALPHA))).alias("logs"), F.sum(F.when(n > 0, F.col("k")).otherwise(0)).alias("more"))
-    logs = F.coalesce("logs", F.lit(0.0))
-    whole = texts.select("row", "doc_id", "held_out", "base", "score", "n_tokens", "known").join(added, "row", "left")
-    return whole.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(m.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + logs).alias("base_score"), (F.col("score") + logs).alias("score"), F.pow(F.lit(10.0), -(F.col("score") + logs) / F.col("n_tokens")).alias("perplexity"),
-    )
+    shared = spark.sparkContext.broadcast((words.held, words.held_class, words.held_log))
+    texts = materialize(map_pieces(named, _codes(shared), f"row long, doc_id {id_type}, held_out boolean, logs double, known long, codes binary, rare array<binary>"), "brown-texts")
+    rare = texts.select("row", F.posexplode("rare").alias("j", "word"))
+    found = rare.join(words.table, "word").groupBy("row").agg(F.collect_list(F.struct("j", "n", "class")).alias("found"))
+    none = F.array().cast("array<struct<j:int,n:bigint,class:int>>")
+    whole = texts.select("row", "doc_id", "held_out", "logs", "known", "codes", F.size("rare").alias("n_rare")).join(found, "row", "left").withColumn("found", F.coalesce("found", none))
+    return materialize(whole.mapInArrow(_resolve(words.unseen), f"doc_id {id_type}, held_out boolean, logs double, known long, codes binary"), "brown-coded")
+
+
+def _class_bigrams(classes: int, end: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            last = np.array([end], np.uint16).tobytes()
+            c = np.frombuffer(last + b"".join([x + last for x in batch.column("codes").to_pylist()]), np.uint16).astype(np.int64)
+            total += np.bincount(c[:-1] * classes + c[1:], minlength=classes * classes)
+        pairs = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs.astype(np.int32)), pa.array(total[pairs])], ["pair", "n"])
+
+    return run
+
+
+def transitions(texts: DataFrame, words: Words) -> np.ndarray:
+    """log10 P(class | class before), of coded texts."""
+    k = words.classes
+    pairs = texts.select("codes").mapInArrow(_class_bigrams(k, words.end_class), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # the square of the classes at most
+    c = np.zeros(k * k)
+    c[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
+    c = c.reshape(k, k)
+    class_n = c.sum(axis=0)
+    prior = (class_n + 1) / (class_n.sum() + k)
+    return np.log10((c + BIGRAM * prior) / (c.sum(axis=1, keepdims=True) + BIGRAM))
+
+
+def score(texts: DataFrame, words: Words, transition: np.ndarray) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for every coded text."""
+    shared = texts.sparkSession.sparkContext.broadcast(transition - np.log10(words.class_total))
+    end, end_log, base_log, ends, train = words.end_class, float(np.log10(words.ends + ALPHA)), float(np.log10(words.base_total)), words.ends > 0, words.tokens
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = shared.value
+        for batch in batches:
+            sums, size = [], []
+            for packed in batch.column("codes").to_pylist():
+                c = np.concatenate(([end], np.frombuffer(packed, np.uint16), [end])).astype(np.int64)
+                sums.append(steps[c[:-1], c[1:]].sum())
+                size.append(len(c) - 1)
+            n, logs = np.array(size, np.int64), batch.column("logs").to_numpy() + end_log
+            s = np.array(sums, np.float64) + logs
+            columns = [n, batch.column("known").to_numpy() + int(ends), np.full(len(n), train, np.int64), logs - base_log * n, s, 10.0 ** (-s / np.maximum(n, 1))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *map(pa.array, columns)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+
+    id_type = texts.schema["doc_id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """Score every row; learn from rows that are not held out."""
     held_out = id_remainder(10) == 0
-    trained = fit(docs.where(~held_out))
-    return score(docs.select("doc_id", held_out.alias("held_out"), "text"), trained)
+    words = learn(docs.where(~held_out))
+    texts = coded(docs.select("doc_id", held_out.alias("held_out"), "text"), words)
+    return score(texts, words, transitions(texts.where("NOT held_out"), words))

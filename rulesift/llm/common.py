@@ -48,17 +48,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Zero-copy slices of a batch holding about PIECE_BYTES of ``column`` each, so that long texts stay bounded."""
+def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Zero-copy slices of a batch holding about ``most`` bytes of ``column`` each, so that long texts stay bounded."""
     if batch.num_rows == 0:
         return
-    if batch.nbytes <= PIECE_BYTES:
+    if batch.nbytes <= most:
         yield batch
         return
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start, size = 0, 0
     for i, n in enumerate(lengths):
-        if size and size + n > PIECE_BYTES:
+        if size and size + n > most:
             yield batch.slice(start, i - start)
             start, size = i, 0
         size += n

@@ -129,6 +129,45 @@ def test_brown(spark, monkeypatch, held):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)  # classes tell the languages apart
 
 
+def test_brown_words_of_one_ending_have_their_own_classes(spark, monkeypatch):
+    monkeypatch.setattr(brown, "HELD", 6)  # frames and the words alpha and beta are frequent, all others have to be placed
+    ids = {out: [i for i in range(1000) if (zlib.crc32(str(i).encode()) % 10 == 0) == out] for out in (True, False)}
+    lines = [f"left left {w} right " * 4 for k in range(90) for w in ("alpha", "alpha", f"x{k % 15}same")] + [f"upper {w} lower lower " * 4 for k in range(90) for w in ("beta", "beta", f"y{k % 15}same")]
+    train = list(zip(ids[False], lines, strict=False))
+    rows = [*train, (ids[True][0], "left left x3same right"), (ids[True][1], "left left y3same right")]
+    got = {r["doc_id"]: r for r in brown.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    fits, odd = got[ids[True][0]], got[ids[True][1]]
+    assert fits["base_score"] == odd["base_score"] and fits["score"] > odd["score"] + 0.5
+    words = brown.learn(spark.createDataFrame(train, "doc_id long, text string"))
+    of = {r["word"].decode(): r["class"] for r in words.table.collect()}
+    assert len(of) == words.vocabulary - 1 == 36 and {of[f"x{k}same"] for k in range(15)} == {of["alpha"]} != {of["beta"]} == {of[f"y{k}same"] for k in range(15)}
+    assert brown.class_count(100) == 48 and brown.class_count(1_000_000) == 100
+
+
+def test_best_classes_follow_the_likelihood():
+    rng = np.random.default_rng(4)
+    c, k = rng.integers(5, 60, (6, 6)).astype(float), 6
+    slot, n, group = np.array([0, 3, 7, 9, 2, 8]), np.array([2, 1, 2, 1, 1, 1]), np.array([0, 0, 0, 0, 1, 1])
+    own, phi = np.array([1, 4]), lambda x: (x * np.log(np.maximum(x, 1))).sum()
+    for s, m, g in zip(slot, n, group, strict=True):
+        c[(s, own[g]) if s < k else (own[g], s - k)] += m
+    total, best = brown.best_classes(group, slot, n, own, c)
+    for g in range(2):
+        gain = []
+        for to in range(k):
+            d = c.copy()
+            for s, m in zip(slot[group == g], n[group == g], strict=True):
+                d[(s, own[g]) if s < k else (own[g], s - k)] -= m
+                d[(s, to) if s < k else (to, s - k)] += m
+            left, right = c.sum(axis=1), c.sum(axis=0)
+            for side in (left, right):
+                side[own[g]] -= total[g]
+                side[to] += total[g]
+            gain.append(phi(d) - phi(left) - phi(right))
+        assert gain[best[g]] >= max(gain) - 1e-6
+    assert total.tolist() == [3, 1]
+
+
 def test_brown_without_training_rows(spark):
     df = spark.createDataFrame([(0, "a b")], "doc_id long, text string")
     held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0][0]
