@@ -3,14 +3,17 @@
 The model is a byte-fallback BPE of the SentencePiece kind, read from its file; it isn't trained here. A text gets one
 blank in front, blanks become the meta symbol, and symbols are merged by an agenda: the adjacent pair whose piece has
 the best score, leftmost on ties, comes first. When a candidate comes off the agenda it is skipped if a hash of (seed,
-variant, chunk, place, piece) falls under the dropout share: a skipped pair is lost unless other merges make it anew.
-With share 0 the ids are those of the SentencePiece library. Other seeds, and the variants that rows are dealt into,
-give other segmentations of the same text; all decode to the same bytes.
+variant, text, position of the chunk in the text, place, piece) falls under the dropout share: a skipped pair is lost
+unless other merges make it anew. So every occurrence of a word is cut by a draw of its own. With share 0 the ids are
+those of the SentencePiece library. Other seeds, and the variants that rows are dealt into, give other segmentations of
+the same text; all decode to the same bytes.
 
 Merges never pass from a word into the blanks after it, and no piece holds a line feed with other characters, so a text
-is cut into chunks (blanks and the word after them; line feeds) that are encoded on their own and remembered for each
-variant. A chunk that is new is cut further where no piece has its two neighbouring characters side by side. What is
-remembered is bounded; a worker keeps it from task to task.
+is cut into chunks (blanks and the word after them; line feeds), and these further where no piece has their two
+neighbouring characters side by side. Of each such part a worker remembers, from task to task and bounded, the merges
+that are tried while nothing is skipped, and the same for every set of skipped candidates that it has met. An occurrence
+draws for the merges of its path, many occurrences at once, and changes to another path where it skips one. What is
+remembered never changes a result.
 
 Lossless: characters outside the vocabulary, bytes that aren't UTF-8 and literal meta symbols become byte pieces.
 
@@ -23,9 +26,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import sys
 from array import array
-from collections.abc import Iterator
-from itertools import pairwise
+from collections.abc import Callable, Iterator
+from functools import partial
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +38,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulesift.llm.common import map_pieces, utf8
+from rulesift.llm.common import map_pieces, pieces, utf8
 
 #: Production parameters: share of merges dropped, seed, and variants that rows are dealt into by id.
 DROPOUT, SEED, VARIANTS = 0.1, 20, 2
 META = "▁"
-#: Chunks and their parts that a worker remembers in all variants, and the longest of them in characters.
+#: Chunks and paths of their parts that a worker remembers, and the longest of them in characters.
 REMEMBERED, LONGEST = 900_000, 48
 #: Chunks of up to this many characters have a list for an agenda, longer ones a heap.
 SHORT = 48
 
+#: Bytes of text that are encoded at once, if it isn't one text.
+AT_ONCE = 1 << 18
+
 _CHUNK = re.compile(r"\n|[ ]*[^ \n]+|[ ]+")
 
 
@@ -81,45 +89,102 @@ class Vocabulary:
             raise ValueError("pieces that pass a word's end aren't supported")
 
 
-class _Known(dict):
-    """Ids (as bytes) of chunks and their parts in one variant, worked out when they are asked for."""
+class _Path:
+    """The agenda of a part when certain candidates are skipped and no others: its ids, and a number for each further candidate that it tries."""
+
+    __slots__ = ("chunk", "dropped", "ids", "met", "next", "start", "tries")
+
+    def __init__(self, chunk: str, dropped: frozenset = frozenset(), start: int = 0):
+        self.chunk, self.dropped, self.start, self.next = chunk, dropped, start, None
+        self.ids, self.tries, self.met = None, b"", False
+
+    def meet(self, encoder: Encoder) -> None:
+        """Work the path out when it is met again; until then, and if it is long, occurrences are drawn while they are merged."""
+        if not self.met:
+            self.met = True
+            return
+        if self.ids is not None or len(self.chunk) > LONGEST:
+            return
+        dropped, tried = self.dropped, []
+
+        def skip(place: int, rank: int) -> bool:
+            x = _candidate(place, rank)
+            if x in dropped:
+                return True
+            tried.append(x)
+            return False
+
+        self.ids = array("i", encoder.chunk_ids(self.chunk, skip)).tobytes()
+        self.tries = array("I", tried[self.start :]).tobytes()  # those before the start were kept
 
-    def __init__(self, encoder: Encoder, variant: int):
-        self.encoder, self.variant = encoder, variant
+    def without(self, encoder: Encoder, k: int) -> _Path:
+        """The path that keeps k more candidates and skips the one after them."""
+        if self.next and (known := self.next.get(k)):
+            return known
+        x = int.from_bytes(self.tries[4 * k : 4 * k + 4], sys.byteorder)
+        path = _Path(self.chunk, self.dropped | {x}, self.start + k)
+        if encoder.remembered < REMEMBERED:
+            encoder.remembered += 1
+            if self.next is None:
+                self.next = {}
+            self.next[k] = path
+        return path
 
-    def __missing__(self, chunk: str) -> bytes:
+
+class _Parts(dict):
+    """The paths, nothing being skipped, of a chunk's parts; worked out when they are asked for."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, chunk: str) -> tuple[_Path, ...]:
         neighbours, e = self.encoder.v.neighbours, self.encoder
         marked = chunk.replace(" ", META)
         cuts = [] if META in chunk else [i for i in range(1, len(chunk)) if marked[i - 1 : i + 1] not in neighbours]
         if cuts:
-            got = b"".join([self[chunk[i:j]] for i, j in pairwise([0, *cuts, len(chunk)])])
+            got = tuple([self[chunk[i:j]][0] for i, j in pairwise([0, *cuts, len(chunk)])])
         else:
-            got = array("i", e.chunk_ids(chunk, self.variant)).tobytes()
+            got = (_Path(chunk),)
         if len(chunk) <= LONGEST and e.remembered < REMEMBERED:  # frequent chunks come early
             e.remembered += 1
             self[chunk] = got
         return got
 
 
+def _candidate(place: int, rank: int) -> int:
+    return (place * 0x9E3779B1 ^ rank * 0x85EBCA6B) & 0xFFFFFFFF
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED):
         self.v, self.limit, self.seed = vocabulary, int(dropout * 2**32), seed
-        self.known: dict[int, _Known] = {}
+        self.parts = _Parts(self)
         self.remembered = 0
 
     def skipped(self, key: int, place: int, rank: int) -> bool:
         """Whether the dropout takes the candidate whose left symbol begins at ``place``."""
-        x = (key ^ place * 0x9E3779B1 ^ rank * 0x85EBCA6B) & 0xFFFFFFFF
+        x = key & 0xFFFFFFFF ^ _candidate(place, rank)
         x = (x ^ x >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
         return x ^ x >> 15 < self.limit
 
-    def key(self, chunk: str, variant: int) -> int:
-        return xxhash.xxh64_intdigest(chunk.encode("utf-8", "surrogateescape"), (self.seed << 32 | variant) & 0xFFFFFFFFFFFFFFFF) >> 32 if self.limit else 0
-
-    def merge_short(self, chunk: str, variant: int) -> list[str]:
-        """The agenda of a chunk without literal meta symbols as a plain list, searched for its first entry."""
+    def skips(self, tries: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """``skipped`` of many candidates (uint32), each with its key (uint32)."""
+        x = tries ^ keys
+        x = (x ^ x >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
+        return (x ^ x >> np.uint32(15)).astype(np.int64) < self.limit
+
+    def keys(self, text: bytes, variant: int, n: int) -> np.ndarray:
+        """The keys of a text's n parts, by their positions."""
+        x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(xxhash.xxh64_intdigest(text, (self.seed << 32 | variant) & 0xFFFFFFFFFFFFFFFF))
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        return (x >> np.uint64(32)).astype(np.uint32)
+
+    def merge_short(self, chunk: str, key: int | Callable[[int, int], bool]) -> list[str]:
+        """The agenda of a chunk without literal meta symbols as a plain list, searched for its first entry. key: of the draws, or what tells whether (place, rank) is skipped."""
         symbols = list(chunk.replace(" ", META))
-        rank_of, none, limit, key = self.v.ranks.get, len(self.v.ranks), self.limit, self.key(chunk, variant)
+        rank_of, none, limit = self.v.ranks.get, len(self.v.ranks), self.limit
+        skipped = key if callable(key) else partial(self.skipped, key)
         agenda = [rank_of(a + b, none) for a, b in pairwise(symbols)]
         places = list(range(len(symbols)))
         while agenda:
@@ -127,7 +192,7 @@ class Encoder:
             if rank == none:
                 break
             i = agenda.index(rank)
-            if limit and self.skipped(key, places[i], rank):
+            if limit and skipped(places[i], rank):
                 agenda[i] = none
                 continue
             symbols[i] += symbols[i + 1]
@@ -138,12 +203,12 @@ class Encoder:
                 agenda[i - 1] = rank_of(symbols[i - 1] + symbols[i], none)
         return symbols
 
-    def merge(self, chunk: str, variant: int) -> list[str]:
+    def merge(self, chunk: str, key: int | Callable[[int, int], bool]) -> list[str]:
         """The agenda as a heap. Symbols that stand for bytes (literal meta symbols, bytes that aren't UTF-8) take no part."""
         symbols: list[str | None] = [META if c == " " else c for c in chunk]
         n, ranks, limit = len(symbols), self.v.ranks, self.limit
         fixed = {i for i, c in enumerate(chunk) if c == META}
-        key = self.key(chunk, variant)
+        skipped = key if callable(key) else partial(self.skipped, key)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = []
         for i, (a, b) in enumerate(pairwise(symbols)):
@@ -156,7 +221,7 @@ class Encoder:
             left, right = symbols[i], symbols[j] if after[i] == j else None
             if left is None or right is None or len(left) + len(right) != size:
                 continue
-            if limit and self.skipped(key, i, rank):
+            if limit and skipped(i, rank):
                 continue
             piece = symbols[i] = left + right
             symbols[j] = None
@@ -174,9 +239,9 @@ class Encoder:
                 out.append("" if i in fixed else s)  # a literal meta symbol
         return out
 
-    def chunk_ids(self, chunk: str, variant: int) -> list[int]:
+    def chunk_ids(self, chunk: str, key: int | Callable[[int, int], bool]) -> list[int]:
         ids, known, byte_ids = [], self.v.ids, self.v.byte_ids
-        for s in self.merge_short(chunk, variant) if len(chunk) <= SHORT and META not in chunk else self.merge(chunk, variant):
+        for s in self.merge_short(chunk, key) if len(chunk) <= SHORT and META not in chunk else self.merge(chunk, key):
             i = known.get(s) if s else None
             if i is not None:
                 ids.append(i)
@@ -186,13 +251,38 @@ class Encoder:
 
     def encode(self, text: bytes, variant: int = 0) -> np.ndarray:
         """The ids of a text."""
-        if not text:
-            return np.zeros(0, np.int32)
-        known = self.known.get(variant)
-        if known is None:
-            known = self.known[variant] = _Known(self, variant)
-        chunks = _CHUNK.findall(" " + text.decode("utf-8", "surrogateescape"))
-        return np.frombuffer(b"".join(map(known.__getitem__, chunks)), np.int32)
+        return self.encode_all([text], [variant])[0]
+
+    def encode_all(self, texts: list[bytes], variants: list[int]) -> list[np.ndarray]:
+        """The ids of each text; a text's ids don't depend on the others."""
+        paths: list[_Path] = []
+        keys, ends = [np.zeros(0, np.uint32)], [0]
+        for text, variant in zip(texts, variants, strict=True):
+            if text:
+                paths += chain.from_iterable(map(self.parts.__getitem__, _CHUNK.findall(" " + text.decode("utf-8", "surrogateescape"))))
+                keys.append(self.keys(text, variant, len(paths) - ends[-1]))
+            ends.append(len(paths))
+        key = np.concatenate(keys)
+        at, now = np.arange(len(paths)), paths
+        while self.limit and len(now):
+            tries = [p.tries for p in now]
+            sizes = np.fromiter(map(len, tries), np.int64, len(tries)) // 4
+            own = np.repeat(np.arange(len(now)), sizes)
+            hit = np.flatnonzero(self.skips(np.frombuffer(b"".join(tries), np.uint32), key[at][own]))
+            changed, first = np.unique(own[hit], return_index=True)
+            k = hit[first] - (np.cumsum(sizes) - sizes)[changed]
+            now = [now[i].without(self, j) for i, j in zip(changed.tolist(), k.tolist(), strict=True)]
+            at = at[changed]
+            for i, p in zip(at.tolist(), now, strict=True):
+                paths[i] = p
+        ids = [p.ids for p in paths]
+        if None in ids:
+            drawn = [i for i, x in enumerate(ids) if x is None]
+            for i, k in zip(drawn, key[drawn].tolist(), strict=True):
+                ids[i] = array("i", self.chunk_ids(paths[i].chunk, k)).tobytes()
+            for i in drawn:
+                paths[i].meet(self)
+        return [np.frombuffer(b"".join(ids[a:b]), np.int32) for a, b in pairwise(ends)]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -227,11 +317,11 @@ def encode_texts(docs: DataFrame, model: bytes | None = None, dropout: float = D
         vocabulary = encoder.v
         for batch in batches:
             ids, sha, same = [], [], []
-            for text, variant in zip(batch.column("text").to_pylist(), batch.column("variant").to_pylist(), strict=True):
-                text = text or b""
-                own = encoder.encode(text, variant)
+            texts = [x or b"" for x in batch.column("text").to_pylist()]
+            for part in pieces(batch, most=AT_ONCE):
+                ids += encoder.encode_all(texts[len(ids) : len(ids) + part.num_rows], part.column("variant").to_pylist())
+            for text, own in zip(texts, ids, strict=True):
                 back = decode(own, vocabulary)
-                ids.append(own)
                 sha.append(hashlib.sha256(back).hexdigest())
                 same.append(back == text)
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))

@@ -40,6 +40,36 @@ def test_dropout_is_seeded_and_varied():
     assert pieces.decode(pieces.Encoder(VOCABULARY).encode(b"\xff\xfe a\x80"), VOCABULARY) == b"\xff\xfe a\x80"
 
 
+def test_every_occurrence_draws_for_itself():
+    e = pieces.Encoder(VOCABULARY)
+    word = b"interesting "
+    ids = e.encode(word * 400).tolist()
+    cuts, at = set(), 0
+    for _ in range(400):
+        size, end = 0, at
+        while size < len(word):
+            size += len(VOCABULARY.raw[ids[end]])
+            end += 1
+        cuts.add(tuple(ids[at:end]))
+        at = end
+    assert len(cuts) > 5
+    others = {tuple(e.encode(b"interesting things happen %d" % i).tolist()[:-6]) for i in range(60)}
+    assert len(others) > 10  # nor are texts cut alike
+
+
+@pytest.mark.parametrize("remembered", [pieces.REMEMBERED, 0])
+@pytest.mark.parametrize("dropout", [0.1, 0.6, 1.0])
+def test_paths_are_the_agendas_draws(monkeypatch, remembered, dropout):
+    monkeypatch.setattr(pieces, "REMEMBERED", remembered)
+    e = pieces.Encoder(VOCABULARY, dropout, 3)
+    for text in [*TEXTS, "interesting meta ▁ symbols everywhere " * 20]:
+        parts = [p.chunk for c in pieces._CHUNK.findall(" " + text) for p in e.parts[c]] if text else []
+        keys = e.keys(text.encode(), 1, len(parts)).tolist()
+        want = [i for c, k in zip(parts, keys, strict=True) for i in e.chunk_ids(c, k)]
+        assert all(e.encode(text.encode(), 1).tolist() == want for _ in range(4))  # as paths come to be remembered
+        assert want == e.encode_all([b"other", text.encode()], [0, 1])[1].tolist()
+
+
 def test_encode_table(spark):
     rows = [(i, t, "clash") for i, t in enumerate(TEXTS)] + [(None, "null id", "c"), (99, None, "c"), (0, "repeated id", "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
