@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from rulesift.plans.rulepack import RulePack
 
 # The schools that a scope stands for, and the files of a sealed bundle by role.
 SCOPES = {"elementary": ("elementary",), "common": ("elementary", "middle", "high")}
+#: Quotes that are broadcast at once.
+MAX_QUOTES = 20_000
 
 
 class BundleError(ValueError):
@@ -60,12 +63,15 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 def quotes_contained(quotes: DataFrame, passages: DataFrame) -> DataFrame:
     """item_id, n_passages: passages (s) that contain each quote (q); no passage contains an empty quote.
 
-    The quotes are a stated set of small size (excerpts that people checked), whose count is verified before it is
-    broadcast; passages are read once.
+    The quotes are a stated set (excerpts that people checked); up to ``MAX_QUOTES`` are broadcast and passages are read
+    once. More are dealt by hash into blocks of half as many on average, and passages are read once for each block.
     """
-    if quotes.count() > 20_000:
-        raise ValueError("too many quotes for one call")
-    hits = passages.join(F.broadcast(quotes), F.contains(F.col("s"), F.col("q")) & (F.col("q") != "")).groupBy("item_id").agg(F.count("*").alias("n"))
+    size = quotes.count()
+    blocks = 1 if size <= MAX_QUOTES else -(-2 * size // MAX_QUOTES)
+    block = F.pmod(F.xxhash64("item_id", "q"), F.lit(blocks))
+    within = F.contains(F.col("s"), F.col("q")) & (F.col("q") != "")
+    pairs = [passages.join(F.broadcast(quotes if blocks == 1 else quotes.where(block == i)), within).select("item_id") for i in range(blocks)]
+    hits = reduce(DataFrame.unionByName, pairs).groupBy("item_id").agg(F.count("*").alias("n"))
     return quotes.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_passages"))
 
 

@@ -7,6 +7,8 @@ and one for the scores, and the top is taken without a full sort. Many queries s
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from rulesift.functions.text import compact, count_in, normalize_search, pad_sta
 # Weights of the score.
 EXACT, COMPACT, COVERAGE, HEADING, BM25, CONTAINS, AUTHORITY = 3000.0, 1800.0, 800.0, 500.0, 100.0, 400.0, 0.01
 K1, B = 1.2, 0.75
-#: Queries of one call of ``search_many``.
+#: Queries that ``search_many`` broadcasts at once.
 MAX_QUERIES = 2000
 
 
@@ -132,19 +134,25 @@ def search_many(prepared: DataFrame, queries: DataFrame, limit: int = S.DEFAULT_
     """query_id, key, score, rank for a stated set of queries (query_id, query).
 
     Term frequencies count substrings, so a passage can match a token that isn't one of its own: there is no key to join
-    on. The query set, whose size is checked, is broadcast and every passage is read once against it.
+    on. The query set is broadcast and every passage is read once against it. More than ``MAX_QUERIES`` are dealt by
+    hash into blocks of half as many on average, and passages are read once for each block.
     """
-    if queries.count() > MAX_QUERIES:
-        raise QueryError(f"at most {MAX_QUERIES} queries at once; deal more into several calls")
+    size = queries.count()
+    blocks = 1 if size <= MAX_QUERIES else -(-2 * size // MAX_QUERIES)
     folded = queries.select("query_id", normalize_search(F.col("query"), compose).alias("__q")).where("__q <> ''").withColumn("__t", tokens(F.col("__q")))
     n, mean, _ = statistics(prepared, [])
     wanted = folded.select(F.explode("__t").alias("token")).distinct()
-    df = token_df(prepared).join(F.broadcast(wanted), "token")
+    df = token_df(prepared).join(F.broadcast(wanted) if blocks == 1 else wanted, "token")
     listed = folded.select("query_id", "__q", F.posexplode("__t").alias("pos", "token")).join(df, "token", "left").groupBy("query_id", "__q").agg(F.array_sort(F.collect_list(F.struct("pos", "token", F.coalesce("df", F.lit(0)).cast("double").alias("df")))).alias("x"))
     ready = listed.select("query_id", "__q", F.transform("x", lambda y: y["token"]).alias("__t"), F.transform("x", lambda y: y["df"]).alias("__df"))
     any_token = F.exists("__t", lambda t: F.contains(F.col("__s"), t)) | F.contains(F.col("__s"), F.col("__q"))
-    pairs = prepared.join(F.broadcast(ready), any_token)
     q, terms = F.col("__q"), F.col("__t")
-    scored = _features(pairs, q, terms).withColumn("score", _score(q, terms, F.col("__df"), F.lit(float(n)), F.lit(float(mean)))).select("query_id", key, "authority", "score")
+    block = F.pmod(F.xxhash64("query_id", "__q"), F.lit(blocks))
+
+    def scores(some: DataFrame) -> DataFrame:
+        pairs = prepared.join(F.broadcast(some), any_token)
+        return _features(pairs, q, terms).withColumn("score", _score(q, terms, F.col("__df"), F.lit(float(n)), F.lit(float(mean)))).select("query_id", key, "authority", "score")
+
+    scored = reduce(DataFrame.unionByName, [scores(ready if blocks == 1 else ready.where(block == i)) for i in range(blocks)])
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("authority"), key))
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", key, "score", "rank")

@@ -251,3 +251,17 @@ def test_queries_agree_with_sql(spark, name):
     assert columns == sorted(rel.columns)
     text = lambda rows: sorted(tuple(str(v) for v in r) for r in rows)
     assert text(df.select(*columns).collect()) == text(rel.select(*[f'"{c}"' for c in columns]).fetchall())
+
+
+def test_sets_over_the_bound_are_dealt_into_blocks(spark, monkeypatch):
+    rows = [(i, f"alpha{i % 7} beta{i % 5} gamma {i}") for i in range(40)]
+    ready = search.prepare(spark.createDataFrame(rows, "id int, text string").withColumn("searchText", F.col("text")))
+    queries = spark.createDataFrame([(i, f"beta{i % 5} alpha{i % 7}") for i in range(11)] + [(3, "gamma"), (50, "nowhere"), (None, "alpha1")], "query_id int, query string")
+    quotes = spark.createDataFrame([(i, f"beta{i} gamma") for i in range(7)] + [(1, "alpha1"), (8, ""), (9, "alpha")], "item_id int, q string")
+    passages = spark.createDataFrame([(t,) for _, t in rows], "s string")
+    run = lambda: (sorted(map(str, search.search_many(ready, queries, 3).collect())), sorted(map(str, integrity.quotes_contained(quotes, passages).collect())))
+    whole = run()
+    assert len(whole[0]) > 30
+    monkeypatch.setattr(search, "MAX_QUERIES", 5)
+    monkeypatch.setattr(integrity, "MAX_QUOTES", 4)
+    assert run() == whole
