@@ -55,7 +55,10 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES)
     if batch.nbytes <= most:
         yield batch
         return
-    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    own = batch.column(column)
+    width = pc.list_value_length(own) if pa.types.is_list(own.type) else pc.binary_length(own)
+    scale = own.type.value_type.bit_width // 8 if pa.types.is_list(own.type) else 1
+    lengths = (scale * pc.fill_null(width, 0).to_numpy()).tolist()
     start, size = 0, 0
     for i, n in enumerate(lengths):
         if size and size + n > most:
