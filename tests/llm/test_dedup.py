@@ -130,7 +130,10 @@ def stripped(rows):
     return out
 
 
-def test_substring_against_brute_force(spark):
+@pytest.mark.parametrize("hot, entries, held", [(substring.HOT, substring.ENTRIES, substring.HELD), (2, 3, 50)])  # small: hot phrases fall into parts, rows and shards into pieces
+def test_substring_against_brute_force(spark, monkeypatch, hot, entries, held):
+    for name, value in (("HOT", hot), ("ENTRIES", entries), ("HELD", held)):
+        monkeypatch.setattr(substring, name, value)
     rows = corpus(1)
     want = stripped(rows)
     sha = lambda kept: hashlib.sha256(" ".join(kept).encode()).hexdigest()
@@ -142,14 +145,40 @@ def test_substring_against_brute_force(spark):
     assert substring.report(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_substring_with_clashing_columns(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    df = spark.createDataFrame([(1, passage, "a", 7, "s"), (2, f"x {passage} y", "b", 8, "t"), (3, None, "c", 9, None)], "doc_id long, text string, n_words string, N_removed int, kept_sha256 string")
+    kept = {r["doc_id"]: tuple(r) for r in substring.strip_repeats(df).collect()}
+    assert substring.strip_repeats(df).columns == df.columns and kept == {1: (1, "", "a", 7, "s"), 2: (2, "x y", "b", 8, "t"), 3: (3, None, "c", 9, None)}
+    got = substring.remove_repeats(df, digest=True)
+    assert got.columns == ["doc_id", "kept_sha256", "n_words", "n_removed"] and {(r["doc_id"], r["n_words"], r["n_removed"]) for r in got.collect()} == {(1, 40, 40), (2, 42, 40), (3, 0, 0)}
+
+
+def test_the_automaton_decides(spark):
+    """Windows go only where the automaton locates their phrase."""
+    words = [f"p{i}".encode() for i in range(50)]
+    hashes = substring.word_hashes(words)
+    letter = substring.letters(hashes)
+    codes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(letter, substring.PHRASE)).view(np.uint64).reshape(-1, 2)
+    entries = np.zeros(16, substring._ENTRY)
+    entries["w"], entries["x"] = substring.window_hashes(hashes)
+    assert substring.Passages(codes, entries).occurrences(hashes).tolist() == list(range(16))
+    at = substring.anchors(substring.phrase_keys(letter))
+    some = substring.Passages(codes[[at[0]]], entries).occurrences(hashes).tolist()
+    assert some == np.flatnonzero(at == at[0]).tolist() and substring.Passages(codes[:0], entries).occurrences(hashes).tolist() == []
+    assert substring.Passages(codes, entries[4:6]).occurrences(hashes).tolist() == [4, 5]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.sampled_from("abc"), min_size=35, max_size=120))
 def test_windows_have_equal_hashes_exactly_where_equal(letters):
     words = [x.encode() for x in letters]
-    h = substring.window_hashes(substring.word_hashes(words)).tolist()
+    h = list(zip(*(x.tolist() for x in substring.window_hashes(substring.word_hashes(words))), strict=True))
     w = [tuple(words[k : k + 35]) for k in range(len(words) - 34)]
     assert all((h[i] == h[j]) == (w[i] == w[j]) for i in range(len(w)) for j in range(i))
-    assert substring.chosen(substring.phrase_order(substring.letters(substring.word_hashes(words)))).any()
+    keys = substring.phrase_keys(substring.letters(substring.word_hashes(words)))
+    at, order = substring.anchors(keys).tolist(), (keys >> np.uint64(32)).tolist()
+    assert at == [min(range(i, i + substring.RUNS), key=lambda p: (order[p], p)) for i in range(len(w))]
 
 
 BENCH = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
