@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -43,13 +43,27 @@ def fold_search(composed: Column) -> Column:
     return trim(F.lower(blanks))
 
 
+def composed(text: Column, compose: bool = True) -> Column:
+    """NFKC; texts of ASCII alone, which have it already, don't go to Python. ``compose=False`` for texts known to be in NFKC keeps the plan free of it."""
+    if not compose:
+        return text
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, text).otherwise(nfkc(F.when(~plain, text)))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are worked out once for a row, whatever reads them: filters on them aren't moved below."""
+    made = F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*[F.col(f"`{x}`") for x in df.columns if x not in columns], made)
+
+
 def normalize_search(text: Column, compose: bool = True) -> Column:
-    """Search form; ``compose=False`` for texts known to be in NFKC keeps the plan free of Python."""
-    return fold_search(nfkc(text) if compose else text)
+    """Search form."""
+    return fold_search(composed(text, compose))
 
 
 def normalize_comparable(text: Column, compose: bool = True) -> Column:
-    return trim(F.regexp_replace(nfkc(text) if compose else text, rf"(?U){SPACE}+", " "))
+    return trim(F.regexp_replace(composed(text, compose), rf"(?U){SPACE}+", " "))
 
 
 def same_comparable(a: Column, b: Column, compose: bool = True) -> Column:
@@ -57,7 +71,7 @@ def same_comparable(a: Column, b: Column, compose: bool = True) -> Column:
 
 
 def normalize_name(text: Column, compose: bool = True) -> Column:
-    return compact(nfkc(text) if compose else text)
+    return compact(composed(text, compose))
 
 
 def utf16_length(text: Column) -> Column:
@@ -77,14 +91,24 @@ def words(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Distinct words and joined neighbours in order of first sight."""
-    found = words(text)
-    pairs = F.when(F.size(found) > 1, F.zip_with(F.slice(found, 1, F.size(found) - 1), F.slice(found, 2, F.size(found) - 1), lambda a, b: F.concat(a, b))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(found, pairs))
+
+    def both(found: Column) -> Column:
+        pairs = F.when(F.size(found) > 1, F.zip_with(F.slice(found, 1, F.size(found) - 1), F.slice(found, 2, F.size(found) - 1), lambda a, b: F.concat(a, b))).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(F.concat(found, pairs))
+
+    return F.element_at(F.transform(F.array(words(text)), both), 1)  # the words are looked for once
+
+
+def grams(found: Column, size: int) -> Column:
+    """Distinct runs of ``size`` characters within the words of an array."""
+    runs = F.transform(F.filter(found, lambda w: F.length(w) >= size), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - size + 1), lambda i: F.substring(w, i, F.lit(size))))
+    return F.array_distinct(F.flatten(runs))
 
 
 def count_in(haystack: Column, needle: Column) -> Column:
     """Leftmost non-overlapping occurrences; none of an empty needle."""
-    return F.when(F.length(needle) == 0, 0).otherwise(((F.length(haystack) - F.length(F.replace(haystack, needle, F.lit("")))) / F.greatest(F.length(needle), F.lit(1))).cast("int"))
+    size = F.octet_length(needle)
+    return F.when(size == 0, 0).otherwise(((F.octet_length(haystack) - F.octet_length(F.replace(haystack, needle, F.lit("")))) / F.greatest(size, F.lit(1))).cast("int"))
 
 
 def index_of(text: Column, part: Column) -> Column:

@@ -14,13 +14,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rulesift import schemas as S
-from rulesift.functions.text import compact, count_in, normalize_search, pad_start, snippet, tokens
+from rulesift.functions.text import compact, count_in, grams, normalize_search, once, pad_start, snippet, tokens, words
 
 # Weights of the score.
 EXACT, COMPACT, COVERAGE, HEADING, BM25, CONTAINS, AUTHORITY = 3000.0, 1800.0, 800.0, 500.0, 100.0, 400.0, 0.01
 K1, B = 1.2, 0.75
-#: Queries that ``search_many`` broadcasts at once.
-MAX_QUERIES = 2000
+#: Queries that ``search_many`` broadcasts at once, and characters by which their tokens meet passages.
+MAX_QUERIES, GRAM = 2000, 3
 
 
 class QueryError(ValueError):
@@ -37,11 +37,11 @@ def locator_key(locator: Column) -> Column:
 
 
 def prepare(passages: DataFrame, compose: bool = True) -> DataFrame:
-    """Adds what every query needs of a passage: search form, heading form, number of distinct tokens. Cache or write it when many queries follow."""
+    """Adds what every query needs of a passage: search form, heading form, distinct tokens and their number. Each is worked out once for a pass; cache or write the table when many queries follow."""
     have = set(passages.columns)
     heading = F.array_join("headingPath", " ") if "headingPath" in have else F.lit("")
-    ready = passages.withColumn("__s", normalize_search(F.col("searchText"), compose)).withColumn("__h", normalize_search(heading, compose))
-    ready = ready.withColumn("__tokens", tokens(F.col("__s"))).withColumn("__len", F.size("__tokens")).withColumn("__c", compact(F.col("__s")))
+    folded = once(passages, __s=normalize_search(F.col("searchText"), compose), __h=normalize_search(heading, compose and "headingPath" in have))
+    ready = once(folded, __tokens=tokens(F.col("__s"))).withColumn("__len", F.size("__tokens")).withColumn("__c", compact(F.col("__s")))
     return ready if "authority" in have else ready.withColumn("authority", F.lit(0))
 
 
@@ -70,8 +70,9 @@ def query_tokens(folded: str) -> list[str]:
 
 def _features(rows: DataFrame, query: Column, toks: Column) -> DataFrame:
     """Rows that match, with the exact phrase's count and each token's, in the query's order."""
-    counted = rows.withColumn("__ex", count_in(F.col("__s"), query)).withColumn("__tf", F.transform(toks, lambda t: count_in(F.col("__s"), t)))
-    return counted.where((F.col("__ex") > 0) | F.exists("__tf", lambda x: x > 0))
+    s = F.col("__s")
+    matching = rows.where(F.contains(s, query) | F.exists(toks, lambda t: F.contains(s, t)))
+    return once(matching, __ex=count_in(s, query), __tf=F.transform(toks, lambda t: count_in(s, t)))
 
 
 def _score(query: Column, toks: Column, dfs: Column, n: Column, mean: Column) -> Column:
@@ -127,32 +128,49 @@ def search(prepared: DataFrame, query: str, limit: int = S.DEFAULT_LIMIT, key: s
 
 def token_df(prepared: DataFrame) -> DataFrame:
     """token, df: passages that have the token."""
-    return prepared.select(F.explode("__tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    listed = prepared.select(F.explode_outer("__tokens").alias("token")).where("token IS NOT NULL")  # outer: else the tokens are made again for a filter on their number
+    return listed.groupBy("token").agg(F.count("*").alias("df"))
 
 
 def search_many(prepared: DataFrame, queries: DataFrame, limit: int = S.DEFAULT_LIMIT, key: str = "id", compose: bool = True) -> DataFrame:
     """query_id, key, score, rank for a stated set of queries (query_id, query).
 
-    Term frequencies count substrings, so a passage can match a token that isn't one of its own: there is no key to join
-    on. The query set is broadcast and every passage is read once against it. More than ``MAX_QUERIES`` are dealt by
-    hash into blocks of half as many on average, and passages are read once for each block.
+    Term frequencies count substrings, and a token has letters and digits alone, so a passage that has it has its first
+    characters (three, or as many as it has) within one of its words. Passages' distinct runs of so many characters meet
+    the broadcast query set; the pairs that this gives, each once, meet the passages by key and are scored. Queries
+    without a token are looked for as they are. More than ``MAX_QUERIES`` are dealt by hash into blocks of half as many
+    on average, and passages are read once for each block.
     """
     size = queries.count()
     blocks = 1 if size <= MAX_QUERIES else -(-2 * size // MAX_QUERIES)
     folded = queries.select("query_id", normalize_search(F.col("query"), compose).alias("__q")).where("__q <> ''").withColumn("__t", tokens(F.col("__q")))
     n, mean, _ = statistics(prepared, [])
-    wanted = folded.select(F.explode("__t").alias("token")).distinct()
+    wanted = folded.select(F.explode_outer("__t").alias("token")).where("token IS NOT NULL").distinct()
     df = token_df(prepared).join(F.broadcast(wanted) if blocks == 1 else wanted, "token")
-    listed = folded.select("query_id", "__q", F.posexplode("__t").alias("pos", "token")).join(df, "token", "left").groupBy("query_id", "__q").agg(F.array_sort(F.collect_list(F.struct("pos", "token", F.coalesce("df", F.lit(0)).cast("double").alias("df")))).alias("x"))
-    ready = listed.select("query_id", "__q", F.transform("x", lambda y: y["token"]).alias("__t"), F.transform("x", lambda y: y["df"]).alias("__df"))
-    any_token = F.exists("__t", lambda t: F.contains(F.col("__s"), t)) | F.contains(F.col("__s"), F.col("__q"))
-    q, terms = F.col("__q"), F.col("__t")
+    listed = folded.select("query_id", "__q", F.posexplode_outer("__t").alias("pos", "token")).join(df, "token", "left").groupBy("query_id", "__q").agg(F.array_sort(F.collect_list(F.struct("pos", "token", F.coalesce("df", F.lit(0)).cast("double").alias("df")))).alias("x"))
+    real = F.filter("x", lambda y: y["token"].isNotNull())
+    ready = listed.select("query_id", "__q", F.transform(real, lambda y: y["token"]).alias("__t"), F.transform(real, lambda y: y["df"]).alias("__df"))
+    q, terms, s = F.col("__q"), F.col("__t"), F.col("__s")
     block = F.pmod(F.xxhash64("query_id", "__q"), F.lit(blocks))
+    keyed = ready.select("*", F.posexplode_outer("__t").alias("__at", "__token")).withColumn("__gram", F.substring("__token", 1, GRAM))
+    sizes = sorted(r["n"] for r in keyed.where("__gram IS NOT NULL").select(F.length("__gram").alias("n")).distinct().collect())  # GRAM numbers at most
+    narrow = once(prepared.select(F.col(key).alias("__key"), "__s"), __words=words(s))
+    mine = F.array_distinct(F.concat(*[grams(F.col("__words"), n) for n in sizes])) if sizes else F.array().cast("array<string>")
+    spread = narrow.select("__key", F.explode_outer(mine).alias("__gram"))
 
-    def scores(some: DataFrame) -> DataFrame:
-        pairs = prepared.join(F.broadcast(some), any_token)
-        return _features(pairs, q, terms).withColumn("score", _score(q, terms, F.col("__df"), F.lit(float(n)), F.lit(float(mean)))).select("query_id", key, "authority", "score")
+    passages = once(prepared, __c=F.col("__c"), __len=F.col("__len")).drop("__tokens")  # once for a passage, not for a pair
 
-    scored = reduce(DataFrame.unionByName, [scores(ready if blocks == 1 else ready.where(block == i)) for i in range(blocks)])
+    def scores(some: DataFrame) -> DataFrame:
+        wanted = some.where("__gram IS NOT NULL")
+        pairs = spread.join(F.broadcast(wanted.select("query_id", "__q", "__gram").distinct()), "__gram").select("__key", "query_id", "__q").distinct()
+        lists = some.select("query_id", "__q", "__t", "__df", F.col("__gram").isNull().alias("__bare")).distinct()
+        of = F.col(key).eqNullSafe(F.col("__key"))
+        met = passages.join(pairs, of).join(F.broadcast(lists.where("NOT __bare").select(F.col("query_id").alias("__id"), F.col("__q").alias("__own"), "__t", "__df")), F.col("query_id").eqNullSafe(F.col("__id")) & (q == F.col("__own")))
+        bare = passages.join(F.broadcast(lists.where("__bare").drop("__bare")), F.contains(s, q))
+        kept = [*passages.columns, "query_id", "__q", "__t", "__df"]
+        both = met.select(*kept).unionByName(bare.select(*kept))
+        return _features(both, q, terms).withColumn("score", _score(q, terms, F.col("__df"), F.lit(float(n)), F.lit(float(mean)))).select("query_id", key, "authority", "score")
+
+    scored = reduce(DataFrame.unionByName, [scores(keyed if blocks == 1 else keyed.where(block == i)) for i in range(blocks)])
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("authority"), key))
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", key, "score", "rank")
