@@ -6,12 +6,13 @@ also start anywhere else, in the same document too. Whole texts are judged, and
 1. Phrases. Every window has an anchor, the first in an order by hash of its ``PHRASE``-word runs, leftmost on ties.
    Equal windows have equal anchors. Anchors are counted over the corpus by a 64-bit key; a window whose anchor occurs
    once can't recur.
-2. Confirmation. The other windows are counted over the corpus by 96 bits of hash of all their words. A row has the
+2. Confirmation. The other windows are counted over the corpus by 95 bits of hash of all their words. A row has the
    windows of one anchor in one shard, packed; rows of one anchor meet, and the windows that start at least twice are
-   the confirmed recurring passages.
+   the confirmed recurring passages. Where these are all windows that the anchor has in the shard, the anchor says it
+   all and the windows aren't listed.
 3. Automata. Documents are dealt into shards. The phrases of the confirmed windows that a shard has are compiled into an
    Aho-Corasick automaton, all of the shard's documents are streamed through it, and it locates every occurrence of the
-   phrases. A window around a located anchor goes if it is one of the confirmed ones by its 96 bits. A word is written
+   phrases. A window around a located anchor goes if all of the anchor's are confirmed, or it is by its 95 bits. A word is written
    as one of 65536 letters, so a phrase is eight letters, two longs. The automaton looks for a node's child in a list,
    so a letter is spelled as four signs of 16 each, different ones for each of the four places: no node has over 16
    children, and matches begin at words.
@@ -19,7 +20,7 @@ also start anywhere else, in the same document too. Whole texts are judged, and
 All data structures belong to a shard, whose documents are a bounded share of the corpus, or are tables. An anchor has
 at most a row for each shard and ``ENTRIES`` windows after pre-aggregation; the windows of a hot one are dealt by their
 hash into parts of about ``HOT`` occurrences, so that no task gathers them all. Two different windows would be taken for
-one with a chance of about n^2 / 2^97 for n distinct candidates (10^12 candidates: 6 in a million that it happens once).
+one with a chance of about n^2 / 2^96 for n distinct candidates (10^12 candidates: 13 in a million that it happens once).
 
 Words are runs of bytes other than 0x20 and 0x09 to 0x0D, unchanged.
 
@@ -55,8 +56,9 @@ ENTRIES, HOT, HELD = 512, 4096, 1 << 20
 _ODD, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _SHIFTS, _PLACES = np.array([12, 8, 4, 0], np.uint16), np.array([0, 16, 32, 48], np.uint16)
-#: A window: 96 bits, and how often it starts, 2 for more.
-_ENTRY = np.dtype([("w", "<u8"), ("x", "<u4"), ("n", "u1")])
+#: A window: 95 bits, and the highest bit of x if it starts more than once.
+_ENTRY = np.dtype([("w", "<u8"), ("x", "<u4")])
+_MORE, _HASH = np.uint32(0x80000000), np.uint32(0x7FFFFFFF)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -121,27 +123,27 @@ _POWERS = _Powers()
 
 
 def window_hashes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64 and 32 bits of hash of the words of each window, by differences of running sums of hash * power."""
+    """64 and 31 bits of hash of the words of each window, by differences of running sums of hash * power."""
     powers, n, out = _POWERS.upto(len(hashes)), len(hashes) - WINDOW + 1, []
     for up, down, x in ((powers[0], powers[1], hashes), (powers[2], powers[3], _mixed(hashes + _ODD2))):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * up)))
         out.append(_mixed((sums[WINDOW:] - sums[:-WINDOW]) * down[:n]))
-    return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
+    return out[0], (out[1] >> np.uint64(33)).astype(np.uint32)
 
 
 class Passages:
     """Confirmed windows, and the automaton of their phrases."""
 
-    def __init__(self, codes: np.ndarray, entries: np.ndarray):
-        """codes: rows of two longs, the eight letters of each phrase; entries: the windows."""
+    def __init__(self, codes: np.ndarray, whole: np.ndarray, entries: np.ndarray):
+        """codes: rows of two longs, the eight letters of each phrase; whether all windows of each are confirmed; entries: the confirmed windows of the others."""
         order = np.lexsort((entries["x"], entries["w"]))
         self.w, self.x = entries["w"][order], entries["x"][order]
         self.automaton = None
         if len(codes):
             self.automaton = ahocorasick.Automaton()
-            signs = spelled(np.ascontiguousarray(codes).view(np.uint16).reshape(-1))
-            for i in range(0, len(signs), 4 * PHRASE):
-                self.automaton.add_word(signs[i : i + 4 * PHRASE], 1)
+            signs, marks = spelled(np.ascontiguousarray(codes).view(np.uint16).reshape(-1)), whole.tolist()
+            for i, mark in enumerate(marks):
+                self.automaton.add_word(signs[4 * PHRASE * i : 4 * PHRASE * (i + 1)], mark)
             self.automaton.make_automaton()
 
     def occurrences(self, hashes: np.ndarray) -> np.ndarray:
@@ -150,26 +152,27 @@ class Passages:
         if self.automaton is None or len(hashes) < WINDOW:
             return none
         letter = letters(hashes)
-        ends = [end for end, _ in self.automaton.iter(spelled(letter))]
-        if not ends:
+        matches = list(self.automaton.iter(spelled(letter)))
+        if not matches:
             return none
-        located = np.zeros(len(letter), bool)
-        located[np.array(ends) // 4 - (PHRASE - 1)] = True
-        at = np.flatnonzero(located[anchors(phrase_keys(letter))])
-        if not len(at):
-            return none
-        w, x = (h[at] for h in window_hashes(hashes))
-        first = np.searchsorted(self.w, w)
-        known = np.zeros(len(at), bool)
-        open_ = np.flatnonzero(first < len(self.w))
-        while len(open_):  # a second round only where two windows have the same 64 bits
-            open_ = open_[self.w[first[open_]] == w[open_]]
-            same = self.x[first[open_]] == x[open_]
-            known[open_[same]] = True
-            open_ = open_[~same]
-            first[open_] += 1
-            open_ = open_[first[open_] < len(self.w)]
-        return at[known]
+        ends, whole = np.array(matches).T
+        located = np.zeros(len(letter), np.int8)
+        located[ends // 4 - (PHRASE - 1)] = 1 + whole
+        anchored = located[anchors(phrase_keys(letter))]
+        known = anchored == 2
+        at = np.flatnonzero(anchored == 1)
+        if len(at):
+            w, x = (h[at] for h in window_hashes(hashes))
+            first = np.searchsorted(self.w, w)
+            open_ = np.flatnonzero(first < len(self.w))
+            while len(open_):  # a second round only where two windows have the same 64 bits
+                open_ = open_[self.w[first[open_]] == w[open_]]
+                same = self.x[first[open_]] == x[open_]
+                known[at[open_[same]]] = True
+                open_ = open_[~same]
+                first[open_] += 1
+                open_ = open_[first[open_] < len(self.w)]
+        return np.flatnonzero(known)
 
 
 def covered(n: int, starts: np.ndarray) -> np.ndarray:
@@ -240,7 +243,7 @@ class _Candidates:
     """Of one shard: the windows whose anchors recur in the corpus."""
 
     def __init__(self, shard: int, keys: list[pa.RecordBatch]):
-        self.shard, self.held = shard, 0
+        self.shard, self.held, self.flushed = shard, 0, False
         key, parts = _numbers(keys, "key").view(np.uint64), _numbers(keys, "parts")
         order = np.argsort(key)
         self.key, self.parts = key[order], parts[order].astype(np.uint64)
@@ -265,29 +268,29 @@ class _Candidates:
             w, x = window_hashes(hashes)
             code = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(letter, PHRASE)[at[first[hit]]]).view(np.uint64).reshape(-1, 2)
             own = np.repeat(np.arange(int(hit.sum())), size[hit])
-            self.found.append((code[own, 0], code[own, 1], w[window] % self.parts[place[hit]][own], w[window], x[window]))
+            parts = self.parts[place[hit]][own]
+            self.found.append((code[own, 0], code[own, 1], w[window] % parts, w[window], x[window], parts == 1))
             self.held += len(window)
             if self.held > HELD:
+                self.flushed = True
                 yield from self.end()
 
     def end(self) -> Iterator[pa.RecordBatch]:
         if not self.found:
             return
-        a, b, part, w, x = (np.concatenate(c) for c in zip(*self.found, strict=True))
+        a, b, part, w, x, alone = (np.concatenate(c) for c in zip(*self.found, strict=True))
         self.found, self.held = [], 0
         order = np.lexsort((x, w, part, b, a))
-        a, b, part, w, x = (c[order] for c in (a, b, part, w, x))
+        a, b, part, w, x, alone = (c[order] for c in (a, b, part, w, x, alone))
         group = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (part[1:] != part[:-1])))
         first = np.flatnonzero(group | np.concatenate(([True], (w[1:] != w[:-1]) | (x[1:] != x[:-1]))))
         entries = np.empty(len(first), _ENTRY)
-        entries["w"], entries["x"], entries["n"] = w[first], x[first], np.minimum(np.diff(np.append(first, len(w))), 2)
+        entries["w"], entries["x"] = w[first], x[first] | np.where(np.diff(np.append(first, len(w))) > 1, _MORE, np.uint32(0))
         heads = np.flatnonzero(group[first])
         rows = np.concatenate([np.arange(i, j, ENTRIES) for i, j in zip(heads.tolist(), [*heads[1:].tolist(), len(first)], strict=True)])
-        at = first[rows]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(rows), self.shard, np.int32)), pa.array(a[at].view(np.int64)), pa.array(b[at].view(np.int64)), pa.array(part[at].astype(np.int32)), _binary(entries, np.append(rows, len(first)))],
-            ["shard", "a", "b", "part", "entries"],
-        )
+        at, single = first[rows], np.isin(rows, heads) & np.isin(np.append(rows, len(first))[1:], np.append(heads, len(first)))
+        columns = [np.full(len(rows), self.shard, np.int32), a[at].view(np.int64), b[at].view(np.int64), part[at].astype(np.int32), single & alone[at] & (not self.flushed)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), _binary(entries, np.append(rows, len(first)))], ["shard", "a", "b", "part", "alone", "entries"])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,23 +298,27 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by anchor and part; of each row the windows that start at least twice in all of them."""
+    """Rows come by anchor and part; of each row the windows that start at least twice in all of them, null if these are all that the anchor has in the shard (``alone``: the row has them all)."""
 
     def confirmed(rows: pa.RecordBatch, group: np.ndarray) -> pa.RecordBatch:
         entries = np.frombuffer(b"".join(rows.column("entries").to_pylist()), _ENTRY)
         sizes = pc.binary_length(rows.column("entries")).to_numpy() // _ENTRY.itemsize
         row = np.repeat(np.arange(rows.num_rows), sizes)
-        order = np.lexsort((entries["x"], entries["w"], group[row]))
-        e, g = entries[order], group[row[order]]
-        new = np.concatenate(([True], (g[1:] != g[:-1]) | (e["w"][1:] != e["w"][:-1]) | (e["x"][1:] != e["x"][:-1])))
-        twice = np.add.reduceat(e["n"].astype(np.int64), np.flatnonzero(new)) > 1
+        x, more = entries["x"] & _HASH, entries["x"] > _HASH
+        order = np.lexsort((x, entries["w"], group[row]))
+        g, w, x = group[row[order]], entries["w"][order], x[order]
+        new = np.concatenate(([True], (g[1:] != g[:-1]) | (w[1:] != w[:-1]) | (x[1:] != x[:-1])))
+        twice = np.add.reduceat(1 + more[order].astype(np.int64), np.flatnonzero(new)) > 1
         keep = np.zeros(len(entries), bool)
         keep[order] = twice[np.cumsum(new) - 1]
         left = np.bincount(row[keep], minlength=rows.num_rows)
-        ends = np.concatenate(([0], np.cumsum(left)))
-        some = pa.array(left > 0)
-        columns = [rows.column(c).filter(some) for c in ("shard", "a", "b")]
-        return pa.RecordBatch.from_arrays([*columns, _binary(entries[keep], ends).filter(some)], ["shard", "a", "b", "entries"])
+        some, whole = pa.array(left > 0), (left == sizes) & rows.column("alone").to_numpy(zero_copy_only=False)
+        keep &= ~whole[row]
+        kept = entries[keep]
+        kept["x"] &= _HASH
+        listed = _binary(kept, np.concatenate(([0], np.cumsum(np.where(whole, 0, left)))))
+        columns = [*(rows.column(c) for c in ("shard", "a", "b")), pc.if_else(pa.array(whole), pa.scalar(None, pa.binary()), listed)]
+        return pa.RecordBatch.from_arrays([c.filter(some) for c in columns], ["shard", "a", "b", "entries"])
 
     pending: pa.RecordBatch | None = None
     for batch in batches:
@@ -354,7 +361,7 @@ def _removed(docs: DataFrame, digest: bool) -> DataFrame:
     everywhere = phrases.groupBy("key").agg(F.sum("n").alias("all"), F.collect_list("shard").alias("shards")).where("all > 1")  # a row has a number for each shard at most
     recurring = everywhere.select(F.explode("shards").alias("shard"), "key", F.ceil(F.col("all") / F.lit(HOT)).cast("long").alias("parts"))
 
-    found = _deal(recurring, texts, partitions).mapInArrow(_candidates, "shard int, a long, b long, part int, entries binary")
+    found = _deal(recurring, texts, partitions).mapInArrow(_candidates, "shard int, a long, b long, part int, alone boolean, entries binary")
     by_anchor = found.repartition(partitions, "a", "b", "part").sortWithinPartitions("a", "b", "part")
     confirmed = by_anchor.mapInArrow(_confirm, "shard int, a long, b long, entries binary")
 
@@ -365,8 +372,9 @@ def _removed(docs: DataFrame, digest: bool) -> DataFrame:
 def _remove(digest: bool):
     class Shard(Passages):
         def __init__(self, shard: int, keys: list[pa.RecordBatch]):
-            codes = np.unique(np.stack((_numbers(keys, "a"), _numbers(keys, "b")), axis=1), axis=0)
-            super().__init__(codes, np.frombuffer(b"".join(x for k in keys for x in k.column("entries").to_pylist()), _ENTRY))
+            entries = [x for k in keys for x in k.column("entries").to_pylist()]
+            codes, row = np.unique(np.stack((_numbers(keys, "a"), _numbers(keys, "b")), axis=1), axis=0, return_index=True)
+            super().__init__(codes, np.array([entries[i] is None for i in row.tolist()], bool), np.frombuffer(b"".join(x for x in entries if x), _ENTRY))
 
         def end(self) -> Iterator[pa.RecordBatch]:
             return iter(())
