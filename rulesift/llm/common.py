@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,9 +27,15 @@ def id_remainder(modulus: int, column: str = "doc_id") -> Column:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Only where that is unset and the session is local is it a folder of our own; on a cluster other machines couldn't
+    read that.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = getattr(checkpoint_root, "own", None)
         if root is None:
             os.makedirs("/tmp/checkpoints", exist_ok=True)
@@ -36,16 +43,37 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Paths of the tables that ``materialize`` has written.
+_TABLES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared checkpoint folder and read it back.
 
     The written table survives lost executors and cuts the lineage; everything that is read more than once goes through
-    it. Files of one run lie in a folder of their own.
+    it. It has a folder of its own, which goes with the session if ``discard`` doesn't take it before.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    files, at = _files(spark, path)
+    files.deleteOnExit(at)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _TABLES[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` has returned and that nothing reads any more."""
+    for t in tables:
+        if path := _TABLES.pop(t, None):
+            files, at = _files(t.sparkSession, path)
+            files.delete(at, True)
 
 
 def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -10,14 +10,18 @@ data: nothing is missed. Inside a bucket the members' bits are stored as vertica
 position, one bit for each member), a member is compared with all others at once by carry-save counters over the
 planes, and the comparison stops once every distance exceeds the radius. A bucket gives a spanning forest of its links,
 not all pairs, found by breadth-first search in which every member is queried once, against members not yet reached.
-Buckets of over ``BUCKET`` members are dealt out as pairs of parts, so that no task gets more than two parts of one.
+Buckets of over ``BUCKET`` members are known before anything is dealt: they go out as pairs of parts, so that no task
+gets more than two parts of one. Their list has at most a row for every ``BUCKET`` rows of the tables.
 
 Classes: the forests' links are contracted by alternating large-star and small-star steps, in DataFrame joins and
 aggregates with a written table for each round.
 
+Rows get their class by their fingerprint. Fingerprints of over ``HOT`` rows (at most one for every ``HOT`` rows of the
+input) are broadcast, so that their rows stay where they are; all others are joined.
+
 Cases: null and empty texts have fingerprint 0 and are linked like any other. Rows with equal texts, and repeated ids,
 get a row each; the class id is the smallest doc_id of the class, null ids counting as largest. An empty table gives an
-empty result. Extra columns are ignored.
+empty result. Extra columns are ignored. ``keep_first`` decides by row: see there.
 """
 
 from __future__ import annotations
@@ -31,11 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulesift.llm.common import map_pieces, materialize, utf8
+from rulesift.llm.common import discard, map_pieces, materialize, utf8
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-#: Blocks of the fingerprint; BLOCKS - RADIUS of them key a table. More blocks: smaller buckets, more tables.
-BLOCKS = 6
+#: Blocks of the fingerprint beyond the radius, and distinct fingerprints from which there is one more: smaller buckets, more tables.
+BLOCKS, MANY = 2, 1 << 27
+#: Rows from which a fingerprint's class is broadcast.
+HOT = 100_000
 #: Members of a bucket that are compared in one task with at most as many others.
 BUCKET = 4096
 #: Shingles hashed and counted at once.
@@ -137,17 +143,18 @@ def spanning_links(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return found
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, bucket: int = BUCKET) -> DataFrame:
-    """a, b: links between distinct fingerprints ``nodes.fp`` that span every class of the radius."""
+def links(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None, bucket: int = BUCKET) -> DataFrame:
+    """a, b: links between distinct fingerprints ``nodes.fp`` that span every class of the radius. blocks: by the number of fingerprints, if none is given."""
+    if blocks is None:
+        blocks = radius + BLOCKS + int(nodes.count() > MANY)
     masks = F.array(*[F.lit(_signed(m)) for m in _masks(radius, blocks)])
     keyed = nodes.select("fp", F.posexplode(masks).alias("t", "mask")).select("fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    joined = keyed.join(sizes, ["t", "key"])
     # A large bucket falls into parts; each pair of parts is searched by itself.
-    parts = F.ceil(F.col("n") / F.lit(bucket)).cast("int")
-    own = F.when(parts > 1, F.pmod(F.xxhash64("fp"), parts)).otherwise(F.lit(0)).cast("int")
-    dealt = joined.select("t", "key", "n", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    dealt = dealt.where((F.col("own") != F.col("other")) | (F.col("n") <= bucket)).select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+    large = keyed.groupBy("t", "key").agg(F.ceil(F.count("*") / F.lit(bucket)).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    dealt = keyed.join(large, ["t", "key"], "left").select("t", "key", "fp", parts.alias("parts"), own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    dealt = dealt.where((F.col("own") != F.col("other")) | (F.col("parts") == 1)).select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending = None
@@ -196,23 +203,33 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: the smaller neighbours of a node, and the node, go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "star")
+        last, edges = edges, materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "star")
+        discard(last)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark == tuple(now):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = tuple(now)
 
 
-def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The columns of ``docs`` but text, fp, and component_id, the smallest doc_id of the row's class."""
-    prints = materialize(fingerprints(docs), "simhash")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+def _class_table(prints: DataFrame, least: list[str], radius: int) -> DataFrame:
+    """fp, rows (their number), and the least of each of the columns ``least`` in the class, for every fingerprint."""
+    nodes = materialize(prints.groupBy("fp").agg(F.count("*").alias("rows"), *[F.min(c).alias(c) for c in least]), "simhash-nodes")
     roots = components(links(nodes.select("fp"), radius))
-    # Only linked fingerprints need a second look: the class's smallest id, by way of its root.
-    linked = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = linked.join(smallest, "root").select(F.col("fp").alias("own_fp"), "component_id")
-    return prints.join(of, prints["fp"] == of["own_fp"]).drop("own_fp")
+    # Only linked fingerprints need a second look: the class's least, by way of its root.
+    linked = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    smallest = linked.groupBy("root").agg(*[F.min(c).alias(c) for c in least])
+    return linked.select("fp", "root", "rows").join(smallest, "root").select("fp", "rows", *least)
+
+
+def classes(docs: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """The columns of ``docs`` but text, fp, and component_id, the smallest doc_id of the row's class."""
+    names = [x for x in docs.columns if x.lower() not in ("text", "fp", "component_id")]
+    prints = materialize(fingerprints(docs.select(*[f"`{x}`" for x in names], "text")), "simhash")
+    of = materialize(_class_table(prints, ["doc_id"], radius).withColumnRenamed("doc_id", "component_id"), "simhash-classes")
+    common, rare = of.where(F.col("rows") > hot).drop("rows"), of.where(F.col("rows") <= hot).drop("rows")
+    here = prints.join(F.broadcast(common), "fp")
+    rest = prints.join(F.broadcast(common.select("fp")), "fp", "left_anti").join(rare, "fp")
+    return here.unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -222,7 +239,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of each class the row with the smallest doc_id; of rows that repeat that id, one. Rows without an id stay."""
-    found = classes(docs.select("doc_id", "text")).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    first = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where(F.col("doc_id").isNull())).select(*[f"`{x}`" for x in docs.columns])
+    """Pipeline stage: one row of each class, with its columns as they were.
+
+    It is the row with the smallest doc_id (rows without an id come last); of several with that id the one that is
+    smallest by hashes of its text and of its other columns, so that the choice doesn't depend on the order of rows. Of
+    rows that are equal in all columns, one stays.
+    """
+    names = docs.columns
+    plain = [F.col(f"`{f.name}`") if "map<" not in f.dataType.simpleString() else F.col(f"`{f.name}`").cast("string") for f in docs.schema if f.name != "text"]
+    key = [F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"), F.xxhash64(F.lit(2), *plain).alias("c")]
+    row = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), *key)
+    prints = materialize(fingerprints(docs.select(row.alias("row"), "text")), "simhash")
+    own = ["__row_a", "__row_b", "__row_c"]
+    first = _class_table(prints, ["row"], RADIUS).select(*[F.col(f"row.{x[-1]}").alias(x) for x in own]).distinct()
+    keyed = docs.select("*", *[k.alias(x) for k, x in zip(key, own, strict=True)])
+    return keyed.dropDuplicates(own).join(first, own, "left_semi").select(*[f"`{x}`" for x in names])

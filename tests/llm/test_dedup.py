@@ -73,17 +73,35 @@ def test_simhash_against_brute_force(spark):
     want = sorted((i, f"{p:016x}", least[of[p]]) for (i, _), p in zip(rows, prints, strict=True))
     assert sorted(tuple(r) for r in simhash.near_duplicates(frame(spark, rows)).collect()) == want
     kept = simhash.keep_first(frame(spark, rows))
-    assert kept.columns == ["doc_id", "text", "fp", "key"] and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(least.values()))
+    assert kept.columns == ["doc_id", "text", "fp", "key"] and sorted(r["doc_id"] for r in kept.collect()) == sorted(least.values())  # two classes may have the same least id
 
 
 def test_simhash_null_ids_and_empty_table(spark):
     rows = [(None, "a b c d e"), (None, "z"), (4, "a b c d e")]
     got = simhash.near_duplicates(frame(spark, rows)).collect()
     assert len(got) == 3 and {r["component_id"] for r in got} == {4, None}
-    assert len(simhash.keep_first(frame(spark, rows)).collect()) == 3  # rows without an id stay
+    assert sorted(r["text"] for r in simhash.keep_first(frame(spark, rows)).collect()) == ["a b c d e", "z"]  # a row of each class, with an id if one has it
+    assert [r["doc_id"] for r in simhash.keep_first(frame(spark, rows)).where("text <> 'z'").collect()] == [4]
     assert simhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_keep_first_keeps_a_row_of_each_class(spark):
+    long, other = " ".join(f"alpha{i} beta" for i in range(30)), " ".join(f"gamma{i} delta" for i in range(30))
+    rows = [(1, long, "x", 1), (1, other, "x", 1), (2, long, "x", 1), (1, long, "y", 1), (1, long, "x", 1), (3, None, "n", 1), (4, "", "n", 1), (None, other, "z", 1)]
+    for parts in (1, 3):
+        got = sorted((str(r["doc_id"]), r["text"] or "", r["fp"]) for r in spark.createDataFrame(rows, "doc_id long, text string, fp string, __a int").repartition(parts, "fp", "doc_id").transform(simhash.keep_first).collect())
+        assert [(i, t) for i, t, _ in got] == [("1", long), ("1", other), ("3", "")]
+        chosen = got if parts == 1 else chosen
+        assert got == chosen  # ties don't follow the order of rows
+
+
+def test_hot_fingerprints_are_broadcast(spark):
+    rows = [(i, "the same text over and over") for i in range(50)] + [(100 + i, f"w{i} x{i} y{i} z{i} q{i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {tuple(r) for r in simhash.classes(df).select("doc_id", "fp", "component_id").collect()}
+    assert {tuple(r) for r in simhash.classes(df, hot=10).select("doc_id", "fp", "component_id").collect()} == want and len(want) == 70
+
+
 @pytest.mark.parametrize("bucket", [4096, 7])
 def test_links_span_all_pairs_also_where_buckets_fall_apart(spark, bucket):
     rng = random.Random(5)
@@ -162,11 +180,14 @@ def test_the_automaton_decides(spark):
     codes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(letter, substring.PHRASE)).view(np.uint64).reshape(-1, 2)
     entries = np.zeros(16, substring._ENTRY)
     entries["w"], entries["x"] = substring.window_hashes(hashes)
-    assert substring.Passages(codes, entries).occurrences(hashes).tolist() == list(range(16))
+    listed, whole = np.zeros(len(codes), bool), np.ones(len(codes), bool)
+    assert substring.Passages(codes, listed, entries).occurrences(hashes).tolist() == list(range(16))
     at = substring.anchors(substring.phrase_keys(letter))
-    some = substring.Passages(codes[[at[0]]], entries).occurrences(hashes).tolist()
-    assert some == np.flatnonzero(at == at[0]).tolist() and substring.Passages(codes[:0], entries).occurrences(hashes).tolist() == []
-    assert substring.Passages(codes, entries[4:6]).occurrences(hashes).tolist() == [4, 5]
+    some = np.flatnonzero(at == at[0]).tolist()
+    assert substring.Passages(codes[[at[0]]], listed[:1], entries).occurrences(hashes).tolist() == some
+    assert substring.Passages(codes[[at[0]]], whole[:1], entries[:0]).occurrences(hashes).tolist() == some
+    assert substring.Passages(codes[:0], listed[:0], entries).occurrences(hashes).tolist() == []
+    assert substring.Passages(codes, listed, entries[4:6]).occurrences(hashes).tolist() == [4, 5]
 
 
 @settings(max_examples=40, deadline=None)
