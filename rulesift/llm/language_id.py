@@ -26,8 +26,8 @@ from rulesift.llm.common import id_remainder, map_pieces, utf8
 DIMS = 1 << 14
 #: Centroids of a language.
 CENTROIDS = 4
-#: The fit's bounds: labelled texts of one language, and of all together (expected numbers of a hash sample).
-SAMPLE_PER_LANG, SAMPLE_ALL = 300, 6000
+#: The fit's bounds: languages (the most frequent ones), labelled texts of one language, and of all together (expected numbers of a hash sample).
+LANGUAGES, SAMPLE_PER_LANG, SAMPLE_ALL = 300, 300, 6000
 #: A text is rejected under this share of the lowest hundredth of its size class's cosines.
 REJECT_SHARE, REJECT_QUANTILE = 0.5, 0.01
 #: Bytes counted at once.
@@ -125,11 +125,12 @@ def _cluster(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
 def fit(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG, sample_all: int = SAMPLE_ALL, seed: int = 7) -> Model:
     """Learn from every row of ``docs`` with a lang and a text.
 
-    Document frequencies come from all rows. The centroids and thresholds come from a hash sample of at most about
+    The ``LANGUAGES`` most frequent values of lang (those that sort first on ties) get centroids, at least 20 texts each
+    if there are so many. Document frequencies come from all rows. The centroids and thresholds come from a hash sample of at most about
     ``sample_per_lang`` texts a language and ``sample_all`` in all (expected numbers).
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", utf8())
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return Model([], np.zeros((DIMS, 0), np.float32), np.zeros(DIMS), np.zeros(1))
     frequencies = map_pieces(labelled.select("text"), _document_frequencies, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
