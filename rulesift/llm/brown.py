@@ -7,7 +7,7 @@ texts has a class of its own choice; the number of classes grows with the vocabu
    the same ending. Units move between classes so that the likelihood of the corpus' class bigrams grows every time.
 2. Placing: every word that shared a unit is taken by itself. Its neighbours' classes of step 1 are counted over all
    training texts, and it goes to the class where these counts raise the likelihood most. This is one shuffle of
-   partial counts by word; words are placed side by side, against the class bigrams of step 1.
+   partial counts, packed by hash buckets of words; words are placed side by side, against the class bigrams of step 1.
 
 Class bigrams are then counted anew over all training texts, with every word's last class. The model is
 
@@ -16,9 +16,10 @@ Class bigrams are then counted anew over all training texts, with every word's l
 with smoothed relative frequencies; the text's first token follows an end. Words that training texts don't have belong
 to the class with the most words. Beside it stands a base, the smoothed unigram model.
 
-All counts cover all training texts: word counts are summed in the cluster and never gathered; unit bigrams are at most
-``(CLUSTERED + ENDINGS)^2`` numbers, class bigrams the square of the number of classes. Workers hold the ``HELD`` most
-frequent words with their counts and classes; the other words of a text meet the full table in a join.
+Texts are cut into words twice: for the word counts, and then into a table of their words' numbers, which everything
+else reads. All counts cover all training texts: word counts are summed in the cluster and never gathered; unit bigrams
+are at most ``(CLUSTERED + ENDINGS)^2`` numbers, class bigrams the square of the number of classes. Workers hold the
+``HELD`` most frequent words; the other words of a text stand beside its numbers and meet the full table in a join.
 
 Cases: null and empty texts are one end. Without training texts the counts are 0 and all scores follow from smoothing.
 Repeated rows count, and get a row, as often as they occur. Extra columns are ignored.
@@ -30,7 +31,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulesift.llm.common import id_remainder, map_pieces, materialize, pieces, utf8
+from rulesift.llm.common import discard, id_remainder, map_pieces, materialize, pieces, utf8
 
 #: Units: most frequent tokens (the end included), and endings that the other words are dealt into.
 CLUSTERED, ENDINGS = 1024, 512
@@ -50,8 +51,8 @@ HELD = 131_072
 ROUNDS = 12
 #: Smoothing: of words against the vocabulary or their class, and of class bigrams.
 ALPHA, BIGRAM = 0.1, 20.0
-#: Distinct words of a worker's partial count, neighbours that it counts at once, and bytes of text that it cuts at once for these.
-PARTIAL, NEIGHBOURS, CUT = 300_000, 2_500_000, 2 << 20
+#: Distinct words of a worker's partial count, neighbours that it counts at once, bytes of numbers that it looks at at once for these, and hash buckets of words for each partition.
+PARTIAL, NEIGHBOURS, CUT, BUCKETS = 200_000, 1_000_000, 1 << 20, 32
 #: Pairs of a word and a neighbour's class that are weighed against all classes at once.
 WEIGHED = 8192
 
@@ -94,40 +95,126 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-class _Units(dict):
-    """Unit by word; endings are worked out, and remembered for a bounded number of words."""
+class _Numbers(dict):
+    """Numbers of words in the order of their first use."""
 
     def __missing__(self, word: bytes) -> int:
-        unit = ending(word)
-        if len(self) < 300_000:
-            self[word] = unit
-        return unit
+        n = self[word] = len(self)
+        return n
 
 
-def _unit_ids(texts: list[list[bytes]], units: _Units) -> np.ndarray:
-    """Units of all tokens of all texts in order, an end before the first and after each text."""
-    sizes = [len(t) + 1 for t in texts]
-    ids = np.zeros(sum(sizes) + 1, np.int64)
-    inner = np.ones(len(ids), bool)
-    inner[np.cumsum([0, *sizes])] = False
-    ids[inner] = np.fromiter((u for t in texts for u in map(units.__getitem__, t)), np.int64, int(inner.sum()))
-    return ids
+@dataclass
+class Lexicon:
+    """The words of the training texts."""
 
+    vocabulary: int  # distinct ones
+    held: dict[bytes, int]  # numbers of the most frequent ones
+    held_n: np.ndarray  # their counts
+
+    @property
+    def frequent(self) -> int:
+        """How many of the held words are units of their own."""
+        return min(len(self.held), CLUSTERED - 1)
+
+
+def lexicon(texts: DataFrame) -> Lexicon:
+    """Count the words of every row of ``texts`` (text)."""
+    counts = materialize(map_pieces(texts.select(utf8()), _word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "brown-counts")
+    top = counts.orderBy(F.desc("n"), "word").limit(HELD).toArrow()  # HELD rows
+    out = Lexicon(counts.count(), {w: i for i, w in enumerate(top["word"].to_pylist())}, top["n"].to_numpy())
+    discard(counts)
+    return out
+
+
+def _codes(shared):
+    """A row for each text: a sum over the words that are held, the numbers of its words, and the words that aren't held; word j of these has -1 - j for a number."""
 
-def _bigrams(frequent: dict[bytes, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, total = _Units(frequent), np.zeros(UNITS * UNITS, np.int64)
+        held, held_log = shared.value
         for batch in batches:
-            ids = _unit_ids([tokens(t) for t in batch.column("text").to_pylist()], units)
-            total += np.bincount(ids[:-1] * UNITS + ids[1:], minlength=UNITS * UNITS)
-        pairs = np.flatnonzero(total)
-        for at in range(0, len(pairs), 50_000):
-            part = pairs[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["pair", "n"])
+            logs, known, codes, rare = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                words = tokens(text)
+                code = np.fromiter(map(held.get, words, repeat(-1)), np.int32, len(words))
+                at, others = np.flatnonzero(code < 0), _Numbers()
+                if len(at):
+                    code[at] = [-1 - others[words[k]] for k in at.tolist()]
+                logs.append(float(held_log[code[code >= 0]].sum()))
+                known.append(len(words) - len(at))
+                codes.append(code.tobytes())
+                rare.append(list(others))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(logs, pa.float64()), pa.array(known, pa.int64()), pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.binary()))],
+                ["row", "doc_id", "held_out", "logs", "known", "codes", "rare"],
+            )
+
+    return run
+
+
+def coded(docs: DataFrame, words: Lexicon) -> DataFrame:
+    """row, doc_id, held_out (as they are), logs (of the held words' counts), known (how many are held), codes (numbers of the words) and rare (words that aren't held) for every row of ``docs``: a written table."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    named = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", utf8())
+    shared = docs.sparkSession.sparkContext.broadcast((words.held, np.log10(words.held_n + ALPHA)))
+    return materialize(map_pieces(named, _codes(shared), f"row long, doc_id {id_type}, held_out boolean, logs double, known long, codes binary, rare array<binary>"), "brown-texts")
+
+
+def _unit_ids(batch: pa.RecordBatch, held_units: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of all texts in order, an end before the first and after each: units, numbers (-2 for an end, word j of the words that aren't held has -3 - j), and these words."""
+    sizes = pc.binary_length(batch.column("codes")).to_numpy() // 4
+    code = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.int32).astype(np.int64)
+    rare, lists = batch.column("rare").flatten(), pc.list_value_length(batch.column("rare")).to_numpy()
+    units, inner = np.zeros(len(code) + len(sizes) + 1, np.int64), np.ones(len(code) + len(sizes) + 1, bool)
+    inner[np.concatenate(([0], np.cumsum(sizes + 1)))] = False
+    others = np.flatnonzero(code < 0)
+    j = -1 - code[others] + np.repeat(np.cumsum(lists) - lists, sizes)[others]
+    own = held_units[np.maximum(code, 0)] if len(held_units) else code.copy()
+    own[others] = np.fromiter(map(ending, rare.to_pylist()), np.int64, len(rare))[j]
+    code[others] = -3 - j
+    numbers = np.full(len(units), -2, np.int64)
+    units[inner], numbers[inner] = own, code
+    return units, numbers, rare
+
+
+_ENTRY = np.dtype([("slot", "<u2"), ("n", "<u4")])
+
+
+def _bigrams(held_units: np.ndarray):
+    """Partial counts of the units after each unit, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(UNITS * UNITS, np.uint32)
+        for batch in batches:
+            for part in pieces(batch, "codes", CUT):
+                ids, _, _ = _unit_ids(part, held_units)
+                pair, n = np.unique(ids[:-1] * UNITS + ids[1:], return_counts=True)
+                total[pair] += n.astype(np.uint32)
+        for unit, row in enumerate(total.reshape(UNITS, UNITS)):
+            at = np.flatnonzero(row)
+            if len(at):
+                entries = np.empty(len(at), _ENTRY)
+                entries["slot"], entries["n"] = at, row[at]
+                yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int32()), pa.array([entries.tobytes()], pa.binary())], ["unit", "packed"])
 
     return run
 
 
+def _sum_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole rows of the bigram table; the partial ones come by unit."""
+    unit, total = None, np.zeros(UNITS, np.int64)
+    out = lambda: pa.RecordBatch.from_arrays([pa.array([unit], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["unit", "row"])
+    for batch in batches:
+        for u, packed in zip(*(batch.column(c).to_pylist() for c in ("unit", "packed")), strict=True):
+            if u != unit:
+                if unit is not None:
+                    yield out()
+                unit, total = u, np.zeros(UNITS, np.int64)
+            entries = np.frombuffer(packed, _ENTRY)
+            total[entries["slot"]] += entries["n"]
+    if unit is not None:
+        yield out()
+
+
 # --- clustering -------------------------------------------------------------------------------------------------
 
 
@@ -187,49 +274,52 @@ def exchange(n: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.
 
 # --- placing ----------------------------------------------------------------------------------------------------
 
-_ENTRY = np.dtype([("slot", "<u2"), ("n", "<u4")])
-
-
-class _Numbers(dict):
-    """Numbers of words in the order of their first use."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
-
-
-def _neighbours(frequent: dict[bytes, int], of: np.ndarray, classes: int):
-    """Partial counts of the classes before and after each word that isn't frequent, packed: slot k is class k before it, slot classes + k class k after it."""
+def _neighbours(shared, buckets: int):
+    """Partial counts of the classes before and after each word that isn't frequent: rows of a bucket's words, how many entries each has, and the entries; slot k is class k before the word, slot classes + k class k after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, numbers = _Units(frequent), _Numbers()
+        names, held_units, of, classes = shared.value
+        numbers = _Numbers()
         seen: list[np.ndarray] = [np.zeros(0, np.int64)]
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             keys, counts = np.unique(np.concatenate(seen), return_counts=True)
-            words, own = list(numbers), keys // (2 * classes)
-            numbers.clear()
             del seen[1:]
+            word = keys // (2 * classes)
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else word
+            own, sizes = word[first], np.diff(np.append(first, len(word)))
+            others = list(numbers)
+            words = [names[i] if i < len(names) else others[i - len(names)] for i in own.tolist()]
+            numbers.clear()
+            bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+            order = np.argsort(bucket, kind="stable")
             entries = np.empty(len(keys), _ENTRY)
             entries["slot"], entries["n"] = keys % (2 * classes), counts
-            ends = np.searchsorted(own, np.arange(len(words) + 1)) * _ENTRY.itemsize
-            for at in range(0, len(words), 50_000):
-                part = words[at : at + 50_000]
-                e = ends[at : at + len(part) + 1]
-                packed = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((e - e[0]).astype(np.int32).tobytes()), pa.py_buffer(entries.view(np.uint8)[e[0] : e[-1]].tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), packed], ["word", "packed"])
-
-        def cut(texts: list[list[bytes]]) -> int:
-            ids = _unit_ids(texts, units)
-            at, c = np.flatnonzero(ids >= CLUSTERED), of[ids]
-            own = np.fromiter((k for t in texts for k in map(numbers.__getitem__, [w for w in t if w not in frequent])), np.int64, len(at)) * (2 * classes)
-            seen.append(np.concatenate((own + c[at - 1], own + classes + c[at + 1])))
-            return 2 * len(at)
-
+            ends = np.concatenate(([0], np.cumsum(sizes[order])))
+            entries = entries[np.repeat(first[order] - ends[:-1], sizes[order]) + np.arange(len(keys))]
+            heads = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) > 0))) if len(order) else order
+            cuts = np.append(heads, len(order))
+            for at in range(0, len(heads), 256):
+                c = cuts[at : at + 257]
+                named = pa.array([words[i] for i in order[c[0] : c[-1]].tolist()], pa.binary())
+                lists = pa.ListArray.from_arrays(pa.array((c - c[0]).astype(np.int32)), named)
+                lengths = pa.ListArray.from_arrays(pa.array((c - c[0]).astype(np.int32)), pa.array(sizes[order[c[0] : c[-1]]].astype(np.int32)))
+                packed = [entries[ends[i] : ends[j]].tobytes() for i, j in pairwise(c.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[order[c[:-1]]].astype(np.int32)), lists, lengths, pa.array(packed, pa.binary())], ["bucket", "words", "sizes", "packed"])
+
+        frequent = min(len(names), CLUSTERED - 1)
         for batch in batches:
-            for part in pieces(batch, most=CUT):
-                size += cut([tokens(t) for t in part.column("text").to_pylist()])
+            for part in pieces(batch, "codes", CUT):
+                ids, code, rare = _unit_ids(part, held_units)
+                at, c = np.flatnonzero((code >= frequent) | (code < -2)), of[ids]
+                own = code[at]
+                unheld = own < 0
+                local = np.fromiter(map(numbers.__getitem__, rare.to_pylist()), np.int64, len(rare))
+                own[unheld] = len(names) + local[-3 - own[unheld]]
+                own *= 2 * classes
+                seen.append(np.concatenate((own + c[at - 1], own + classes + c[at + 1])))
+                size += 2 * len(at)
                 if len(numbers) > PARTIAL or size > NEIGHBOURS:
                     yield from out()
                     size = 0
@@ -246,7 +336,7 @@ def best_classes(group: np.ndarray, slot: np.ndarray, n: np.ndarray, own: np.nda
     """
     classes = len(c)
     table = np.concatenate((c, c.T))  # slot -> the bigrams that a word in class k adds to
-    once = _phi(table + 1) - _phi(table)
+    once = (_phi(table + 1) - _phi(table)).astype(np.float32)
     total = np.bincount(group[slot < classes], n[slot < classes], len(own))
     left, right = c.sum(axis=1), c.sum(axis=0)
     starts = np.searchsorted(group, np.arange(len(own) + 1))
@@ -275,33 +365,33 @@ def best_classes(group: np.ndarray, slot: np.ndarray, n: np.ndarray, own: np.nda
 
 
 def _place(of: np.ndarray, c: np.ndarray):
-    """word, n, class from partial counts that are ordered by word."""
+    """word, n, class from partial counts that come by bucket."""
+
+    def placed(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        words = pa.concat_arrays([r.column("words").flatten() for r in rows]).dictionary_encode()
+        first, index = words.dictionary, words.indices.to_numpy()
+        sizes = np.concatenate([r.column("sizes").flatten().to_numpy() for r in rows])
+        entries = np.frombuffer(b"".join(x for r in rows for x in r.column("packed").to_pylist()), _ENTRY)
+        keys, inverse = np.unique(np.repeat(index.astype(np.int64), sizes) * (2 * len(c)) + entries["slot"], return_inverse=True)
+        n = np.bincount(inverse, entries["n"], len(keys))
+        own = of[np.fromiter(map(ending, first.to_pylist()), np.int64, len(first))]
+        total, best = best_classes(keys // (2 * len(c)), keys % (2 * len(c)), n, own, c)
+        return pa.RecordBatch.from_arrays([first, pa.array(total), pa.array(best.astype(np.int32))], ["word", "n", "class"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def placed(words: pa.Array, packed: pa.Array, starts: np.ndarray) -> pa.RecordBatch:
-            first = words.take(pa.array(starts[:-1]))
-            sizes = pc.binary_length(packed).to_numpy(zero_copy_only=False) // _ENTRY.itemsize
-            entries = np.frombuffer(b"".join(packed.to_pylist()), _ENTRY)
-            row_group = np.repeat(np.arange(len(first)), np.diff(starts))
-            keys, inverse = np.unique(np.repeat(row_group, sizes) * (2 * len(c)) + entries["slot"], return_inverse=True)
-            n = np.bincount(inverse, entries["n"], len(keys))
-            own = of[np.fromiter(map(ending, first.to_pylist()), np.int64, len(first))]
-            total, best = best_classes(keys // (2 * len(c)), keys % (2 * len(c)), n, own, c)
-            return pa.RecordBatch.from_arrays([first, pa.array(total), pa.array(best.astype(np.int32))], ["word", "n", "class"])
-
-        words = packed = None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            words = batch.column("word") if words is None else pa.concat_arrays([words, batch.column("word")])
-            packed = batch.column("packed") if packed is None else pa.concat_arrays([packed, batch.column("packed")])
-            starts = np.flatnonzero(pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)) + 1
-            if len(starts):  # the last word may go on
-                end = int(starts[-1])
-                yield placed(words.slice(0, end), packed.slice(0, end), np.concatenate(([0], starts)))
-                words, packed = words.slice(end), packed.slice(end)
-        if words is not None:
-            yield placed(words, packed, np.array([0, len(words)]))
+            bucket = batch.column("bucket").to_numpy()
+            ends = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            for a, b in pairwise(ends):
+                if a == b:
+                    continue
+                if held and held[0].column("bucket")[0].as_py() != bucket[a]:
+                    yield placed(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield placed(held)
 
     return run
 
@@ -312,9 +402,7 @@ def _place(of: np.ndarray, c: np.ndarray):
 @dataclass
 class Words:
     table: DataFrame  # word (binary), n, class: every word of the training texts
-    held: dict[bytes, int]  # numbers of the most frequent words
-    held_class: np.ndarray  # their classes and log10(n + ALPHA); one entry more for words that aren't held
-    held_log: np.ndarray
+    held_class: np.ndarray  # of the held words by their numbers
     classes: int
     end_class: int
     unseen: int  # the class of words that aren't in the table
@@ -328,84 +416,65 @@ class Words:
         return self.tokens + ALPHA * (self.vocabulary + 1)
 
 
-def learn(texts: DataFrame) -> Words:
-    """The words of every row of ``texts`` (text) with their counts and classes."""
-    spark, texts = texts.sparkSession, texts.select(utf8())
-    counts = materialize(map_pieces(texts, _word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "brown-counts")
-    classes = class_count(counts.count())
-    top = counts.orderBy(F.desc("n"), "word").limit(min(HELD, CLUSTERED - 1)).toArrow()
-    frequent = {w: i for i, w in enumerate(top["word"].to_pylist(), 1)}
+def learn(docs: DataFrame) -> Words:
+    """The words of every row of ``docs`` (doc_id, text) with their counts and classes."""
+    lex = lexicon(docs)
+    return classes_of(coded(docs.select("doc_id", F.lit(False).alias("held_out"), "text"), lex), lex)
 
-    pairs = map_pieces(texts, _bigrams(frequent), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # UNITS^2 rows at most
-    bigrams = np.zeros(UNITS * UNITS)
-    bigrams[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
-    bigrams = bigrams.reshape(UNITS, UNITS)
+
+def classes_of(texts: DataFrame, lex: Lexicon) -> Words:
+    """The classes of a lexicon's words, from the coded texts that it has counted."""
+    spark, classes, frequent = texts.sparkSession, class_count(lex.vocabulary), lex.frequent
+    names = list(lex.held)
+    held_units = np.array([*range(1, frequent + 1), *map(ending, names[frequent:])], np.int64)
+    codes = texts.select("codes", "rare")
+
+    partial = codes.mapInArrow(_bigrams(held_units), "unit int, packed binary").repartition("unit").sortWithinPartitions("unit")
+    rows = partial.mapInArrow(_sum_bigrams, "unit int, row binary").toArrow()  # UNITS rows of UNITS numbers at most
+    bigrams = np.zeros((UNITS, UNITS))
+    for unit, row in zip(rows["unit"].to_pylist(), rows["row"].to_pylist(), strict=True):
+        bigrams[unit] = np.frombuffer(row, np.int64)
     ends = int(bigrams[:, END].sum())
     of = exchange(bigrams, classes)
     member = np.zeros((UNITS, classes))
     member[np.arange(UNITS), of] = 1
 
-    partial = map_pieces(texts, _neighbours(frequent, of, classes), "word binary, packed binary").repartition("word").sortWithinPartitions("word")
-    placed = partial.mapInArrow(_place(of, member.T @ bigrams @ member), "word binary, n long, class int")
-    first = spark.createDataFrame([(w, n, int(of[i])) for (w, i), n in zip(frequent.items(), top["n"].to_pylist(), strict=True)], "word binary, n long, class int")
+    partitions = max(texts.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shared = spark.sparkContext.broadcast((names, held_units, of, classes))
+    counted = codes.mapInArrow(_neighbours(shared, BUCKETS * partitions), "bucket int, words array<binary>, sizes array<int>, packed binary").repartition("bucket").sortWithinPartitions("bucket")
+    placed = counted.mapInArrow(_place(of, member.T @ bigrams @ member), "word binary, n long, class int")
+    first = spark.createDataFrame([(w, int(n), int(of[i])) for i, (w, n) in enumerate(zip(names[:frequent], lex.held_n[:frequent], strict=True), 1)], "word binary, n long, class int")
     table = materialize(first.unionByName(placed), "brown-classes")
     held = table.orderBy(F.desc("n"), "word").limit(HELD).toArrow()  # HELD rows
+    held_class = np.zeros(len(names), np.int32)
+    held_class[[lex.held[w] for w in held["word"].to_pylist()]] = held["class"].to_numpy()
     n, v = np.zeros(classes), np.zeros(classes)
     for r in table.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # a row for each class at most
         n[r["class"]], v[r["class"]] = r["n"], r["v"]
     unseen, end_class = int(v.argmax()), int(of[END])
     n[end_class] += ends
     v[end_class] += ends > 0
-    logs = np.log10(held["n"].to_numpy() + ALPHA)
-    return Words(
-        table, {w: i for i, w in enumerate(held["word"].to_pylist())}, np.append(held["class"].to_numpy(), 0).astype(np.int32), np.append(logs, 0.0),
-        classes, end_class, unseen, n + ALPHA * (v + 1), ends, int(n.sum()), int(v.sum()),
-    )
-
-
-def _codes(shared):
-    """A row for each text: sums over the words that are held, the classes of its words, and the words that aren't held; word j of these has -1 - j for a class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_class, held_log = shared.value
-        for batch in batches:
-            logs, known, codes, rare = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                words = tokens(text)
-                i = np.fromiter(map(held.get, words, repeat(-1)), np.int64, len(words))
-                code, others = held_class[i], _Numbers()
-                at = np.flatnonzero(i < 0)
-                if len(at):
-                    code[at] = [-1 - others[words[k]] for k in at.tolist()]
-                logs.append(float(held_log[i].sum()))
-                known.append(len(words) - len(at))
-                codes.append(code.tobytes())
-                rare.append(list(others))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(logs, pa.float64()), pa.array(known, pa.int64()), pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.binary()))],
-                ["row", "doc_id", "held_out", "logs", "known", "codes", "rare"],
-            )
-
-    return run
+    return Words(table, held_class, classes, end_class, unseen, n + ALPHA * (v + 1), ends, int(n.sum()), int(v.sum()))
 
 
-def _resolve(unseen: int):
+def _resolve(shared, unseen: int):
     """The classes of all words, with what the words that aren't held add to the sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_class = shared.value
         for batch in batches:
             found = batch.column("found")
             js, ns, cs = (found.values.field(k).to_numpy() for k in range(3))
             ends = found.offsets.to_numpy()
             logs, known, codes = [], [], []
             for i, (packed, s, more, size) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("codes", "logs", "known", "n_rare")), strict=True)):
-                code = np.frombuffer(packed, np.int32)
+                own = np.frombuffer(packed, np.int32)
+                code = held_class[np.maximum(own, 0)]
                 if size:
                     n, of, part = np.zeros(size, np.int64), np.full(size, unseen, np.int32), slice(ends[i], ends[i + 1])
                     n[js[part]], of[js[part]] = ns[part], cs[part]
-                    at = np.flatnonzero(code < 0)
-                    j = -1 - code[at]
-                    code = code.copy()
+                    at = np.flatnonzero(own < 0)
+                    j = -1 - own[at]
                     code[at] = of[j]
                     s += float(np.log10(n[j] + ALPHA).sum())
                     more += int((n[j] > 0).sum())
@@ -417,25 +486,23 @@ def _resolve(unseen: int):
     return run
 
 
-def coded(docs: DataFrame, words: Words) -> DataFrame:
-    """doc_id, held_out (as they are), logs (of the words' counts), known, codes (classes of the words) for every row of ``docs``."""
-    spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    named = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", utf8())
-    shared = spark.sparkContext.broadcast((words.held, words.held_class, words.held_log))
-    texts = materialize(map_pieces(named, _codes(shared), f"row long, doc_id {id_type}, held_out boolean, logs double, known long, codes binary, rare array<binary>"), "brown-texts")
+def classed(texts: DataFrame, words: Words) -> DataFrame:
+    """doc_id, held_out, logs (of the words' counts), known, codes (classes of the words) for every coded text: a written table."""
+    id_type = texts.schema["doc_id"].dataType.simpleString()
     rare = texts.select("row", F.posexplode("rare").alias("j", "word"))
     found = rare.join(words.table, "word").groupBy("row").agg(F.collect_list(F.struct("j", "n", "class")).alias("found"))
     none = F.array().cast("array<struct<j:int,n:bigint,class:int>>")
     whole = texts.select("row", "doc_id", "held_out", "logs", "known", "codes", F.size("rare").alias("n_rare")).join(found, "row", "left").withColumn("found", F.coalesce("found", none))
-    return materialize(whole.mapInArrow(_resolve(words.unseen), f"doc_id {id_type}, held_out boolean, logs double, known long, codes binary"), "brown-coded")
+    shared = texts.sparkSession.sparkContext.broadcast(words.held_class if len(words.held_class) else np.zeros(1, np.int32))
+    return materialize(whole.mapInArrow(_resolve(shared, words.unseen), f"doc_id {id_type}, held_out boolean, logs double, known long, codes binary"), "brown-coded")
 
 
 def _class_bigrams(classes: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(classes * classes, np.int64)
-        for batch in batches:
-            last = np.array([end], np.uint16).tobytes()
-            c = np.frombuffer(last + b"".join([x + last for x in batch.column("codes").to_pylist()]), np.uint16).astype(np.int64)
+        last = np.array([end], np.uint16).tobytes()
+        for part in (part for batch in batches for part in pieces(batch, "codes", CUT)):
+            c = np.frombuffer(last + b"".join([x + last for x in part.column("codes").to_pylist()]), np.uint16).astype(np.int64)
             total += np.bincount(c[:-1] * classes + c[1:], minlength=classes * classes)
         pairs = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(pairs.astype(np.int32)), pa.array(total[pairs])], ["pair", "n"])
@@ -480,6 +547,9 @@ def score(texts: DataFrame, words: Words, transition: np.ndarray) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """Score every row; learn from rows that are not held out."""
     held_out = id_remainder(10) == 0
-    words = learn(docs.where(~held_out))
-    texts = coded(docs.select("doc_id", held_out.alias("held_out"), "text"), words)
+    lex = lexicon(docs.where(~held_out))
+    numbers = coded(docs.select("doc_id", held_out.alias("held_out"), "text"), lex)
+    words = classes_of(numbers.where("NOT held_out"), lex)
+    texts = classed(numbers, words)
+    discard(numbers, words.table)
     return score(texts, words, transitions(texts.where("NOT held_out"), words))
