@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch are cut into pieces of at most this many bytes of text before Python objects are made.
 PIECE_BYTES = 16 << 20
+#: Bytes of an Arrow batch, as far as single rows allow: texts are long, and a batch is held by Spark and by Python.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +61,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     it. It has a folder of its own, which goes with the session if ``discard`` doesn't take it before.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
     files, at = _files(spark, path)
     files.deleteOnExit(at)
@@ -96,12 +99,21 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES)
     yield batch.slice(start)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by ``BATCH_BYTES``, if its own bound isn't lower."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = (spark.conf.get(name, None) or "").rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def map_pieces(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` over slices of bounded size; ``df`` has a binary column ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(piece for batch in batches for piece in pieces(batch))
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
