@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 # Texts that no pattern may match emptily.
-PROBES = ("", "가", "A")
+PROBES = ("", "a", "금지 문구")
 
 
 def has_backreference(pattern: str) -> bool:

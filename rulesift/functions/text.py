@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: White space of scripts that also know the byte-order mark: Unicode's, and U+FEFF.
 SPACE = r"[\s\x{FEFF}]"
@@ -21,6 +21,12 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else x if x.isascii() else unicodedata.normalize("NFKC", x))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def nfkc_each(lists: pd.Series) -> pd.Series:
+    """``nfkc`` of every text of an array."""
+    return lists.map(lambda xs: None if xs is None else [None if x is None else unicodedata.normalize("NFKC", x) for x in xs])
+
+
 def trim(text: Column) -> Column:
     """Strip Unicode white space and byte-order marks at both ends."""
     return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
@@ -74,6 +80,13 @@ def normalize_name(text: Column, compose: bool = True) -> Column:
     return compact(composed(text, compose))
 
 
+def plain_names(names: Column) -> Column:
+    """Map from the texts of an array, composed and without blanks; rows without any don't go to Python."""
+    some = F.array_distinct(F.filter(names, lambda n: n.isNotNull()))
+    there = F.when(F.size(some) > 0, some)
+    return F.map_from_arrays(F.coalesce(there, F.array().cast("array<string>")), F.transform(F.coalesce(nfkc_each(there), F.array().cast("array<string>")), compact))
+
+
 def utf16_length(text: Column) -> Column:
     """UTF-16 units: code points, and one more for each beyond the basic plane."""
     return F.length(text) + F.when(F.octet_length(text) == F.length(text), 0).otherwise(F.regexp_count(text, F.lit(_ASTRAL)))

@@ -17,6 +17,7 @@ AI_VERBATIM, AI_VERIFICATION = "OFFICIAL-AI-VERBATIM", "OFFICIAL-AI-VERIFICATION
 MATERIALS = ("peer_evaluation", "self_evaluation", "class_output", "reflection", "book_report")
 EXCLUDED_SERVICE = ("simple_donation", "disciplinary_service", "juvenile_social_service", "education_activity_infringement_measure")
 INSTITUTION_ENDINGS = ("교육청", "교육지원청")
+INSTITUTIONS = ("교육부", "대한민국학술원", "국사편찬위원회", "국립국제교육원", "국립특수교육원", "교원소청심사위원회", "중앙교육연수원")
 CREATIVE_FIELDS = ("creative_autonomy_club_special", "creative_career_special")
 REQUIRED_INPUT = {
     "OFFICIAL-DIRECT-OBSERVATION": "provenance.observationBasis",
@@ -147,10 +148,14 @@ def one(rule_id: str, outcome: Column) -> Column:
     return F.when(outcome.isNotNull(), F.array(F.struct(F.lit(rule_id).alias("ruleId"), outcome.alias("outcome")))).otherwise(F.array().cast(VERDICT))
 
 
+def allowed_plain(plain: Column, names: tuple[str, ...] = ()) -> Column:
+    """``allowed_institution`` of a name that is composed and without blanks."""
+    return reduce(lambda a, b: a | b, [plain.endswith(e) for e in INSTITUTION_ENDINGS], plain.isin(*INSTITUTIONS, *names))
+
+
 def allowed_institution(name: Column, names: tuple[str, ...] = (), compose: bool = True) -> Column:
-    """On the list, or one of the offices that its ending tells."""
-    plain = normalize_name(name, compose)
-    return reduce(lambda a, b: a | b, [plain.endswith(e) for e in INSTITUTION_ENDINGS], plain.isin(*names) if names else F.lit(False))
+    """On the fixed list or on ``names``, or one of the offices that its ending tells."""
+    return allowed_plain(normalize_name(name, compose), names)
 
 
 def shape_error(pack: RulePack, e: Column | None = None) -> Column:

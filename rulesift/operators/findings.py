@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulesift import schemas as S
-from rulesift.functions.text import measure, normalize_name, truncate
+from rulesift.functions.text import measure, once, plain_names, truncate
 from rulesift.operators import decide
 from rulesift.operators.scan import scan_array
 from rulesift.plans.rulepack import Rule, RulePack
@@ -178,18 +178,27 @@ def overall_status(content: Column, context: Column) -> Column:
     return by_severity(F.greatest(severity(content, S.OVERALL_STATUS), severity(F.when(context == "complete", "pass").otherwise(context), S.OVERALL_STATUS)), S.OVERALL_STATUS)
 
 
-def suppressed(hit: Column, field: Column, activity: Column, activity_outcome: Column, institutions: tuple[str, ...], compose: bool) -> Column:
-    """Names that need no review: allowed institutions, and organizers of a creative activity that is in order."""
+def names_met(hits: Column, activity: Column) -> Column:
+    """Map from the names that a row's suppression compares to their plain forms; empty where the rule has no hit."""
+    own = F.transform(F.filter(hits, lambda h: h["ruleId"] == SPECIFIC_NAME), lambda h: h["text"])
+    organizers = F.transform(F.coalesce(activity["organizers"], F.array().cast("array<struct<kind:string,name:string>>")), lambda o: o["name"])
+    return plain_names(F.when(F.size(own) > 0, F.concat(own, organizers)).otherwise(F.array().cast("array<string>")))
+
+
+def suppressed(hit: Column, field: Column, activity: Column, activity_outcome: Column, institutions: tuple[str, ...], plain: Column) -> Column:
+    """Names that need no review: allowed institutions, and organizers of a creative activity that is in order. plain: of ``names_met``."""
     organizers = F.coalesce(activity["organizers"], F.array().cast("array<struct<kind:string,name:string>>"))
-    named = F.exists(organizers, lambda o: o["name"].isNotNull() & (normalize_name(o["name"], compose) == normalize_name(hit["text"], compose)))
-    return (hit["ruleId"] == SPECIFIC_NAME) & (decide.allowed_institution(hit["text"], institutions, compose) | (field.isin(*decide.CREATIVE_FIELDS) & activity_outcome.isNull() & F.coalesce(named, F.lit(False))))
+    name = F.try_element_at(plain, hit["text"])
+    named = F.exists(organizers, lambda o: o["name"].isNotNull() & (F.try_element_at(plain, o["name"]) == name))
+    return (hit["ruleId"] == SPECIFIC_NAME) & F.coalesce(decide.allowed_plain(name, institutions) | (field.isin(*decide.CREATIVE_FIELDS) & activity_outcome.isNull() & F.coalesce(named, F.lit(False))), F.lit(False))
 
 
 def validate(entries: DataFrame, pack: RulePack, institutions: tuple[str, ...] = (), extra: bool = True) -> DataFrame:
     """The columns of ``entries`` with error, profile, findings, needsContext, measurement and the three statuses.
 
     ``entries`` has field, text, profile; provenance, activityContext and volunteerContext may be missing. An entry with
-    an error has null statuses. Names are compared as they are (texts in NFKC).
+    an error has null statuses. Names are compared in NFKC without blanks; only rows in which the rule on names has hits
+    go to Python for that.
     """
     have = set(entries.columns)
     optional = {"provenance": S.nested(S.PROVENANCE), "activityContext": S.nested(S.ACTIVITY), "volunteerContext": S.nested(S.VOLUNTEER), "grade": "int", "curriculum": "string", "profile": "string"}
@@ -203,7 +212,8 @@ def validate(entries: DataFrame, pack: RulePack, institutions: tuple[str, ...] =
     staged = checked.withColumns({"__hits": scan_array(pack, text, F.col("profile"), field), "__prov": decide.provenance(pack, field, F.col("provenance")), "__creative": activity_outcome, "__volunteer": volunteer})
     hits = F.col("__hits")
     if SPECIFIC_NAME in pack.rule:
-        hits = F.filter(hits, lambda h: ~suppressed(h, field, F.col("activityContext"), F.col("__creative"), institutions, False))
+        staged = once(staged, __hits=hits).withColumn("__plain", names_met(hits, F.col("activityContext")))
+        hits = F.filter(hits, lambda h: ~suppressed(h, field, F.col("activityContext"), F.col("__creative"), institutions, F.col("__plain")))
     kinds = {k: [r for r in pack.rules if r.kind == k] for k in ("length", "metadata", "context")}
     context = F.concat(decide.one("FIELD-CREATIVE-ACTIVITY-SCOPE", F.col("__creative")), decide.one("FIELD-VOLUNTEER-ELIGIBILITY", F.col("__volunteer")))
     raw = F.concat(
@@ -218,7 +228,7 @@ def validate(entries: DataFrame, pack: RulePack, institutions: tuple[str, ...] =
     judged = judged.withColumns({"contentStatus": content_status(F.col("findings")), "contextStatus": context_status(F.col("findings"), F.col("needsContext"))})
     ok = F.col("error").isNull()
     final = judged.withColumn("status", F.when(ok, overall_status(F.col("contentStatus"), F.col("contextStatus")))).withColumns({"contentStatus": F.when(ok, F.col("contentStatus")), "contextStatus": F.when(ok, F.col("contextStatus"))})
-    return final.drop("__hits", "__prov", "__creative", "__volunteer", "__raw", "__once")
+    return final.drop("__plain", "__hits", "__prov", "__creative", "__volunteer", "__raw", "__once")
 
 
 def batch_errors(entries: DataFrame) -> DataFrame:

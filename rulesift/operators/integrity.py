@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rulesift.errors import BundleError
 from rulesift.functions import patterns as gate
 from rulesift.functions.text import normalize_search, sha256_upper, words
 from rulesift.plans.rulepack import RulePack
@@ -23,12 +24,6 @@ SCOPES = {"elementary": ("elementary",), "common": ("elementary", "middle", "hig
 MAX_QUOTES = 20_000
 
 
-class BundleError(ValueError):
-    def __init__(self, kind: str, path: str):
-        super().__init__(f"Startup failed: {kind} ({path})")
-        self.kind, self.path = kind, path
-
-
 # --- generic checks ---------------------------------------------------------------------------------------------
 
 
@@ -126,14 +121,17 @@ def _pack_repeats(b: Bundle) -> list[str]:
     from collections import Counter
 
     found = [k for k, n in Counter(r.id for r in b.pack.rules).items() if n > 1]
-    found += [k for k, n in Counter(f.key for f in b.pack.fields).items() if n > 1]
-    for r in b.pack.rules:
-        for values in (r.applies_to or (), r.evidence, r.conflicts, r.patterns):
-            if len(set(values)) < len(values):
-                found.append(r.id)
+    if not b.pack.field_keys:  # those of a file are unique
+        found += [k for k, n in Counter(f.key for f in b.pack.fields).items() if n > 1]
     return found
 
 
+def _inner_repeats(b: Bundle) -> list[str]:
+    """Fields that cite an excerpt twice, rules that list a field, a conflict or an outcome twice."""
+    lists = [(f.key, [f.evidence]) for f in b.pack.fields] + [(r.id, [r.applies_to or (), r.conflicts, r.outcomes]) for r in b.pack.rules]
+    return [i for i, values in lists if any(len(set(v)) < len(v) for v in values)]
+
+
 def _authority_separation(b: Bundle) -> list[str]:
     odd = []
     for r in b.pack.rules:
@@ -151,7 +149,7 @@ def _length_fields(b: Bundle) -> list[str]:
         if f.length_kind == "system-range":
             if f.length_rule:
                 odd.append(f.key)
-        elif r is None or r.field != f.key or r.max_bytes != f.max_bytes or tuple(r.evidence) != tuple(f.evidence):
+        elif r is None or r.field != f.key or r.max_bytes != f.max_bytes or tuple(r.evidence) != tuple(f.evidence) or r.applies_to != (f.key,):
             odd.append(f.key)
     used = [f.length_rule for f in b.pack.fields if f.length_rule]
     return odd + [i for i in rules if used.count(i) != 1]
@@ -246,8 +244,9 @@ def _evidence_reference(b: Bundle) -> DataFrame:
 
 
 def _field_reference(b: Bundle) -> list[str]:
-    keys = set(b.pack.field_of)
-    return [r.id for r in b.pack.rules for f in (r.applies_to or ()) if f not in keys]
+    """Fields that are listed under another key than their own, and rules for fields that there are not."""
+    odd = [f.key for k, f in zip(b.pack.field_keys, b.pack.fields, strict=True) if k != f.key] if b.pack.field_keys else []
+    return odd + [r.id for r in b.pack.rules for f in (r.applies_to or ()) if f not in b.pack.field_of]
 
 
 #: (kind, path, violations) in the order of a start-up; a violations function gives a table of ids or a list of them.
@@ -274,6 +273,7 @@ CHECKS: list[tuple[str, str, Callable[[Bundle], DataFrame | list[str] | None]]]
     ("evidence-quote-hash", "evidence", lambda b: _ids(b.evidence.where(~sha256_upper(F.col("quote")).eqNullSafe(F.col("quoteSha256"))), "id")),
     ("evidence-quote-containment", "evidence", _quotes),
     ("rule-field-reference", "rules", _field_reference),
+    ("duplicate-id", "rules", _inner_repeats),
     ("rule-evidence-reference", "rules", _evidence_reference),
     ("rule-conflict-reference", "rules", _conflict_reference),
     ("rule-conflict-symmetry", "rules", _conflict_symmetry),

@@ -23,14 +23,21 @@ def _last(text: Column, part: str) -> Column:
     return F.when(back > 0, F.length(text) - back - len(part) + 1).otherwise(-1)
 
 
-def context_of(text: Column, start: Column, end: Column) -> Column:
-    """The span with up to AROUND characters on either side, cut after the last sentence end before and at the first after.
+def _beside(near: Column, last: bool) -> Column:
+    """The last or first AROUND UTF-16 units of a text of at most as many code points; half of a pair isn't kept."""
+    units = F.encode(near, "UTF-16BE")
+    size = 2 * AROUND
+    cut = F.substring(units, F.greatest(F.length(units) - size, F.lit(0)) + 1, F.lit(size)) if last else F.substring(units, 1, size)
+    edge = F.hex(F.substring(cut, 1, 2) if last else F.substring(cut, -2, 2))
+    half = edge.between("DC00", "DFFF") if last else edge.between("D800", "DBFF")
+    whole = F.when(half, F.substring(cut, 3, size) if last else F.substring(cut, 1, size - 2)).otherwise(cut)
+    return F.when(F.length(units) <= size, near).otherwise(F.decode(whole, "UTF-16BE"))
+
 
-    Characters are code points; where a text holds characters beyond the basic plane close to a span, the reference
-    counts them twice, which can only shorten what is seen.
-    """
-    left = F.substring(text, F.greatest(start - AROUND, F.lit(0)) + 1, F.least(start, F.lit(AROUND)))
-    right = F.substring(text, end + 1, AROUND)
+def context_of(text: Column, start: Column, end: Column) -> Column:
+    """The span with up to AROUND UTF-16 units on either side, cut after the last sentence end before and at the first after."""
+    left = _beside(F.substring(text, F.greatest(start - AROUND, F.lit(0)) + 1, F.least(start, F.lit(AROUND))), last=True)
+    right = _beside(F.substring(text, end + 1, AROUND), last=False)
     cut = F.greatest(_last(left, "\n"), _last(left, "."), _last(left, "다."))
     ends = F.array_min(F.filter(F.array(*[F.instr(right, p) for p in ("\n", ".", "다.")]), lambda x: x > 0))
     return F.concat(F.substring(left, cut + 2, AROUND), F.substring(text, start + 1, end - start), F.substring(right, 1, F.coalesce(ends, F.length(right))))

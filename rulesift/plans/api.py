@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulesift import schemas as S
 from rulesift.operators import decide, evidence, findings, review, search, semantic
 from rulesift.plans.rulepack import RulePack
+from rulesift.sources.bundle import load_bundle
 
 
 class InputError(ValueError):
@@ -24,6 +25,13 @@ class Tools:
     active: DataFrame | None = None
     sources: DataFrame | None = None
     institutions: tuple[str, ...] = ()
+    info: dict | None = None
+
+    @classmethod
+    def load(cls, spark: SparkSession, root: str, pack_id: str, institutions: tuple[str, ...] = ()) -> Tools:
+        """The tools over the sealed bundle in a folder, once it has passed every check."""
+        got = load_bundle(spark, root, pack_id)
+        return cls(got.pack, got.bundle.chunks, got.bundle.active, got.bundle.sources, institutions, got.info())
 
     def _checked(self, entries: DataFrame) -> DataFrame:
         """Reject a batch with a bad shape or a bad entry before any is judged."""
@@ -79,7 +87,8 @@ class Tools:
         return self.pack.fields_table(spark)
 
     def rule_pack_info(self) -> dict:
-        return {"rulePackId": self.pack.id, "defaultProfile": self.pack.default_profile, "fields": len(self.pack.fields), "rules": len(self.pack.rules), "evidence": len(self.pack.evidence), "catalogVersion": review.catalog_version(self.pack)}
+        """What identifies the pack; of a loaded bundle with its sources and hashes."""
+        return (self.info or {}) | {"rulePackId": self.pack.id, "defaultProfile": self.pack.default_profile, "fields": len(self.pack.fields), "rules": len(self.pack.rules), "evidence": len(self.pack.evidence), "catalogVersion": review.catalog_version(self.pack)}
 
 
 # --- settings of a service that hosts the tools -----------------------------------------------------------------

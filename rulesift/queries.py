@@ -328,7 +328,8 @@ def suppress_allowlisted(spark: SparkSession, sf_dir: str) -> DataFrame:
     pack = _plain_pack()
     named = pack.with_rules(Rule(findings.SPECIFIC_NAME, "phrase", literal=False, patterns=("mit licen[sc]e", "licen[sc]e"), outcome="review", evidence=("EV-B",)))
     scanned = _entries(spark, sf_dir).withColumn("h", scan.scan_array(named, F.col("text"), F.col("profile"), F.col("field"))).withColumn("a", F.lit(None).cast(S.nested(S.ACTIVITY)))
-    gone = F.filter("h", lambda h: findings.suppressed(h, F.col("field"), F.col("a"), F.lit(None).cast("string"), ("MITLicense", "license"), False))
+    scanned = tx.once(scanned, h=F.col("h")).withColumn("plain", findings.names_met(F.col("h"), F.col("a")))
+    gone = F.filter("h", lambda h: findings.suppressed(h, F.col("field"), F.col("a"), F.lit(None).cast("string"), ("MITLicense", "license"), F.col("plain")))
     return scanned.select("doc_id", F.size("h").alias("n_hits"), F.size(gone).alias("n_suppressed"))
 
 

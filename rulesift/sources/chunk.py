@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulesift.functions.text import normalize_corpus, normalize_search, pad_start, sha256_upper, utf16_length
-from rulesift.operators.integrity import BundleError, dangling
+from rulesift.errors import BundleError
+from rulesift.operators.integrity import dangling
 from rulesift.sources.extract import CIRCLED
 
 

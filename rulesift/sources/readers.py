@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import posixpath
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from rulesift import schemas as S
-from rulesift.operators.integrity import BundleError
+from rulesift.errors import BundleError
 
 
 def read_bytes(spark: SparkSession, path: str) -> DataFrame:
@@ -22,17 +24,33 @@ def read_bytes(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content", F.upper(F.sha2("content", 256)).alias("sha256"))
 
 
-def _unknown_keys(raw: Column, ddl: str) -> Column:
-    return F.array_except(F.json_object_keys(raw), F.array(*map(F.lit, S.names(ddl))))
+def _open(raw: Column, kind: StructType) -> Column:
+    """Whether a JSON object, or one that it holds, has keys that its type doesn't know."""
+    odd = F.size(F.array_except(F.json_object_keys(raw), F.array(*[F.lit(f.name) for f in kind]))) > 0
+    for f in kind:
+        own, inner = F.get_json_object(raw, f"$.{f.name}"), f.dataType
+        if isinstance(inner, StructType):
+            odd = odd | F.coalesce(_open(own, inner), F.lit(False))
+        elif isinstance(inner, ArrayType) and isinstance(inner.elementType, StructType):
+            odd = odd | F.coalesce(_any_open(own, inner.elementType), F.lit(False))
+    return odd
 
 
-def parse_rows(rows: DataFrame, ddl: str, path: str, column: str = "value") -> DataFrame:
-    """JSON objects of a column as columns; unparseable rows raise ``json-syntax``, unknown keys ``schema``."""
+def _any_open(raw: Column, kind: StructType) -> Column:
+    return F.exists(F.from_json(raw, "array<string>"), lambda x: _open(x, kind))
+
+
+def parse_rows(rows: DataFrame, ddl: str, path: str, column: str = "value", required: tuple[str, ...] = ()) -> DataFrame:
+    """JSON objects of a column as columns. Unparseable rows raise ``json-syntax``; unknown keys at any level, values of another type and missing ``required`` ones raise ``schema``."""
     if not rows.where(F.json_object_keys(column).isNull()).isEmpty():
         raise BundleError("json-syntax", path)
-    if not rows.where(F.size(_unknown_keys(F.col(column), ddl)) > 0).isEmpty():
+    kind = StructType.fromDDL(ddl)
+    read = F.from_json(column, f"struct<{S.nested(ddl)[7:-1]},__corrupt:string>", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"})
+    got = rows.select(F.col(column).alias("__raw"), read.alias("x"))
+    missing = reduce(lambda a, b: a | b, [F.col(f"x.{n}").isNull() for n in required], F.lit(False))
+    if not got.where(_open(F.col("__raw"), kind) | F.col("x.__corrupt").isNotNull() | missing).isEmpty():
         raise BundleError("schema", path)
-    return rows.select(F.from_json(column, S.nested(ddl), {"mode": "PERMISSIVE"}).alias("x")).select("x.*")
+    return got.select("x.*").drop("__corrupt")
 
 
 def read_json(spark: SparkSession, path: str, ddl: str, many: bool = True) -> DataFrame:

@@ -9,10 +9,11 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
-from rulesift.operators.integrity import BundleError
+from rulesift.errors import BundleError
 
 
 def canonical(value: object) -> str:
@@ -31,9 +32,18 @@ def to_plain(df: DataFrame, order: list[str]) -> list[dict]:
     return [plain(r) for r in df.orderBy(*order).collect()]
 
 
+def _by_key(value: Column, kind: DataType) -> Column:
+    """The same value with the fields of its structs sorted by name, at every level."""
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, (ArrayType, StructType)):
+        return F.transform(value, lambda x: _by_key(x, kind.elementType))
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[_by_key(value[f.name], f.dataType).alias(f.name) for f in sorted(kind, key=lambda f: f.name)]))
+    return value
+
+
 def json_lines(df: DataFrame) -> DataFrame:
-    """value: one compact object a row, columns sorted, nulls left out."""
-    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)])).alias("value"))
+    """value: one compact object a row, keys sorted at every level, nulls left out."""
+    return df.select(F.to_json(F.struct(*[_by_key(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in sorted(df.schema, key=lambda f: f.name)])).alias("value"))
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
