@@ -6,7 +6,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from rulesift import queries, schemas as S
+from rulesift import more_queries, queries, schemas as S
 from rulesift.functions import text as tx
 from rulesift.operators import decide, evidence, findings, integrity, search, semantic
 from rulesift.plans.rulepack import Rule, Semantic, conformance_pack
@@ -237,17 +237,17 @@ def test_streaming(spark, tmp_path):
     assert shell.severest_by_window(timed).first()["status"] == "blocked"
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL | more_queries.ORACLE_SQL))
 def test_queries_agree_with_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
     folder = "/root/testdata/sf0.001"
-    for t in ("region", "nation", "customer", "orders", "lineitem", "documents", "pages", "benchmark", "labels", "conversations"):
+    for t in ("region", "nation", "customer", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
-    df = queries.QUERIES[name](spark, folder)
+    df = (queries.QUERIES | more_queries.QUERIES)[name](spark, folder)
     columns = sorted(df.columns)
-    rel = con.sql(queries.ORACLE_SQL[name])
+    rel = con.sql((queries.ORACLE_SQL | more_queries.ORACLE_SQL)[name])
     assert columns == sorted(rel.columns)
     text = lambda rows: sorted(tuple(str(v) for v in r) for r in rows)
     assert text(df.select(*columns).collect()) == text(rel.select(*[f'"{c}"' for c in columns]).fetchall())
