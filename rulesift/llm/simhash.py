@@ -13,6 +13,20 @@ not all pairs, found by breadth-first search in which every member is queried on
 Buckets of over ``BUCKET`` members are known before anything is dealt: they go out as pairs of parts, so that no task
 gets more than two parts of one. Their list has at most a row for every ``BUCKET`` rows of the tables.
 
+``keep_first``, the pipeline's stage, links by similarity instead: texts whose sets of five-word shingles have a Jaccard
+similarity of 0.8 or more. 64 bits can't tell that apart, so it takes ``BITS`` bits of each shingle, one bit each of the
+text where over half of its distinct shingles have it. Texts of similarity s and equal size differ in a share of
+arccos(2s / (1 + s)) / pi of them on average: 0.8 stands for 38.8 of 256 bits, with a deviation of 5.7, and the radius
+``WIDE`` lies over two deviations beyond. No choice of blocks covers such a radius; instead each of many tables is keyed
+by some of the bits, drawn once. With n texts these are about log2(n) bits, so that chance meetings stay few, and as many
+tables as bring a pair at 0.8 into one bucket with a probability of 1 - ``MISS``: their number grows as about n^0.23. A
+bucket is ordered by other bits, and each member is compared with the ``NEIGHBOURS - 1`` that follow it, which are all
+others in a bucket of that size; so work and memory don't grow with a bucket's size. Comparisons are those of vertical
+planes again, of many pairs at once. Each member gives its first close follower (within ``CLOSE`` bits, which hardly any
+pair under 0.8 is) and its first other one within the radius. Close links make classes; of the other links one for each
+pair of such classes is left, the nearest, and an exact check follows: the sets of shingles of its two texts are compared,
+a text with many links being sent to several tasks, and only links of 0.8 or more count.
+
 Classes: the forests' links are contracted by alternating large-star and small-star steps, in DataFrame joins and
 aggregates with a written table for each round.
 
@@ -27,7 +41,7 @@ empty result. Extra columns are ignored. ``keep_first`` decides by row: see ther
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -46,22 +60,59 @@ HOT = 100_000
 BUCKET = 4096
 #: Shingles hashed and counted at once.
 SLICE = 1 << 16
-
-
-def fingerprint(text: bytes) -> int:
+#: The stage: words of a shingle, similarity that it looks for, bits of a fingerprint, radius, and share of pairs at that similarity that may never meet.
+STAGE_SHINGLE, SIMILARITY, BITS, WIDE, MISS = 5, 0.8, 256, 52, 0.03
+#: Radius of the pairs that need no check, and links of one text that are checked in one task.
+CLOSE, LINKS = 26, 1024
+#: Planes from one look at who is still within the radius to the next, where they are many.
+PAUSE = 8
+#: Members of a bucket, in their order, that are all compared with each other.
+NEIGHBOURS = 16
+
+
+def _shingles(text: bytes, width: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles, repeats included, in slices; nothing for a text without words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return
     line, n = b" ".join(words), len(words)
     size = np.fromiter(map(len, words), np.int64, n)
     starts = np.cumsum(size + 1) - size - 1
-    first = starts[: max(n - SHINGLE + 1, 1)]
-    last = (starts + size)[min(SHINGLE, n) - 1 :]
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    first = starts[: max(n - width + 1, 1)]
+    last = (starts + size)[min(width, n) - 1 :]
+    digest = xxhash.xxh64_intdigest
     for at in range(0, len(first), SLICE):
-        h = np.array([digest(line[a:b], SEED) for a, b in zip(first[at : at + SLICE].tolist(), last[at : at + SLICE].tolist(), strict=True)], np.uint64)
-        ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(first)).tobytes(), "big")
+        yield np.array([digest(line[a:b], SEED) for a, b in zip(first[at : at + SLICE].tolist(), last[at : at + SLICE].tolist(), strict=True)], np.uint64)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many have each bit, the highest first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(text: bytes) -> int:
+    ones, n = np.zeros(64, np.int64), 0
+    for h in _shingles(text, SHINGLE):
+        ones += _ones(h)
+        n += len(h)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+
+
+def wide_fingerprint(text: bytes) -> np.ndarray:
+    """BITS bits of the set of shingles, as uint64."""
+    parts = list(_shingles(text, STAGE_SHINGLE))
+    out = np.zeros(BITS // 64, np.uint64)
+    if parts:
+        h = np.unique(np.concatenate(parts))
+        for k in range(len(out)):
+            ones = np.zeros(64, np.int64)
+            for at in range(0, len(h), SLICE):
+                x = h[at : at + SLICE] + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                ones += _ones(x ^ (x >> np.uint64(31)))
+            out[k] = int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+    return out
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -92,99 +143,184 @@ class Planes:
     """The members' bits, one big integer for each bit position; member i is bit i of each."""
 
     def __init__(self, members: np.ndarray):
+        """members: a uint64 each, or a row of them."""
         self.n = len(members)
-        bits = np.unpackbits(members.astype(np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(np.ascontiguousarray(members, np.uint64).view(np.uint8).reshape(self.n, -1), axis=1, bitorder="little")
         packed = np.packbits(bits, axis=0, bitorder="little")
-        self.planes = [int.from_bytes(packed[:, b].tobytes(), "little") for b in range(64)]
+        self.planes = [int.from_bytes(packed[:, b].tobytes(), "little") for b in range(bits.shape[1])]
 
     def near(self, query: int, radius: int, among: int) -> int:
         """The members of the bit set ``among`` within the radius of ``query``, as a bit set.
 
-        Distances are kept as bit-sliced counters that carry-save adders update; counters that pass the radius drop
-        out, and the block is abandoned once none is left.
+        Distances are kept as bit-sliced counters that carry-save adders update. They start so that a distance over the
+        radius carries out of them; such members drop out, and the block is abandoned once none is left.
         """
-        counters = [0] * (radius + 1).bit_length()
-        alive = among
-        limit = radius + 1
+        top = radius.bit_length()
+        start = (1 << top) - 1 - radius
+        counters = [among if start >> k & 1 else 0 for k in range(top)]
+        over, alive, pause = 0, among, 1 if len(self.planes) == 64 else PAUSE
         for b, plane in enumerate(self.planes):
             carry = (plane ^ among if query >> b & 1 else plane) & alive
             for k, c in enumerate(counters):
                 if not carry:
                     break
                 counters[k], carry = c ^ carry, c & carry
-            if b < radius:
-                continue
-            over = alive
-            for k, c in enumerate(counters):
-                over &= c if limit >> k & 1 else ~c
-            alive &= ~over
-            if not alive:
-                return 0
-        return alive
+            over |= carry
+            if b >= radius and b % pause == pause - 1:
+                alive &= ~over
+                if not alive:
+                    return 0
+        return alive & ~over
+
+
+def near_pairs(x: np.ndarray, radius: int) -> np.ndarray:
+    """Which rows of uint64 have at most ``radius`` bits set: the planes of all rows, counted side by side in blocks that are abandoned once all exceed it."""
+    bits = np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1), axis=1)
+    lanes = -(-len(x) // 64)
+    planes = np.zeros((bits.shape[1], lanes * 8), np.uint8)
+    planes[:, : -(-len(x) // 8)] = np.packbits(bits.T, axis=1)
+    planes = planes.view(np.uint64)
+    top = radius.bit_length()
+    start = (1 << top) - 1 - radius
+    over, going = np.zeros(lanes, np.uint64), np.arange(lanes)
+    full = ~np.uint64(0)
+    counters = [np.full(lanes, full if start >> k & 1 else 0, np.uint64) for k in range(top)]
+    for b in range(len(planes)):
+        carry = planes[b, going]
+        for k in range(top):
+            carry, counters[k] = counters[k] & carry, counters[k] ^ carry
+        over[going] |= carry
+        if b % PAUSE == PAUSE - 1 and b >= radius:
+            left = np.flatnonzero(over[going] != full)
+            if len(left) < 0.7 * len(going):
+                going, counters = going[left], [c[left] for c in counters]
+                if not len(going):
+                    break
+    return np.unpackbits(over.view(np.uint8))[: len(x)] == 0
 
 
 def spanning_links(members: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs within the radius."""
-    planes, values, found = Planes(members), members.tolist(), []
+    """A spanning forest of the pairs within the radius, as places in ``members``."""
+    planes, found = Planes(members), []
+    values = [int.from_bytes(m.tobytes(), "little") for m in np.ascontiguousarray(members, np.uint64)]
     unreached = (1 << planes.n) - 1
     while unreached:
         low = unreached & -unreached
         unreached ^= low
         frontier = [low.bit_length() - 1]
         while frontier and unreached:
-            query = values[frontier.pop()]
-            near = planes.near(query, radius, unreached)
+            at = frontier.pop()
+            near = planes.near(values[at], radius, unreached)
             unreached &= ~near
             while near:
                 low = near & -near
                 near ^= low
-                found.append((query, values[low.bit_length() - 1]))
+                found.append((at, low.bit_length() - 1))
                 frontier.append(low.bit_length() - 1)
     return found
 
 
+def _buckets(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[dict, np.ndarray]]:
+    """Columns of rows that come by their keys, and the bounds of whole buckets in them."""
+    pending = None
+    for batch in batches:
+        rows = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+        if pending is not None:
+            rows = {c: np.concatenate((pending[c], x)) for c, x in rows.items()}
+        change = np.flatnonzero(np.any([rows[c][1:] != rows[c][:-1] for c in keys], axis=0)) + 1
+        if len(change):
+            yield rows, np.concatenate(([0], change))
+        pending = {c: x[change[-1] if len(change) else 0 :] for c, x in rows.items()}
+    if pending is not None and len(pending[keys[0]]):
+        yield pending, np.array([0, len(pending[keys[0]])])
+
+
+def _linked(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _dealt(keyed: DataFrame, keys: list[str], node: str, bucket: int) -> DataFrame:
+    """``keyed`` with i, j: a large bucket falls into parts, and each pair of parts is searched by itself; rows come by keys, i, j and node."""
+    large = keyed.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(bucket)).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    own = F.pmod(F.xxhash64(node), parts).cast("int")
+    dealt = keyed.join(large, keys, "left").select(*keyed.columns, parts.alias("parts"), own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    dealt = dealt.where((F.col("own") != F.col("other")) | (F.col("parts") == 1)).select(*keyed.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return dealt.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j", node)
+
+
 def links(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """a, b: links between distinct fingerprints ``nodes.fp`` that span every class of the radius. blocks: by the number of fingerprints, if none is given."""
     if blocks is None:
         blocks = radius + BLOCKS + int(nodes.count() > MANY)
     masks = F.array(*[F.lit(_signed(m)) for m in _masks(radius, blocks)])
     keyed = nodes.select("fp", F.posexplode(masks).alias("t", "mask")).select("fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    # A large bucket falls into parts; each pair of parts is searched by itself.
-    large = keyed.groupBy("t", "key").agg(F.ceil(F.count("*") / F.lit(bucket)).cast("int").alias("parts")).where("parts > 1")
-    parts = F.coalesce("parts", F.lit(1))
-    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    dealt = keyed.join(large, ["t", "key"], "left").select("t", "key", "fp", parts.alias("parts"), own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    dealt = dealt.where((F.col("own") != F.col("other")) | (F.col("parts") == 1)).select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending = None
-        found: list[tuple[int, int]] = []
-
-        def out() -> pa.RecordBatch:
-            a = np.array([x for x, _ in found], np.uint64).view(np.int64)
-            b = np.array([y for _, y in found], np.uint64).view(np.int64)
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        for rows, ends in _buckets(batches, ("t", "key", "i", "j")):
+            fp = rows["fp"].view(np.uint64)
+            found = [(fp[a + x], fp[a + y]) for a, b in pairwise(ends.tolist()) if b - a > 1 for x, y in spanning_links(fp[a:b], radius)]
+            if found:
+                yield _linked(*np.array(found, np.uint64).view(np.int64).T)
+
+    return _dealt(keyed, ["t", "key"], "fp", bucket).mapInArrow(run, "a long, b long").distinct()
+
+
+def tables_for(n: int) -> tuple[int, int]:
+    """Bits that key a table, and the number of tables, for n texts."""
+    bits = max(1, min(round(np.log2(max(n, 2))) - 1, BITS // 4))
+    same = 1 - np.arccos(2 * SIMILARITY / (1 + SIMILARITY)) / np.pi
+    return bits, int(np.ceil(np.log(1 / MISS) / same**bits))
+
+
+def similar_links(nodes: DataFrame, radius: int = WIDE, bucket: int = BUCKET) -> DataFrame:
+    """a, b (the smaller id first), close, bits: links between ``nodes`` (id, w0, w1, ...: a wide fingerprint) that some table has brought together."""
+    words = [f"w{k}" for k in range(BITS // 64)]
+    bits, tables = tables_for(nodes.count())
+    rng = np.random.default_rng(SEED)
+    listed = []
+    for _ in range(tables):
+        chosen = rng.choice(BITS, bits, replace=False).tolist()
+        masks = [_signed(sum(1 << c % 64 for c in chosen if c // 64 == k)) for k in range(len(words))]
+        listed.append(F.struct(*[F.lit(m).alias(w) for m, w in zip(masks, words, strict=True)], F.lit(int(rng.integers(1, 64))).alias("turn"), F.lit(int(rng.integers(len(words)))).alias("word")))
+    spread = nodes.select("id", *words, F.posexplode(F.array(*listed)).alias("t", "m"))
+    word = F.get(F.array(*words), F.col("m.word"))
+    turned = F.call_function("shiftleft", word, F.col("m.turn")).bitwiseOR(F.call_function("shiftrightunsigned", word, F.lit(64) - F.col("m.turn")))
+    keyed = spread.select(F.xxhash64("t", *[F.col(w).bitwiseAND(F.col(f"m.{w}")) for w in words]).alias("key"), turned.alias("order"), "id", *words)
+    # The members of a large bucket that begin alike in its order stay together, the rest is dealt out.
+    large = keyed.groupBy("key").agg(F.ceil(F.count("*") / F.lit(bucket)).cast("int").alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64(F.call_function("shiftrightunsigned", F.col("order"), F.lit(32))), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = keyed.join(large, "key", "left").select(*keyed.columns, part.alias("part"))
+    ordered = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "order", "id")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[str, np.ndarray] | None = None
         for batch in batches:
-            rows = {c: batch.column(c).to_numpy() for c in ("t", "key", "i", "j", "fp")}
-            rows["fp"] = rows["fp"].view(np.uint64)
-            if pending is not None:
-                rows = {c: np.concatenate((pending[c], x)) for c, x in rows.items()}
-            change = np.flatnonzero(np.any([rows[c][1:] != rows[c][:-1] for c in ("t", "key", "i", "j")], axis=0)) + 1
-            ends = change.tolist()
-            for a, b in zip([0, *ends], ends, strict=False):
-                if b - a > 1:
-                    found.extend(spanning_links(rows["fp"][a:b], radius))
-            pending = {c: x[ends[-1] if ends else 0 :] for c, x in rows.items()}
-            if len(found) >= 50_000:
-                yield out()
-        if pending is not None and len(pending["fp"]) > 1:
-            found.extend(spanning_links(pending["fp"], radius))
-        yield out()
-
-    ordered = dealt.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+            rows = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+            old = 0
+            if last is not None:
+                old = len(last["id"])
+                rows = {c: np.concatenate((last[c], x)) for c, x in rows.items()}
+            n, fp = len(rows["id"]), np.stack([rows[w] for w in words], axis=1).view(np.uint64)
+            found = {True: np.zeros(n, bool), False: np.zeros(n, bool)}
+            for k in range(1, min(NEIGHBOURS, n)):
+                a = np.arange(max(old - k, 0), n - k)
+                a = a[(rows["key"][a] == rows["key"][a + k]) & (rows["part"][a] == rows["part"][a + k]) & ~(found[True][a] & found[False][a])]
+                if not len(a):
+                    continue
+                x = fp[a] ^ fp[a + k]
+                near = np.concatenate([near_pairs(x[i : i + SLICE], radius) for i in range(0, len(x), SLICE)])
+                a, x = a[near], x[near]
+                close = near_pairs(x, CLOSE) if len(x) else near[:0]
+                new = np.where(close, ~found[True][a], ~found[False][a])
+                found[True][a[close]] = found[False][a[~close]] = True
+                a, close, x = a[new], close[new], x[new]
+                one, two = rows["id"][a], rows["id"][a + k]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, (np.minimum(one, two), np.maximum(one, two), close, np.bitwise_count(x).sum(axis=1).astype(np.int32)))], ["a", "b", "close", "bits"])
+            last = {c: x[max(n - NEIGHBOURS + 1, 0) :] for c, x in rows.items()}
+
+    return ordered.mapInArrow(run, "a long, b long, close boolean, bits int").where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -211,21 +347,67 @@ def components(edges: DataFrame) -> DataFrame:
         mark = tuple(now)
 
 
-def _class_table(prints: DataFrame, least: list[str], radius: int) -> DataFrame:
-    """fp, rows (their number), and the least of each of the columns ``least`` in the class, for every fingerprint."""
-    nodes = materialize(prints.groupBy("fp").agg(F.count("*").alias("rows"), *[F.min(c).alias(c) for c in least]), "simhash-nodes")
-    roots = components(links(nodes.select("fp"), radius))
-    # Only linked fingerprints need a second look: the class's least, by way of its root.
-    linked = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def nearest_links(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b: of ``links`` (a, b, bits) between different classes of ``roots`` (node, root) the nearest for each pair of classes."""
+    for end in ("a", "b"):
+        links = links.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    pair = [F.least("root_a", "root_b").alias("x"), F.greatest("root_a", "root_b").alias("y")]
+    best = links.where("root_a <> root_b").groupBy(*pair).agg(F.min(F.struct("bits", "a", "b")).alias("best"))
+    return best.select("best.a", "best.b")
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """id and set: the sorted hashes of the distinct shingles, packed, for every row of ``texts`` (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.concatenate(x)).tobytes() if (x := list(_shingles(t or b"", STAGE_SHINGLE))) else b"" for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "set"])
+
+    return map_pieces(texts.select("id", utf8()), run, "id long, set binary")
+
+
+def alike(links: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, most: int = LINKS) -> DataFrame:
+    """The links a, b whose texts' sets (id, set) have at least that Jaccard similarity."""
+    hubs = links.groupBy("a").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("parts"))
+    first = sets.join(hubs, sets["id"] == hubs["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "set")
+    other = links.join(hubs.where("parts > 1"), "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "b")
+    rows = first.unionByName(other.join(sets, other["b"] == sets["id"]).select("a", "part", "b", "set"))
+    ordered = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, np.uint64)
+        for batch in batches:
+            found = []
+            for a, b, packed in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "set")), strict=True):
+                x = np.frombuffer(packed, np.uint64)
+                if b is None:
+                    own = x
+                    continue
+                both = len(np.intersect1d(own, x, assume_unique=True))
+                if both >= similarity * (len(own) + len(x) - both):
+                    found.append((a, b))
+            if found:
+                yield _linked(*np.array(found, np.int64).T)
+
+    return ordered.mapInArrow(run, "a long, b long")
+
+
+def _class_table(nodes: DataFrame, node: str, edges: DataFrame, least: list[str]) -> DataFrame:
+    """``nodes`` (node, rows and others) with the least of each of the columns ``least`` in the class."""
+    roots = components(edges)
+    # Only linked nodes need a second look: the class's least, by way of its root.
+    linked = nodes.join(roots.select(F.col("node").alias(node), "root"), node, "left").withColumn("root", F.coalesce("root", node))
     smallest = linked.groupBy("root").agg(*[F.min(c).alias(c) for c in least])
-    return linked.select("fp", "root", "rows").join(smallest, "root").select("fp", "rows", *least)
+    return linked.select(node, "root", "rows").join(smallest, "root").select(node, "rows", *least)
 
 
 def classes(docs: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """The columns of ``docs`` but text, fp, and component_id, the smallest doc_id of the row's class."""
     names = [x for x in docs.columns if x.lower() not in ("text", "fp", "component_id")]
     prints = materialize(fingerprints(docs.select(*[f"`{x}`" for x in names], "text")), "simhash")
-    of = materialize(_class_table(prints, ["doc_id"], radius).withColumnRenamed("doc_id", "component_id"), "simhash-classes")
+    nodes = materialize(prints.groupBy("fp").agg(F.count("*").alias("rows"), F.min("doc_id").alias("component_id")), "simhash-nodes")
+    of = materialize(_class_table(nodes, "fp", links(nodes.select("fp"), radius), ["component_id"]), "simhash-classes")
     common, rare = of.where(F.col("rows") > hot).drop("rows"), of.where(F.col("rows") <= hot).drop("rows")
     here = prints.join(F.broadcast(common), "fp")
     rest = prints.join(F.broadcast(common.select("fp")), "fp", "left_anti").join(rare, "fp")
@@ -238,19 +420,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def wide_prints(docs: DataFrame) -> DataFrame:
+    """row (a column of ``docs``), id (a hash of the lower-cased words) and w0, w1, ..., the wide fingerprint, for every row."""
+    kept, words = docs.select("row", utf8()), [f"w{k}" for k in range(BITS // 64)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.column("text").to_pylist()]
+            ids = np.array([xxhash.xxh3_64_intdigest(b" ".join(t.lower().split())) for t in texts], np.uint64).view(np.int64)
+            prints = np.array([wide_fingerprint(t) for t in texts], np.uint64).reshape(len(texts), len(words)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ids), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(len(words)))], ["row", "id", *words])
+
+    return map_pieces(kept, run, f"row {kept.schema['row'].dataType.simpleString()}, id long, {', '.join(f'{w} long' for w in words)}")
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: one row of each class, with its columns as they were.
+    """Pipeline stage: one row of each class of similar texts, with its columns as they were.
 
-    It is the row with the smallest doc_id (rows without an id come last); of several with that id the one that is
-    smallest by hashes of its text and of its other columns, so that the choice doesn't depend on the order of rows. Of
-    rows that are equal in all columns, one stays.
+    Texts with the same words are one (told by a 64-bit hash); the others are linked where their similarity is 0.8 or
+    more. The row is the one with the smallest doc_id (rows without an id come last); of several with that id
+    the one that is smallest by hashes of its text and of its other columns, so that the choice doesn't depend on the
+    order of rows. Of rows that are equal in all columns, one stays. Texts without words are one text.
     """
     names = docs.columns
     plain = [F.col(f"`{f.name}`") if "map<" not in f.dataType.simpleString() else F.col(f"`{f.name}`").cast("string") for f in docs.schema if f.name != "text"]
     key = [F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"), F.xxhash64(F.lit(2), *plain).alias("c")]
     row = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), *key)
-    prints = materialize(fingerprints(docs.select(row.alias("row"), "text")), "simhash")
-    own = ["__row_a", "__row_b", "__row_c"]
-    first = _class_table(prints, ["row"], RADIUS).select(*[F.col(f"row.{x[-1]}").alias(x) for x in own]).distinct()
+    words, own = [f"w{k}" for k in range(BITS // 64)], ["__row_a", "__row_b", "__row_c"]
+    prints = wide_prints(docs.select(row.alias("row"), "text"))
+    nodes = materialize(prints.groupBy("id").agg(F.count("*").alias("rows"), F.min("row").alias("row"), *[F.min(w).alias(w) for w in words]), "simhash-texts")
+    met = materialize(similar_links(nodes.select("id", *words)), "simhash-met")
+    of_row = [F.col(f"row.{x[-1]}").alias(x) for x in own]
     keyed = docs.select("*", *[k.alias(x) for k, x in zip(key, own, strict=True)])
+    classes_ = components(met.where("close").select("a", "b"))
+    doubt = materialize(nearest_links(met.where("NOT close"), classes_), "simhash-doubt")
+    ends = doubt.select(F.col("a").alias("id")).unionByName(doubt.select(F.col("b").alias("id"))).distinct().join(nodes.select("id", *of_row), "id")
+    sets = materialize(_sets(keyed.select(*own, "text").dropDuplicates(own).join(ends, own).select("id", "text")), "simhash-sets")
+    edges = classes_.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(alike(doubt, sets))
+    first = _class_table(nodes.select("id", "rows", "row"), "id", edges, ["row"]).select(*of_row).distinct()
     return keyed.dropDuplicates(own).join(first, own, "left_semi").select(*[f"`{x}`" for x in names])

@@ -72,8 +72,6 @@ def test_simhash_against_brute_force(spark):
         least[of[p]] = min(i, least.get(of[p], i))
     want = sorted((i, f"{p:016x}", least[of[p]]) for (i, _), p in zip(rows, prints, strict=True))
     assert sorted(tuple(r) for r in simhash.near_duplicates(frame(spark, rows)).collect()) == want
-    kept = simhash.keep_first(frame(spark, rows))
-    assert kept.columns == ["doc_id", "text", "fp", "key"] and sorted(r["doc_id"] for r in kept.collect()) == sorted(least.values())  # two classes may have the same least id
 
 
 def test_simhash_null_ids_and_empty_table(spark):
@@ -85,6 +83,70 @@ def test_simhash_null_ids_and_empty_table(spark):
     assert simhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def shingle_set(text):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def assert_first_of_similar(before, after):
+    """Of texts with a similarity of 0.85 or more one stays; every class of 0.8 keeps one. before, after: (id, text)."""
+    sets = {}
+    for i, t in before:
+        sets.setdefault(" ".join((t or "").lower().split()), (shingle_set(t), []))[1].append(i)
+    texts = list(sets)
+    pairs = {x: [(a, b) for k, a in enumerate(texts) for b in texts[:k] if jaccard(sets[a][0], sets[b][0]) >= x] for x in (0.8, 0.85)}
+    loose, tight = (roots(texts, pairs[x]) for x in (0.8, 0.85))
+    stays = {" ".join((t or "").lower().split()) for _, t in after}
+    assert len(after) == len(stays) and {(str(i), t) for i, t in after} <= {(str(i), t) for i, t in before}
+    for t in set(tight.values()):
+        assert sum(tight[x] == t for x in stays) <= 1
+    assert {loose[x] for x in stays} == set(loose.values())
+    return len([p for p in pairs[0.85]]), len(before) - len(after)
+
+
+@pytest.mark.parametrize("bucket", [simhash.BUCKET, 5])  # small: buckets fall apart
+def test_keep_first_by_similarity(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (simhash.WIDE, bucket))
+    rng = random.Random(8)
+    rows = [(i, t) for i, t in corpus(3, 30)]
+    for i in range(12):
+        base = [rng.choice(VOCABULARY) for _ in range(300)]
+        for k in range(6):
+            w = list(base)
+            for at in rng.sample(range(300), k):
+                w[at] = f"new{k}"
+            rows.append((5000 + 10 * i + k, " ".join(w).upper() if k == 3 else "\n".join(w)))
+    kept = simhash.keep_first(frame(spark, rows))
+    assert kept.columns == ["doc_id", "text", "fp", "key"]
+    similar, gone = assert_first_of_similar(rows, [(r["doc_id"], r["text"]) for r in kept.collect()])
+    assert similar > 100 and gone > 60
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.integers(0, 2**64 - 1)), min_size=1, max_size=150), st.integers(0, 80))
+def test_pairs_counted_side_by_side(pairs, radius):
+    x = np.array(pairs, np.uint64)
+    assert simhash.near_pairs(x, radius).tolist() == [a.bit_count() + b.bit_count() <= radius for a, b in pairs]
+    q = int.from_bytes(x[0].tobytes(), "little")
+    near = simhash.Planes(x).near(q, radius, (1 << len(x)) - 1)
+    assert [near >> i & 1 for i in range(len(x))] == [int((int.from_bytes(m.tobytes(), "little") ^ q).bit_count() <= radius) for m in x]
+
+
+@pytest.mark.parametrize("most", [simhash.LINKS, 2])
+def test_links_are_checked_exactly(spark, most):
+    rng = random.Random(3)
+    base = set(range(100))
+    sets = {i: {x for x in base if rng.random() < 0.9} | {1000 + i} for i in range(20)} | {50: set(), 51: set()}
+    pairs = [(a, b) for a in range(20) for b in range(a + 1, 20)] + [(50, 51), (0, 50)]
+    rows = spark.createDataFrame([(i, np.array(sorted(x), np.uint64).tobytes()) for i, x in sets.items()], "id long, set binary")
+    got = {tuple(r) for r in simhash.alike(spark.createDataFrame(pairs, "a long, b long"), rows, 0.8, most).collect()}
+    assert got == {(a, b) for a, b in pairs if jaccard(sets[a], sets[b]) >= 0.8} and 20 < len(got) < 190
+
+
 def test_keep_first_keeps_a_row_of_each_class(spark):
     long, other = " ".join(f"alpha{i} beta" for i in range(30)), " ".join(f"gamma{i} delta" for i in range(30))
     rows = [(1, long, "x", 1), (1, other, "x", 1), (2, long, "x", 1), (1, long, "y", 1), (1, long, "x", 1), (3, None, "n", 1), (4, "", "n", 1), (None, other, "z", 1)]
