@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulesift.llm.common import map_pieces, utf8
@@ -376,24 +376,31 @@ def shots(frames: np.ndarray | list[np.ndarray], micros: int) -> list[dict]:
 CLIP = "clip int, start_ms bigint, end_ms bigint, frames int, mean double"
 
 
+def _beside(files: DataFrame, column: str, own: tuple[str, ...]) -> tuple[DataFrame, str, list[Column]]:
+    """row (a struct of the other columns that haven't the name of a result) and text (the files), the row's type, and its columns."""
+    names = [x for x in files.columns if x != column and x.lower() not in own]
+    row = F.struct(*[F.col(f"`{x}`") for x in names]) if names else F.struct(F.lit(0).alias("none"))
+    kept = files.select(row.alias("row"), F.col(f"`{column}`").alias("text"))
+    return kept, kept.schema["row"].dataType.simpleString(), [F.col(f"row.`{x}`").alias(x) for x in names]
+
+
 def clips(files: DataFrame, column: str = "media") -> DataFrame:
-    """One row for each clip of each AVI file in a binary column, beside the other columns; null files give no row."""
-    rest = [f for f in files.schema if f.name != column]
-    kept = files.where(F.col(column).isNotNull()).select(*[F.col(f"`{f.name}`") for f in rest], F.col(f"`{column}`").alias("text"))
+    """One row for each clip of each AVI file in a binary column, beside the other columns; null files give no row. Other columns with the names of results are dropped."""
+    own = ("clip", "start_ms", "end_ms", "frames", "mean")
+    kept, kind, rest = _beside(files.where(F.col(f"`{column}`").isNotNull()), column, own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, row = [], []
             for i, data in enumerate(batch.column("text").to_pylist()):
                 micros, frames = read_avi(data)
-                own = shots(frames, micros)
-                found += own
-                row += [i] * len(own)
-            clip = pa.table({k: pa.array([c[k] for c in found], t) for k, t in (("clip", pa.int32()), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("frames", pa.int32()), ("mean", pa.float64()))})
-            old = batch.select([f.name for f in rest]).take(pa.array(row, pa.int64()))
-            yield from pa.table(dict(zip([f.name for f in rest], old.columns, strict=True)) | {k: clip[k] for k in clip.column_names}).to_batches()
+                parts = shots(frames, micros)
+                found += parts
+                row += [i] * len(parts)
+            clip = [pa.array([c[k] for c in found], t) for k, t in zip(own, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.float64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(row, pa.int64())), *clip], ["row", *own])
 
-    return map_pieces(kept, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), CLIP]))
+    return map_pieces(kept, run, f"row {kind}, {CLIP}").select(*rest, *own)
 
 
 # --- payloads ---------------------------------------------------------------------------------------------------
@@ -433,16 +440,16 @@ DIGEST = (("payload_bytes", "bigint", pa.int64()), ("payload_sha256", "string",
 
 
 def digests(files: DataFrame) -> DataFrame:
-    """The columns of ``files`` but media, and the digest of each file."""
-    rest = [f for f in files.schema if f.name != "media"]
-    kept = files.select(*[F.col(f"`{f.name}`") for f in rest], F.col("media").alias("text"))
+    """The columns of ``files`` but media, and the digest of each file. Other columns with the names of results are dropped."""
+    own = tuple(k for k, *_ in DIGEST)
+    kept, kind, rest = _beside(files, "media", own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [digest(x) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), *(pa.array([d[k] for d in found], t) for k, _, t in DIGEST)], [*(f.name for f in rest), *(k for k, *_ in DIGEST)])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array([d[k] for d in found], t) for k, _, t in DIGEST)], ["row", *own])
 
-    return map_pieces(kept, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), *(f"{k} {t}" for k, t, _ in DIGEST)]))
+    return map_pieces(kept, run, f"row {kind}, {', '.join(f'{k} {t}' for k, t, _ in DIGEST)}").select(*rest, *own)
 
 
 def store_and_read(docs: DataFrame) -> DataFrame:

@@ -71,4 +71,31 @@ judged AS (
 SELECT page_id, host, path, best.r AS rule, coalesce(best.v, 'allow') AS verdict FROM judged
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_url_filter": _OP4}
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+#: A window's start is counted over all rows; a word is gone if one of the last 35 starts recurs.
+_OP7 = f"""
+WITH rows AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+words AS (SELECT r, doc_id, len(w) AS n, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM rows),
+starts AS (SELECT r, i, array_to_string(list(word) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING), ' ') AS k FROM words QUALIFY i <= n - 34),
+again AS (SELECT r, i FROM starts SEMI JOIN (SELECT k FROM starts GROUP BY k HAVING count(*) > 1) t USING (k)),
+judged AS (SELECT r, i, word, max(CASE WHEN a.i IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY w.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM words w LEFT JOIN again a USING (r, i)),
+rolled AS (SELECT r, sum(gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (gone = 0), '') AS kept FROM judged GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM rows LEFT JOIN rolled USING (r)
+"""
+
+_BENCH_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+#: Windows of every length that items have, joined as texts.
+_OP8 = f"""
+WITH rows AS (SELECT row_number() OVER () AS r, doc_id, {_BENCH_WORDS} AS w FROM documents), items AS (SELECT item_id, {_BENCH_WORDS} AS w FROM benchmark),
+tests AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS k FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM items WHERE len(w) > 0)),
+places AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM rows, (SELECT DISTINCT n FROM tests) WHERE len(w) >= n)),
+met AS (SELECT r, i, n, item_id FROM places JOIN tests USING (n, k)),
+covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM met) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM met) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM rows LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_url_filter": _OP4, "op7_substring": _OP7, "op8_decontamination": _OP8}
