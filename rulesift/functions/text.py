@@ -143,15 +143,25 @@ def pad_start(text: Column, n: int) -> Column:
     return F.lpad(text, F.greatest(F.length(text), F.lit(n)), F.lit("0"))
 
 
+def cumulative(sizes: Column) -> Column:
+    """Sums of the numbers before each place of an array. Arrays are appended to in blocks, as each append copies what is there."""
+    block = 128
+    none = F.array().cast("array<int>")
+
+    def running(numbers: Column, start: Column) -> Column:
+        begin = F.struct(start.cast("int").alias("at"), none.alias("out"))
+        return F.aggregate(numbers, begin, lambda acc, n: F.struct((acc["at"] + n).cast("int").alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(sizes) - 1, F.lit(0)), F.lit(block)), lambda k: F.slice(sizes, k + 1, block))
+    starts = running(F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda a, n: (a + n).cast("int"))), F.lit(0))
+    return F.flatten(F.zip_with(blocks, starts, running))
+
+
 def occurrence_starts(text: Column, span: Column) -> Column:
     """Code-point starts of leftmost non-overlapping exact occurrences."""
     parts = F.call_function("split", text, F.concat(F.lit("\\Q"), F.replace(span, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), F.lit(-1))
-    seen = F.aggregate(
-        F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, g: F.struct((acc["at"] + F.length(g) + F.length(span)).alias("at"), F.array_append(acc["starts"], (acc["at"] + F.length(g)).cast("int")).alias("starts")),
-        lambda acc: acc["starts"],
-    )
+    before = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda g: F.length(g))
+    seen = F.zip_with(before, cumulative(F.transform(before, lambda n: n + F.length(span))), lambda n, at: (at + n).cast("int"))
     return F.when(F.length(span) > 0, seen).otherwise(F.array().cast("array<int>"))
 
 

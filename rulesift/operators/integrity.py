@@ -20,8 +20,8 @@ from rulesift.plans.rulepack import RulePack
 
 # The schools that a scope stands for, and the files of a sealed bundle by role.
 SCOPES = {"elementary": ("elementary",), "common": ("elementary", "middle", "high")}
-#: Quotes that are broadcast at once.
-MAX_QUOTES = 20_000
+#: Quotes that are broadcast at once, and files of a seal.
+MAX_QUOTES, MAX_FILES = 20_000, 10_000
 
 
 # --- generic checks ---------------------------------------------------------------------------------------------
@@ -82,10 +82,11 @@ def quotes_contained(quotes: DataFrame, passages: DataFrame) -> DataFrame:
 
 
 def content_seal(files: DataFrame) -> DataFrame:
-    """seal, files: the hash of all ``path NUL sha LF`` in the order of paths. A bundle has a handful of files."""
+    """seal, files: the hash of all ``path NUL sha LF`` in the order of paths. A bundle has a handful of files; more than ``MAX_FILES`` are an error, as all lines are one text."""
     lines = F.array_sort(F.collect_list(F.struct("path", "sha256")))
     rolled = files.agg(lines.alias("x"), F.count("*").alias("files"))
-    return rolled.select(sha256_upper(F.array_join(F.transform("x", lambda f: F.concat(f["path"], F.lit("\0"), f["sha256"], F.lit("\n"))), "")).alias("seal"), "files")
+    within = F.when(F.col("files") > MAX_FILES, F.raise_error(F.lit("too many files to seal")))
+    return rolled.select(F.coalesce(within, sha256_upper(F.array_join(F.transform("x", lambda f: F.concat(f["path"], F.lit("\0"), f["sha256"], F.lit("\n"))), ""))).alias("seal"), "files")
 
 
 # --- the checks of a bundle -------------------------------------------------------------------------------------

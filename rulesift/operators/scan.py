@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulesift.functions.patterns import jvm
-from rulesift.functions.text import utf16_length
+from rulesift.functions.text import cumulative, utf16_length
 from rulesift.plans.rulepack import Rule, RulePack
 
 HIT = "struct<text:string,start:int,end:int,startCp:int>"
@@ -22,17 +22,19 @@ NO_HITS = f"array<{HIT}>"
 def located(text: Column, pattern: Column) -> Column:
     """Array of (text, start, end, startCp); start and end in UTF-16 units, startCp in code points. Matches are never empty (the gate sees to that)."""
     found = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.call_function("split", text, pattern, F.lit(-1))
+    gaps = F.slice(F.call_function("split", text, pattern, F.lit(-1)), 1, F.size(found))
+    sized = F.zip_with(found, gaps, lambda t, g: F.struct(t.alias("text"), utf16_length(g).cast("int").alias("gap"), utf16_length(t).cast("int").alias("own"), F.length(g).alias("gapCp"), F.length(t).alias("ownCp")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start, start_cp = acc["at"] + utf16_length(x["gap"]), acc["cp"] + F.length(x["gap"])
-        end = start + utf16_length(x["text"])
-        hit = F.struct(x["text"].alias("text"), start.cast("int").alias("start"), end.cast("int").alias("end"), start_cp.cast("int").alias("startCp"))
-        return F.struct(end.cast("int").alias("at"), (start_cp + F.length(x["text"])).cast("int").alias("cp"), F.array_append(acc["hits"], hit).alias("hits"))
+    def placed(pairs: Column) -> Column:
+        starts = F.zip_with(cumulative(F.transform(pairs, lambda x: x["gap"] + x["own"])), cumulative(F.transform(pairs, lambda x: x["gapCp"] + x["ownCp"])), lambda a, b: F.struct(a.alias("at"), b.alias("cp")))
 
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda t, g: F.struct(t.alias("text"), g.alias("gap")))
-    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("cp"), F.array().cast(NO_HITS).alias("hits"))
-    return F.aggregate(pairs, begin, step, lambda acc: acc["hits"])
+        def hit(x: Column, s: Column) -> Column:
+            start = s["at"] + x["gap"]
+            return F.struct(x["text"].alias("text"), start.cast("int").alias("start"), (start + x["own"]).cast("int").alias("end"), (s["cp"] + x["gapCp"]).cast("int").alias("startCp"))
+
+        return F.zip_with(pairs, starts, hit)
+
+    return F.element_at(F.transform(F.array(sized), placed), 1)  # the pairs are made once
 
 
 def hits_of(text: Column, pattern: str) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulesift.functions.text import normalize_corpus, trim, utf16_length
+from rulesift.functions.text import cumulative, normalize_corpus, trim, utf16_length
 
 # Anchors, headings and the current addendum of statute texts; circled numbers.
 FIRST_ARTICLE, LAST_ARTICLE = "제1조(목적)", "제22조(재검토기한)"
@@ -23,12 +23,8 @@ def segments(rows: DataFrame, separator: str, column: str = "text") -> DataFrame
     """Other columns, segment (from 1), start, end (code points), body: the pieces of a text between separators; each ends where the next's separator begins."""
     rest = [c for c in rows.columns if c != column]
     split = F.split(F.col(column), f"\\Q{separator}\\E", -1)
-    placed = F.aggregate(
-        split,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,body:string>>").alias("out")),
-        lambda acc, x: F.struct((acc["at"] + F.length(x) + len(separator)).cast("int").alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("start"), x.alias("body"))).alias("out")),
-        lambda acc: acc["out"],
-    )
+    starts = cumulative(F.transform(split, lambda x: F.length(x) + len(separator)))
+    placed = F.zip_with(starts, split, lambda at, x: F.struct(at.alias("start"), x.alias("body")))
     out = rows.select(*rest, F.posexplode(placed).alias("k", "piece"))
     return out.select(*rest, (F.col("k") + 1).alias("segment"), F.col("piece.start").alias("start"), (F.col("piece.start") + F.length("piece.body")).alias("end"), F.col("piece.body").alias("body"))
 
