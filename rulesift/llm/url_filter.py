@@ -10,8 +10,9 @@ the listed keys that pass level 2; and so on until a level stands for no key. A
 level that it doesn't pass. Levels are arrays of 64-bit words that were gathered by bit-or over word positions, so a
 level's build brings words, never keys, to the driver, and a query is a few array reads for each candidate: no join.
 
-The rule list is a parameter, so it and the filters, whose sizes follow from it, are bounded. Level 1 is made large
-enough that about as many other keys pass as there are rules.
+The rule list is a parameter, so it and the filters, whose sizes follow from it, are bounded; each is one constant of the
+plan, however long. Level 1 is made large enough that about as many other keys pass as there are rules. The universe is
+written once, and so is what passes a level, so that urls are read once for the build and once to be judged.
 
 Cases: a null url, or one without ``://``, has empty host and path and no rule. The longest rule (host and path
 together) wins, on a tie the one with the longer host. Repeated rows get a row each. Extra columns are ignored.
@@ -19,12 +20,16 @@ together) wins, on a tie the one with the longer host. Repeated rows get a row e
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable
 from dataclasses import dataclass
 from math import ceil, log, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rulesift.llm.common import discard, materialize
+
 #: (host, path, verdict)
 Rule = tuple[str, str, str]
 
@@ -54,6 +59,11 @@ def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
 
 
+def constant(values: Iterable, kind: str) -> Column:
+    """An array that the optimizer folds into one constant: a list of any length is no long expression."""
+    return F.from_json(F.lit(json.dumps(list(values), ensure_ascii=False)), f"array<{kind}>")
+
+
 @dataclass(frozen=True)
 class Level:
     bits: int
@@ -64,7 +74,7 @@ class Level:
         return F.pmod(F.xxhash64(key, F.lit(number * 64 + i)), F.lit(self.bits))
 
     def passes(self, key: Column, number: int) -> Column:
-        words = F.array(*[F.lit(w) for w in self.words])
+        words = constant(self.words, "bigint")
         found = F.lit(True)
         for i in range(self.hashes):
             at = self.position(key, number, i)
@@ -110,13 +120,14 @@ def build(universe: DataFrame, listed: DataFrame, n_listed: int) -> Cascade:
     size = universe.agg(F.approx_count_distinct("key").alias("n")).first()["n"]
     levels = [_build(listed, n_listed, min(LATER_RATE, n_listed / max(size, 1)), 0)]
     # Keys that pass all levels so far: the wrong side's are what the next level holds.
-    wrong = universe.where(levels[0].passes(F.col("key"), 0)).join(F.broadcast(listed), "key", "left_anti")
-    other = listed
-    while n := wrong.agg(F.count_distinct("key").alias("n")).first()["n"]:
+    wrong = materialize(universe.where(levels[0].passes(F.col("key"), 0)).join(F.broadcast(listed), "key", "left_anti").distinct(), "cascade")
+    other, made = listed, [wrong]
+    while n := wrong.count():
         number = len(levels)
-        levels.append(_build(wrong.distinct(), n, LATER_RATE, number))
-        level = levels[-1]
-        wrong, other = other.where(level.passes(F.col("key"), number)), wrong.distinct()
+        levels.append(_build(wrong, n, LATER_RATE, number))
+        wrong, other = materialize(other.where(levels[-1].passes(F.col("key"), number)), "cascade"), wrong
+        made.append(wrong)
+    discard(*made)
     return Cascade(levels)
 
 
@@ -136,11 +147,12 @@ def judge(urls: DataFrame, rules: list[Rule], column: str = "url") -> DataFrame:
 
     # The universe: distinct hosts and path prefixes are far fewer than urls, so they're made distinct first.
     heads = parts.select("host", F.substring("path", 1, max(lengths)).alias("path")).distinct()
-    universe = heads.select(F.explode(keys).alias("key"))
+    universe = materialize(heads.select(F.explode(keys).alias("key")).distinct(), "cascade-universe")
     cascades = {}
     for verdict in sorted(set(verdicts.values())):
         mine = [k for k, v in verdicts.items() if v == verdict]
-        cascades[verdict] = build(universe, spark.range(1).select(F.explode(F.array(*map(F.lit, mine))).alias("key")), len(mine))
+        cascades[verdict] = build(universe, spark.range(1).select(F.explode(constant(mine, "string")).alias("key")), len(mine))
+    discard(universe)
 
     def ranked(cascade: Cascade, verdict: str) -> Column:
         def rank(key: Column) -> Column:

@@ -236,6 +236,15 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert got == set(listed)
 
 
+def test_long_rule_lists(spark):
+    rules = [(f"h{i}.example{i % 50}.org", f"/p{i % 7}/", "block" if i % 3 else "allow") for i in range(30_000)]
+    urls = [(i, f"http://{'www.' * (i % 3)}h{i * 37 % 45_000}.example{i * 37 % 45_000 % 50}.org/p{i % 8}/x") for i in range(600)]
+    got = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), rules).collect())
+    by_host = {h: [(h, p, v)] for h, p, v in rules}
+    near = lambda u: [r for h in [".".join(u.split("/")[2].split(".")[k:]) for k in range(4)] for r in by_host.get(h, [])]
+    assert got == sorted((i, *plain(u, near(u))) for i, u in urls) and 20 < sum(r[3] is not None for r in got) < 300
+
+
 def test_url_filter_runs_no_python(spark):
     df = spark.range(3).selectExpr("id AS page_id", "concat('http://x.org/', id) AS url")
     plan = url_filter.judge(df, URL_RULES)._jdf.queryExecution().executedPlan().toString()
