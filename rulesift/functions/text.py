@@ -49,6 +49,12 @@ def fold_search(composed: Column) -> Column:
     return trim(F.lower(blanks))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its scan has fewer partitions than there are: a small file is read by few tasks, and what is done with texts costs more than a shuffle of them. Inputs of many partitions stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def composed(text: Column, compose: bool = True) -> Column:
     """NFKC; texts of ASCII alone, which have it already, don't go to Python. ``compose=False`` for texts known to be in NFKC keeps the plan free of it."""
     if not compose:

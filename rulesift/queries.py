@@ -25,13 +25,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, for queries that work on their texts."""
+    return tx.dealt(_table(spark, sf_dir, "documents"))
+
+
 def _plain_pack() -> RulePack:
     pack = latin_pack()
     return pack.with_rules(*[replace(r, conflicts=()) for r in pack.rules])
 
 
 def _entries(spark: SparkSession, sf_dir: str, profile: str = BOTH) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.col("lang").alias("field"), F.lit(profile).alias("profile"))
+    return _texts(spark, sf_dir).select("doc_id", "source", "text", F.col("lang").alias("field"), F.lit(profile).alias("profile"))
 
 
 def _sql(text: str) -> str:
@@ -124,14 +129,14 @@ _NORM = "trim(lower(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?'
 
 
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", tx.normalize_search(F.col("text")).alias("normalized"))
+    return _texts(spark, sf_dir).select("doc_id", tx.normalize_search(F.col("text")).alias("normalized"))
 
 
 _NORMALIZE = f"SELECT doc_id, {_NORM} AS normalized FROM documents"
 
 
 def tokens_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    norm = _table(spark, sf_dir, "documents").select("doc_id", tx.normalize_search(F.col("text")).alias("s"))
+    norm = _texts(spark, sf_dir).select("doc_id", tx.normalize_search(F.col("text")).alias("s"))
     return norm.select("doc_id", F.size(tx.words(F.col("s"))).alias("n_words"), F.size(tx.tokens(F.col("s"))).alias("n_tokens"))
 
 
@@ -141,7 +146,7 @@ _TOKENS_PER_DOC = f"WITH {_TOKENS} SELECT doc_id, CAST(len(w) AS INTEGER) AS n_w
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir).select("doc_id", "source", "text")
     return search.prepare(docs.select("doc_id", F.col("source").alias("sourceId"), "text", F.col("text").alias("searchText"), F.lit(80).alias("authority")))
 
 
@@ -214,7 +219,7 @@ SELECT query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTI
 
 def quote_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = _table(spark, sf_dir, "benchmark").select("item_id", tx.normalize_search(F.col("text")).alias("q"))
-    passages = _table(spark, sf_dir, "documents").select(tx.normalize_search(F.col("text")).alias("s"))
+    passages = _texts(spark, sf_dir).select(tx.normalize_search(F.col("text")).alias("s"))
     return integrity.quotes_contained(quotes, passages)
 
 
