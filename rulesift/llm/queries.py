@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulesift.llm import ball_tree, brown, decontamination, fill_middle, language_id, media, pieces, quality, simhash, substring, toxicity, url_filter
+from rulesift.llm import ball_tree, brown, decontamination, fill_middle, language_id, media, phrases, pieces, quality, simhash, substring, toxicity, url_filter
 from rulesift.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.top(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -63,7 +67,7 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_lm_scoring, op4_url_filter, op5_media, op6_simhash, op7_substring, op8_decontamination, op9_toxicity, op10_quality, op12_ball_tree, op13_fill_middle)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_sentencepiece, op3_lm_scoring, op4_url_filter, op5_media, op6_simhash, op7_substring, op8_decontamination, op9_toxicity, op10_quality, op11_phrases, op12_ball_tree, op13_fill_middle)}
 
 _OP4 = """
 WITH parts AS (
@@ -107,6 +111,24 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM rows LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 """
 
+#: Words are lists here; HUGEINT holds the products.
+_OP11 = """
+WITH pieces AS (
+  SELECT row_number() OVER () AS r, lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents)),
+runs AS (SELECT lang, w[i:i + m - 1] AS p FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, p, len(p) AS m, count(*) AS a FROM runs GROUP BY lang, p HAVING count(*) >= 100),
+totals AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+gone AS (SELECT DISTINCT c.lang, c.p FROM f c JOIN (SELECT lang, p, a, m, unnest(range(1, m)) AS size FROM f) l ON c.lang = l.lang AND c.m = l.size AND 100 * l.a >= 100 * c.a
+         AND contains(' ' || array_to_string(l.p, ' ') || ' ', ' ' || array_to_string(c.p, ' ') || ' ')),
+cuts AS (SELECT c.lang, c.p, c.a, c.m, k FROM (SELECT lang, p, a, m, unnest(range(1, m)) AS k FROM f WHERE m > 1) c ANTI JOIN gone g ON c.lang = g.lang AND c.p = g.p),
+scored AS (
+  SELECT c.lang, array_to_string(c.p, ' ') AS phrase, c.a, c.k, x.a AS l, y.a AS r, CAST(n AS BIGINT) AS n, CAST((1000::HUGEINT * c.a * n::HUGEINT) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.p = c.p[:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1:] JOIN totals t ON t.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM lowest QUALIFY rank <= 2000
+"""
+
 _OP12 = """
 WITH v AS (
   SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS c FROM embeddings
@@ -132,4 +154,4 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN leng
 FROM parts
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_url_filter": _OP4, "op7_substring": _OP7, "op8_decontamination": _OP8, "op12_ball_tree": _OP12, "op13_fill_middle": _OP13}
+ORACLE_SQL: dict[str, str] = {"op4_url_filter": _OP4, "op7_substring": _OP7, "op8_decontamination": _OP8, "op11_phrases": _OP11, "op12_ball_tree": _OP12, "op13_fill_middle": _OP13}
