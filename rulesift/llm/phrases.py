@@ -161,7 +161,7 @@ def _packed(arrays: list[np.ndarray], buckets: np.ndarray) -> Iterator[tuple[int
     order = np.argsort(buckets, kind="stable")
     at = np.flatnonzero(np.concatenate(([True], np.diff(buckets[order]) != 0))) if len(order) else np.zeros(0, np.int64)
     arrays = [np.ascontiguousarray(x[order]) for x in arrays]
-    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=True):
+    for a, b in itertools.pairwise([*at.tolist(), len(order)]):
         yield int(buckets[order[a]]), [x[a:b].tobytes() for x in arrays]
 
 
