@@ -46,7 +46,7 @@ from rulesift.llm.common import discard, map_pieces, materialize, small_batches,
 
 LONGEST, SUPPORT, FIRST = 5, 100, 2000
 #: Words in a shard, entries of a bucket about, and occurrences of a prefix that one task grows.
-SHARD, BUCKET, HOT = 1 << 21, 1 << 21, 1 << 18
+SHARD, BUCKET, HOT = 1 << 21, 1 << 20, 1 << 18
 #: Bytes of a long text that are read at once, patterns that are handed on together, and salts of the first ranking.
 SLICE, MADE, SALTS = 1 << 20, 50_000, 32
 
@@ -237,18 +237,19 @@ def _joined(parts: list[bytes], kind: type) -> np.ndarray:
 
 
 def frequent_pairs(pairs: DataFrame, buckets: int, support: int) -> DataFrame:
-    """shard, a, b and times (packed; times in the corpus), for each shard the frequent pairs it has."""
+    """shard, a, b and times (packed; times in the corpus), for each shard the frequent pairs it has, and for no shard (null) all pairs once."""
 
     def work(held: dict) -> Iterator[pa.RecordBatch]:
-        a, b, times = _joined(held["a"], np.int64), _joined(held["b"], np.int64), _joined(held["times"], np.int32)
-        place = np.repeat(np.arange(len(held["shard"])), [len(x) // 4 for x in held["times"]])
+        place = np.repeat(np.arange(len(held["shard"]), dtype=np.int32), [len(x) // 4 for x in held["times"]])
+        a, b, times = _joined(held.pop("a"), np.int64), _joined(held.pop("b"), np.int64), _joined(held.pop("times"), np.int32)
         order, starts = _unique(a, b)
         total = np.add.reduceat(times[order], starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
         each = np.empty(len(order), np.int64)
         each[order] = np.repeat(total, np.diff(np.append(starts, len(order))))
-        kept = each >= support
-        out = list(_packed([a[kept], b[kept], each[kept]], place[kept]))
-        yield pa.RecordBatch.from_arrays([pa.array([held["shard"][x[0]] for x in out], pa.int64()), *(pa.array([x[1][k] for x in out], pa.binary()) for k in range(3))], ["shard", "a", "b", "times"])
+        kept, once = each >= support, order[starts[total >= support]]
+        out = [(held["shard"][i], x) for i, x in _packed([a[kept], b[kept], each[kept]], place[kept])]
+        out += [(None, [x[once].tobytes() for x in (a, b, each)])] * bool(len(once))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), *(pa.array([x[1][k] for x in out], pa.binary()) for k in range(3))], ["shard", "a", "b", "times"])
 
     return _by_bucket(pairs, buckets, work, "shard long, a binary, b binary, times binary")
 
@@ -347,7 +348,7 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, most: int = SHARD,
     discard(coded, totals)
     buckets = max(1, -(-size // bucket), docs.sparkSession.sparkContext.defaultParallelism)
     frequent = materialize(frequent_pairs(shard_pairs(known, buckets), buckets, support), "frequent-pairs")
-    pairs = _rows(frequent.select("a", "b", "times"), _unpack_pairs, "words array<long>, times long").distinct()
+    pairs = _rows(frequent.where("shard IS NULL").select("a", "b", "times"), _unpack_pairs, "words array<long>, times long")
     told = frequent.groupBy("shard").agg(*[F.collect_list(c).alias(x) for c, x in zip(("a", "b", "times"), _TOLD, strict=True)])
     pointers = projected(known.join(told, "shard", "left"), buckets, hot)
     longer = grown(pointers, buckets, support).groupBy("words").agg(F.sum("times").alias("times")).where(F.col("times") >= support)

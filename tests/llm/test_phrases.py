@@ -53,7 +53,7 @@ def mined(spark, rows, support, parts=3, **sizes):
     return sorted(map(tuple, phrases.collocations(df, support=support, **sizes).collect()))
 
 
-@pytest.mark.parametrize("sizes", [{}, {"most": 37, "bucket": 300, "hot": 11}, {"most": 1000, "bucket": 10, "hot": 50}])
+@pytest.mark.parametrize("sizes", [{"most": 37, "bucket": 300, "hot": 11}, {"most": 3000, "bucket": 2000, "hot": 50}])
 def test_against_brute_force(spark, sizes):
     rows = corpus(len(sizes))
     want = brute(rows, 8)
