@@ -17,15 +17,20 @@ gets more than two parts of one. Their list has at most a row for every ``BUCKET
 similarity of 0.8 or more. 64 bits can't tell that apart, so it takes ``BITS`` bits of each shingle, one bit each of the
 text where over half of its distinct shingles have it. Texts of similarity s and equal size differ in a share of
 arccos(2s / (1 + s)) / pi of them on average: 0.8 stands for 38.8 of 256 bits, with a deviation of 5.7, and the radius
-``WIDE`` lies over two deviations beyond. No choice of blocks covers such a radius; instead each of many tables is keyed
-by some of the bits, drawn once. With n texts these are about log2(n) bits, so that chance meetings stay few, and as many
-tables as bring a pair at 0.8 into one bucket with a probability of 1 - ``MISS``: their number grows as about n^0.23. A
-bucket is ordered by other bits, and each member is compared with the ``NEIGHBOURS - 1`` that follow it, which are all
-others in a bucket of that size; so work and memory don't grow with a bucket's size. Comparisons are those of vertical
-planes again, of many pairs at once. Each member gives its first close follower (within ``CLOSE`` bits, which hardly any
-pair under 0.8 is) and its first other one within the radius. Close links make classes; of the other links one for each
-pair of such classes is left, the nearest, and an exact check follows: the sets of shingles of its two texts are compared,
-a text with many links being sent to several tasks, and only links of 0.8 or more count.
+``WIDE`` lies three deviations beyond. No choice of bits covers such a radius: tables keyed by drawn bits would have to
+grow in number as n^0.23, each with a row for every text. The blocks that are compared come from the shingles' hashes
+instead: a table's key is the least hash in each of ``DRAWN`` orders, which two texts of similarity s share with a
+probability of s^3; with ``TABLES`` tables a pair at 0.8 never meets in 0.7 % of the cases, however many texts there are.
+A bucket of over ``BUCKET`` texts falls apart by ``FINER`` further keys of two orders each (1.7 %), and what is still
+larger goes out as pairs of parts.
+
+In a bucket the fingerprints are compared by vertical planes, pairs of two side by side, larger ones by one member
+against all others, in ``SHELLS`` of growing radius: each shell joins what the ones before have left apart. So a bucket
+gives a spanning forest of its links within the radius, near ones first, and each text's ``NEAREST`` ones outside the
+group that the first shell gives it, never all pairs. Every link is then checked
+exactly, by the sets of shingles of its two texts, a text with many links being sent to several tasks; only links of 0.8 or
+more count. Checks go in rounds: first each text's nearest link; then, of the links that are left between different
+classes of good ones, the nearest for each pair of classes, and four times as many with each round, until none is left.
 
 Classes: the forests' links are contracted by alternating large-star and small-star steps, in DataFrame joins and
 aggregates with a written table for each round.
@@ -46,10 +51,10 @@ from itertools import combinations, pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulesift.llm.common import discard, map_pieces, materialize, utf8
+from rulesift.llm.common import discard, free_names, map_pieces, materialize, utf8
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Blocks of the fingerprint beyond the radius, and distinct fingerprints from which there is one more: smaller buckets, more tables.
@@ -60,14 +65,21 @@ HOT = 100_000
 BUCKET = 4096
 #: Shingles hashed and counted at once.
 SLICE = 1 << 16
-#: The stage: words of a shingle, similarity that it looks for, bits of a fingerprint, radius, and share of pairs at that similarity that may never meet.
-STAGE_SHINGLE, SIMILARITY, BITS, WIDE, MISS = 5, 0.8, 256, 52, 0.03
-#: Radius of the pairs that need no check, and links of one text that are checked in one task.
-CLOSE, LINKS = 26, 1024
+#: The stage: words of a shingle, similarity that it looks for, bits of a fingerprint and radius.
+STAGE_SHINGLE, SIMILARITY, BITS, WIDE = 5, 0.8, 256, 56
+#: Its tables, orders that key one, and further keys, of two orders each, of the texts in large buckets.
+TABLES, DRAWN, FINER = 7, 3, 4
+#: Radii within which a bucket's texts are joined one after the other (the first one makes its groups), and links of one text that are checked in one task.
+SHELLS, LINKS = (26, 36, 46, WIDE), 1024
+#: Members of other groups that a bucket's texts are linked with, besides the forest.
+NEAREST = 8
 #: Planes from one look at who is still within the radius to the next, where they are many.
 PAUSE = 8
-#: Members of a bucket, in their order, that are all compared with each other.
-NEIGHBOURS = 16
+#: Large buckets that are listed to all tasks; more of them are joined.
+LISTED = 1 << 20
+
+#: Factors that put shingle hashes into other orders.
+_ORDERS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, TABLES * DRAWN + 2 * FINER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _shingles(text: bytes, width: int) -> Iterator[np.ndarray]:
@@ -98,23 +110,44 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def wide_fingerprint(text: bytes) -> np.ndarray:
-    """BITS bits of the set of shingles, as uint64."""
+def shingle_hashes(text: bytes) -> np.ndarray:
+    """The distinct shingles' hashes, sorted."""
     parts = list(_shingles(text, STAGE_SHINGLE))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def _stirred(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """BITS bits of the set of shingles, as uint64."""
     out = np.zeros(BITS // 64, np.uint64)
-    if parts:
-        h = np.unique(np.concatenate(parts))
-        for k in range(len(out)):
-            ones = np.zeros(64, np.int64)
-            for at in range(0, len(h), SLICE):
-                x = h[at : at + SLICE] + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                ones += _ones(x ^ (x >> np.uint64(31)))
-            out[k] = int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+    for k in range(len(out) if len(hashes) else 0):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), SLICE):
+            ones += _ones(_stirred(hashes[at : at + SLICE] + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
+        out[k] = int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
     return out
 
 
+def table_keys(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text's key in each table, and its further keys; none for a text without words."""
+    if not len(hashes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least = np.array([(hashes * x).min() for x in _ORDERS])
+
+    def joined(parts: np.ndarray) -> np.ndarray:
+        keys = np.arange(len(parts), dtype=np.uint64)
+        for column in parts.T:
+            keys = _stirred(keys * np.uint64(0x9E3779B97F4A7C15) + column)
+        return keys.view(np.int64)
+
+    return joined(least[: TABLES * DRAWN].reshape(TABLES, DRAWN)), joined(least[TABLES * DRAWN :].reshape(FINER, 2))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """fp (long, the fingerprint's 64 bits) for every row, beside the other columns but text."""
     kept = docs.select(*[F.col(f"`{x}`") for x in docs.columns if x.lower() not in ("text", "fp")], utf8())
@@ -266,61 +299,82 @@ def links(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None, buc
     return _dealt(keyed, ["t", "key"], "fp", bucket).mapInArrow(run, "a long, b long").distinct()
 
 
-def tables_for(n: int) -> tuple[int, int]:
-    """Bits that key a table, and the number of tables, for n texts."""
-    bits = max(1, min(round(np.log2(max(n, 2))) - 1, BITS // 4))
-    same = 1 - np.arccos(2 * SIMILARITY / (1 + SIMILARITY)) / np.pi
-    return bits, int(np.ceil(np.log(1 / MISS) / same**bits))
+def near_links(members: np.ndarray, shells: tuple[int, ...]) -> list[tuple[int, int]]:
+    """Pairs within the last radius, as places in ``members``: a spanning forest, in which each shell joins what those before have left apart, and each member's ``NEAREST`` beyond the first shell."""
+    planes = Planes(members)
+    values = [int.from_bytes(m.tobytes(), "little") for m in np.ascontiguousarray(members, np.uint64)]
+    groups, of, found = {i: 1 << i for i in range(planes.n)}, list(range(planes.n)), []
+
+    def places(mask: int) -> Iterator[int]:
+        while mask:
+            low = mask & -mask
+            mask ^= low
+            yield low.bit_length() - 1
+
+    for shell, radius in enumerate(shells):
+        if len(groups) == 1:
+            break
+        if shell == 1:
+            for at in range(planes.n):
+                if near := planes.near(values[at], shells[-1], (1 << planes.n) - 1 & ~groups[of[at]]):
+                    others = np.flatnonzero(np.unpackbits(np.frombuffer(near.to_bytes(-(-planes.n // 8), "little"), np.uint8), bitorder="little"))
+                    bits = np.bitwise_count(members[others] ^ members[at]).sum(axis=1)
+                    found += [(at, x) for x in others[np.argsort(bits, kind="stable")[:NEAREST]].tolist()]
+        unreached = (1 << planes.n) - 1
+        for start in list(groups):
+            if start not in groups or not unreached >> start & 1:
+                continue
+            whole = groups[start]
+            unreached &= ~whole
+            frontier = list(places(whole))
+            while frontier and unreached:
+                at = frontier.pop()
+                near = planes.near(values[at], radius, unreached)
+                while near:
+                    other = (near & -near).bit_length() - 1
+                    found.append((at, other))
+                    new = groups.pop(of[other])
+                    near, unreached, whole = near & ~new, unreached & ~new, whole | new
+                    frontier += places(new)
+            groups[start] = whole
+            for i in places(whole):
+                of[i] = start
+    return found
 
 
 def similar_links(nodes: DataFrame, radius: int = WIDE, bucket: int = BUCKET) -> DataFrame:
-    """a, b (the smaller id first), close, bits: links between ``nodes`` (id, w0, w1, ...: a wide fingerprint) that some table has brought together."""
-    words = [f"w{k}" for k in range(BITS // 64)]
-    bits, tables = tables_for(nodes.count())
-    rng = np.random.default_rng(SEED)
-    listed = []
-    for _ in range(tables):
-        chosen = rng.choice(BITS, bits, replace=False).tolist()
-        masks = [_signed(sum(1 << c % 64 for c in chosen if c // 64 == k)) for k in range(len(words))]
-        listed.append(F.struct(*[F.lit(m).alias(w) for m, w in zip(masks, words, strict=True)], F.lit(int(rng.integers(1, 64))).alias("turn"), F.lit(int(rng.integers(len(words)))).alias("word")))
-    spread = nodes.select("id", *words, F.posexplode(F.array(*listed)).alias("t", "m"))
-    word = F.get(F.array(*words), F.col("m.word"))
-    turned = F.call_function("shiftleft", word, F.col("m.turn")).bitwiseOR(F.call_function("shiftrightunsigned", word, F.lit(64) - F.col("m.turn")))
-    keyed = spread.select(F.xxhash64("t", *[F.col(w).bitwiseAND(F.col(f"m.{w}")) for w in words]).alias("key"), turned.alias("order"), "id", *words)
-    # The members of a large bucket that begin alike in its order stay together, the rest is dealt out.
-    large = keyed.groupBy("key").agg(F.ceil(F.count("*") / F.lit(bucket)).cast("int").alias("parts")).where("parts > 1")
-    part = F.pmod(F.xxhash64(F.call_function("shiftrightunsigned", F.col("order"), F.lit(32))), F.coalesce("parts", F.lit(1))).cast("int")
-    dealt = keyed.join(large, "key", "left").select(*keyed.columns, part.alias("part"))
-    ordered = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "order", "id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[str, np.ndarray] | None = None
-        for batch in batches:
-            rows = {c: batch.column(c).to_numpy() for c in batch.schema.names}
-            old = 0
-            if last is not None:
-                old = len(last["id"])
-                rows = {c: np.concatenate((last[c], x)) for c, x in rows.items()}
-            n, fp = len(rows["id"]), np.stack([rows[w] for w in words], axis=1).view(np.uint64)
-            found = {True: np.zeros(n, bool), False: np.zeros(n, bool)}
-            for k in range(1, min(NEIGHBOURS, n)):
-                a = np.arange(max(old - k, 0), n - k)
-                a = a[(rows["key"][a] == rows["key"][a + k]) & (rows["part"][a] == rows["part"][a + k]) & ~(found[True][a] & found[False][a])]
-                if not len(a):
-                    continue
-                x = fp[a] ^ fp[a + k]
-                near = np.concatenate([near_pairs(x[i : i + SLICE], radius) for i in range(0, len(x), SLICE)])
-                a, x = a[near], x[near]
-                close = near_pairs(x, CLOSE) if len(x) else near[:0]
-                new = np.where(close, ~found[True][a], ~found[False][a])
-                found[True][a[close]] = found[False][a[~close]] = True
-                a, close, x = a[new], close[new], x[new]
-                one, two = rows["id"][a], rows["id"][a + k]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, (np.minimum(one, two), np.maximum(one, two), close, np.bitwise_count(x).sum(axis=1).astype(np.int32)))], ["a", "b", "close", "bits"])
-            last = {c: x[max(n - NEIGHBOURS + 1, 0) :] for c, x in rows.items()}
-
-    return ordered.mapInArrow(run, "a long, b long, close boolean, bits int").where("a <> b").distinct()
+    """a, b (the smaller id first) and bits: links between ``nodes`` (id, w0, w1, ...: a wide fingerprint, keys, finer) that some table has brought together."""
+    words, shells = [f"w{k}" for k in range(BITS // 64)], tuple(x for x in SHELLS if x < radius) + (radius,)
+    rows = nodes.select("id", *words, "finer", F.explode("keys").alias("key"))
+    large = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("key", F.lit(True).alias("large")), "simhash-large")
+    n = large.count()
+    marked = rows.join(F.broadcast(large) if n <= LISTED else large, "key", "left") if n else rows.withColumn("large", F.lit(None).cast("boolean"))
+    plain = marked.where("large IS NULL").select("key", "id", *words).repartition("key").sortWithinPartitions("key", "id")
+    finer = marked.where("large").select(F.explode(F.transform("finer", lambda x: F.xxhash64("key", x))).alias("key"), "id", *words)
+
+    def run(keys: tuple[str, ...]):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for columns, ends in _buckets(batches, keys):
+                sizes, fp = np.diff(ends), np.stack([columns[w] for w in words], axis=1).view(np.uint64)
+                two = ends[:-1][sizes == 2]
+                near = np.concatenate([near_pairs(fp[two[i : i + SLICE]] ^ fp[two[i : i + SLICE] + 1], radius) for i in range(0, len(two), SLICE)]) if len(two) else np.zeros(0, bool)
+                one, other = [two[near]], [two[near] + 1]
+                for a, b in zip(ends[:-1][sizes > 2].tolist(), ends[1:][sizes > 2].tolist(), strict=True):
+                    if found := near_links(fp[a:b], shells):
+                        pairs = np.array(found) + a
+                        one.append(pairs[:, 0])
+                        other.append(pairs[:, 1])
+                i, j = np.concatenate(one), np.concatenate(other)
+                if len(i):
+                    ids = columns["id"]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, (np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1).astype(np.int32)))], ["a", "b", "bits"])
+
+        return work
+
+    out = plain.mapInArrow(run(("key",)), "a long, b long, bits int")
+    if n:
+        out = out.unionByName(_dealt(finer, ["key"], "id", bucket).mapInArrow(run(("key", "i", "j")), "a long, b long, bits int"))
+    return out.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -347,13 +401,31 @@ def components(edges: DataFrame) -> DataFrame:
         mark = tuple(now)
 
 
-def nearest_links(links: DataFrame, roots: DataFrame) -> DataFrame:
-    """a, b: of ``links`` (a, b, bits) between different classes of ``roots`` (node, root) the nearest for each pair of classes."""
+def between(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """``links`` (a, b, bits) between different classes of ``roots`` (node, root), with the classes x and y."""
     for end in ("a", "b"):
         links = links.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    pair = [F.least("root_a", "root_b").alias("x"), F.greatest("root_a", "root_b").alias("y")]
-    best = links.where("root_a <> root_b").groupBy(*pair).agg(F.min(F.struct("bits", "a", "b")).alias("best"))
-    return best.select("best.a", "best.b")
+    return links.where("root_a <> root_b").select("a", "b", "bits", F.least("root_a", "root_b").alias("x"), F.greatest("root_a", "root_b").alias("y"))
+
+
+def good_classes(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """node and root of the classes that those of the links ``met`` (a, b, bits) make whose texts' sets are similar enough.
+
+    A link is checked unless the good ones have joined its ends before.
+    """
+    ends = met.select("a", "b", "bits", F.col("a").alias("x")).unionByName(met.select("a", "b", "bits", F.col("b").alias("x")))
+    tested = materialize(ends.groupBy("x").agg(F.min(F.struct("bits", "a", "b")).alias("best")).select("best.a", "best.b").distinct(), "simhash-tested")
+    left, most, good = met, 1, materialize(alike(tested, sets), "simhash-good")
+    while True:
+        roots = components(good)
+        left = materialize(between(left.join(tested, ["a", "b"], "left_anti"), roots), "simhash-left")
+        if left.isEmpty():
+            discard(good, left, tested)
+            return roots
+        nearest = F.row_number().over(Window.partitionBy("x", "y").orderBy("bits", "a", "b"))
+        tested = materialize(left.withColumn("place", nearest).where(F.col("place") <= most).select("a", "b"), "simhash-tested")
+        good = materialize(good.unionByName(alike(tested, sets)), "simhash-good")
+        left, most = left.select("a", "b", "bits"), 4 * most
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -361,7 +433,7 @@ def _sets(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(np.concatenate(x)).tobytes() if (x := list(_shingles(t or b"", STAGE_SHINGLE))) else b"" for t in batch.column("text").to_pylist()]
+            sets = [shingle_hashes(t or b"").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "set"])
 
     return map_pieces(texts.select("id", utf8()), run, "id long, set binary")
@@ -393,9 +465,8 @@ def alike(links: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, mos
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def _class_table(nodes: DataFrame, node: str, edges: DataFrame, least: list[str]) -> DataFrame:
-    """``nodes`` (node, rows and others) with the least of each of the columns ``least`` in the class."""
-    roots = components(edges)
+def _class_table(nodes: DataFrame, node: str, roots: DataFrame, least: list[str]) -> DataFrame:
+    """``nodes`` (node, rows and others) with the least of each of the columns ``least`` in the class that ``roots`` tells."""
     # Only linked nodes need a second look: the class's least, by way of its root.
     linked = nodes.join(roots.select(F.col("node").alias(node), "root"), node, "left").withColumn("root", F.coalesce("root", node))
     smallest = linked.groupBy("root").agg(*[F.min(c).alias(c) for c in least])
@@ -407,7 +478,7 @@ def classes(docs: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     names = [x for x in docs.columns if x.lower() not in ("text", "fp", "component_id")]
     prints = materialize(fingerprints(docs.select(*[f"`{x}`" for x in names], "text")), "simhash")
     nodes = materialize(prints.groupBy("fp").agg(F.count("*").alias("rows"), F.min("doc_id").alias("component_id")), "simhash-nodes")
-    of = materialize(_class_table(nodes, "fp", links(nodes.select("fp"), radius), ["component_id"]), "simhash-classes")
+    of = materialize(_class_table(nodes, "fp", components(links(nodes.select("fp"), radius)), ["component_id"]), "simhash-classes")
     common, rare = of.where(F.col("rows") > hot).drop("rows"), of.where(F.col("rows") <= hot).drop("rows")
     here = prints.join(F.broadcast(common), "fp")
     rest = prints.join(F.broadcast(common.select("fp")), "fp", "left_anti").join(rare, "fp")
@@ -421,41 +492,47 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def wide_prints(docs: DataFrame) -> DataFrame:
-    """row (a column of ``docs``), id (a hash of the lower-cased words) and w0, w1, ..., the wide fingerprint, for every row."""
+    """row (a column of ``docs``), t0 and t1 (128 bits of hash of the lower-cased words), w0, w1, ... (the wide fingerprint), keys and finer, for every row."""
     kept, words = docs.select("row", utf8()), [f"w{k}" for k in range(BITS // 64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.column("text").to_pylist()]
-            ids = np.array([xxhash.xxh3_64_intdigest(b" ".join(t.lower().split())) for t in texts], np.uint64).view(np.int64)
-            prints = np.array([wide_fingerprint(t) for t in texts], np.uint64).reshape(len(texts), len(words)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ids), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(len(words)))], ["row", "id", *words])
+            own = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts), np.int64).reshape(len(texts), 2)
+            prints, keys, finer = np.zeros((len(texts), len(words)), np.uint64), [], []
+            for i, t in enumerate(texts):
+                hashes = shingle_hashes(t)
+                prints[i] = wide_fingerprint(hashes)
+                for x, y in zip((keys, finer), table_keys(hashes), strict=True):
+                    x.append(y)
+            columns = [*own.T, *prints.view(np.int64).T]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(np.ascontiguousarray(x)) for x in columns), pa.array(keys, pa.list_(pa.int64())), pa.array(finer, pa.list_(pa.int64()))], ["row", "t0", "t1", *words, "keys", "finer"])
 
-    return map_pieces(kept, run, f"row {kept.schema['row'].dataType.simpleString()}, id long, {', '.join(f'{w} long' for w in words)}")
+    return map_pieces(kept, run, f"row {kept.schema['row'].dataType.simpleString()}, t0 long, t1 long, {', '.join(f'{w} long' for w in words)}, keys array<long>, finer array<long>")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: one row of each class of similar texts, with its columns as they were.
+    """Pipeline stage: one row of each class of similar texts, with its columns as they were, whatever their names.
 
-    Texts with the same words are one (told by a 64-bit hash); the others are linked where their similarity is 0.8 or
+    Texts with the same words are one (told by 128 bits of hash); the others are linked where their similarity is 0.8 or
     more. The row is the one with the smallest doc_id (rows without an id come last); of several with that id
     the one that is smallest by hashes of its text and of its other columns, so that the choice doesn't depend on the
     order of rows. Of rows that are equal in all columns, one stays. Texts without words are one text.
     """
     names = docs.columns
     plain = [F.col(f"`{f.name}`") if "map<" not in f.dataType.simpleString() else F.col(f"`{f.name}`").cast("string") for f in docs.schema if f.name != "text"]
-    key = [F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"), F.xxhash64(F.lit(2), *plain).alias("c")]
+    key = [F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"), F.xxhash64(F.lit(2), *plain).alias("c")]
     row = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), *key)
-    words, own = [f"w{k}" for k in range(BITS // 64)], ["__row_a", "__row_b", "__row_c"]
+    words, own = [f"w{k}" for k in range(BITS // 64)], free_names(docs, "row_a", "row_b", "row_c")
     prints = wide_prints(docs.select(row.alias("row"), "text"))
-    nodes = materialize(prints.groupBy("id").agg(F.count("*").alias("rows"), F.min("row").alias("row"), *[F.min(w).alias(w) for w in words]), "simhash-texts")
-    met = materialize(similar_links(nodes.select("id", *words)), "simhash-met")
-    of_row = [F.col(f"row.{x[-1]}").alias(x) for x in own]
+    nodes = prints.groupBy("t0", "t1").agg(F.count("*").alias("rows"), F.min("row").alias("row"), *[F.first(x).alias(x) for x in (*words, "keys", "finer")])
+    nodes = materialize(nodes.drop("t0", "t1").withColumn("id", F.monotonically_increasing_id()), "simhash-texts")
+    met = materialize(similar_links(nodes.select("id", *words, "keys", "finer")), "simhash-met")
+    of_row = [F.col(f"row.{x[0]}").alias(x[1]) for x in zip("abc", own, strict=True)]
     keyed = docs.select("*", *[k.alias(x) for k, x in zip(key, own, strict=True)])
-    classes_ = components(met.where("close").select("a", "b"))
-    doubt = materialize(nearest_links(met.where("NOT close"), classes_), "simhash-doubt")
-    ends = doubt.select(F.col("a").alias("id")).unionByName(doubt.select(F.col("b").alias("id"))).distinct().join(nodes.select("id", *of_row), "id")
+    ends = met.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", *of_row), "id")
     sets = materialize(_sets(keyed.select(*own, "text").dropDuplicates(own).join(ends, own).select("id", "text")), "simhash-sets")
-    edges = classes_.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(alike(doubt, sets))
-    first = _class_table(nodes.select("id", "rows", "row"), "id", edges, ["row"]).select(*of_row).distinct()
+    roots = good_classes(met, sets)
+    first = materialize(_class_table(nodes.select("id", "rows", "row"), "id", roots, ["row"]).select(*of_row).distinct(), "simhash-first")
+    discard(nodes, met, sets)
     return keyed.dropDuplicates(own).join(first, own, "left_semi").select(*[f"`{x}`" for x in names])
