@@ -5,7 +5,8 @@ counted for each lang. A phrase is up to ``LONGEST`` words in a row of one piece
 times, overlaps included. What a frequent phrase contains is frequent too, so patterns grow from frequent ones alone:
 
 1. Shards. Partitions of the input are written as sequences of word numbers of their own (``SHARD`` words each and the
-   ``LONGEST - 1`` that follow), with the words. Words are counted; each shard is told the ids of those that are frequent.
+   ``LONGEST - 1`` that follow), with the words. The counts meet by word; a frequent word gets an id, and each shard is
+   told those of its own.
 2. Prefixes. Each shard counts its pairs of frequent words; the counts meet by pair, and a shard is told which of its
    pairs are frequent in the corpus, and how often they occur.
 3. Projection. A frequent pair is a prefix. Its occurrence pointers are the places that start with it and go on, and the
@@ -38,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,16 +146,55 @@ def _rows(df: DataFrame, work, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def shard_words(coded: DataFrame) -> DataFrame:
-    """shard, number, lang, word and times: the words of each shard's own places."""
+def shard_words(coded: DataFrame, buckets: int) -> DataFrame:
+    """bucket, shard, numbers and times (packed), sizes and keys (joined): the words of each shard and how often its own places have them."""
 
     def work(row: dict) -> Iterator[pa.RecordBatch]:
         numbers = np.frombuffer(row["numbers"].as_buffer(), np.int32)[: row["own"].as_py()]
-        n = len(row["words"])
-        times = np.bincount(numbers[numbers >= 0], minlength=n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row["shard"].as_py(), np.int64)), pa.array(np.arange(n, dtype=np.int32)), row["langs"].values, row["words"].values, pa.array(times)], ["shard", "number", "lang", "word", "times"])
+        keys = [w + b" " + x.encode() for w, x in zip(row["words"].as_py(), row["langs"].as_py(), strict=True)]  # no word has a blank
+        times = np.bincount(numbers[numbers >= 0], minlength=len(keys))
+        bucket = (np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys)) % np.uint64(buckets)).astype(np.int32)
+        out = []
+        for k, (own, n) in _packed([np.arange(len(keys), dtype=np.int32), times], bucket):
+            some = [keys[i] for i in np.frombuffer(own, np.int32).tolist()]
+            out.append((k, row["shard"].as_py(), own, n, np.fromiter(map(len, some), np.int32, len(some)).tobytes(), b"".join(some)))
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["bucket", "shard", "numbers", "times", "sizes", "keys"])
 
-    return _rows(coded.select("shard", "own", "numbers", "langs", "words"), work, "shard long, number int, lang string, word binary, times long")
+    return _rows(coded, work, "bucket int, shard long, numbers binary, times binary, sizes binary, keys binary")
+
+
+def frequent_words(counted: DataFrame, buckets: int, support: int) -> DataFrame:
+    """shard, numbers and ids (packed), for each shard the frequent words it has; for no shard (null) all of them once, as words, and the words of each lang, as totals."""
+    schema = "shard long, numbers binary, ids binary, words array<struct<id:long,lang:string,word:binary,times:long>>, totals array<struct<lang:string,n:long>>"
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.struct([("id", pa.int64()), ("lang", pa.string()), ("word", pa.binary()), ("times", pa.int64())])), pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())]))]
+
+    def work(held: dict) -> Iterator[pa.RecordBatch]:
+        known: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
+        codes = []
+        for sizes, keys in zip(held["sizes"], held.pop("keys"), strict=True):
+            ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
+            codes.append(np.fromiter((known[keys[a:b]] for a, b in itertools.pairwise([0, *ends])), np.int64, len(ends)))
+        total = np.zeros(len(known), np.int64)
+        for code, times in zip(codes, held["times"], strict=True):
+            total[code] += np.frombuffer(times, np.int64)  # a shard has a word once
+        first, frequent = held["bucket"][0] << 32, total >= support
+        out = []
+        for shard, numbers, code in zip(held["shard"], held["numbers"], codes, strict=True):
+            kept = frequent[code]
+            if kept.any():
+                out.append((shard, np.frombuffer(numbers, np.int32)[kept].tobytes(), (first + code[kept]).tobytes(), None, None))
+        totals: defaultdict[str, int] = defaultdict(int)
+        words = []
+        for i, (key, n) in enumerate(zip(known, total.tolist(), strict=True)):
+            word, lang = key.split(b" ", 1)
+            totals[lang.decode()] += n
+            if n >= support:
+                words.append({"id": first + i, "lang": lang.decode(), "word": word, "times": n})
+        out.append((None, None, None, words, [{"lang": x, "n": n} for x, n in totals.items()]))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["shard", "numbers", "ids", "words", "totals"])
+
+    return _by_bucket(counted, buckets, work, schema)
 
 
 def _packed(arrays: list[np.ndarray], buckets: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
@@ -176,7 +217,7 @@ def _mixed(*ids: np.ndarray) -> np.ndarray:
 def _places(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """The word numbers of a shard, and the id of each number, -1 if the word isn't frequent; the last one is that of number -1."""
     ids = np.full(row["n"].as_py() + 1, -1, np.int64)
-    ids[np.frombuffer(row["known"].as_buffer(), np.int32)] = np.frombuffer(row["ids"].as_buffer(), np.int64)
+    ids[_joined(row["known"].as_py() or [], np.int32)] = _joined(row["ids"].as_py() or [], np.int64)
     return np.frombuffer(row["numbers"].as_buffer(), np.int32), ids
 
 
@@ -335,21 +376,18 @@ def grown(pointers: DataFrame, buckets: int, support: int) -> DataFrame:
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT, most: int = SHARD, bucket: int = BUCKET, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tables: words (id, lang, word, times) and phrases (words, an array of ids, and times) that are frequent, and n (lang, n)."""
     coded = materialize(shards(dealt(docs.select("lang", "text")), most), "phrase-shards")
-    counted = shard_words(coded)
-    totals = materialize(counted.groupBy("lang", "word").agg(F.sum("times").alias("times")), "phrase-words")
-    n = materialize(totals.groupBy("lang").agg(F.sum("times").alias("n")), "phrase-n")
-    words = materialize(totals.where(F.col("times") >= support).withColumn("id", F.monotonically_increasing_id()), "frequent-words")
-    # Each shard's frequent words, packed by number.
-    told = counted.select("shard", "number", "lang", "word").join(words.select("lang", "word", "id"), ["lang", "word"])
-    told = told.groupBy("shard").agg(F.collect_list(F.struct("number", "id")).alias("each"))
-    known = coded.join(told, "shard", "left").select("shard", "own", "numbers", F.size("words").alias("n"), "each")
-    known = materialize(_rows(known, _pack_known, "shard long, own int, numbers binary, n int, known binary, ids binary"), "phrase-known")
-    size = known.agg(F.coalesce(F.sum(F.col("own").cast("long")), F.lit(0))).first()[0]
-    discard(coded, totals)
+    size = coded.agg(F.coalesce(F.sum(F.col("own").cast("long")), F.lit(0))).first()[0]
     buckets = max(1, -(-size // bucket), docs.sparkSession.sparkContext.defaultParallelism)
+    found = materialize(frequent_words(shard_words(coded, buckets), buckets, support), "frequent-words")
+    words = found.where("shard IS NULL").select(F.inline("words"))
+    n = found.where("shard IS NULL").select(F.inline("totals")).groupBy("lang").agg(F.sum("n").alias("n"))
+    told = found.where("shard IS NOT NULL").groupBy("shard").agg(F.collect_list("numbers").alias("known"), F.collect_list("ids").alias("ids"))
+    known = coded.select("shard", "own", "numbers", F.size("words").alias("n")).join(told, "shard", "left")
+    known = materialize(known, "phrase-known")
+    discard(coded)
     frequent = materialize(frequent_pairs(shard_pairs(known, buckets), buckets, support), "frequent-pairs")
     pairs = _rows(frequent.where("shard IS NULL").select("a", "b", "times"), _unpack_pairs, "words array<long>, times long")
-    told = frequent.groupBy("shard").agg(*[F.collect_list(c).alias(x) for c, x in zip(("a", "b", "times"), _TOLD, strict=True)])
+    told = frequent.where("shard IS NOT NULL").groupBy("shard").agg(*[F.collect_list(c).alias(x) for c, x in zip(("a", "b", "times"), _TOLD, strict=True)])
     pointers = projected(known.join(told, "shard", "left"), buckets, hot)
     longer = grown(pointers, buckets, support).groupBy("words").agg(F.sum("times").alias("times")).where(F.col("times") >= support)
     one = words.select(F.array("id").alias("words"), "times")
@@ -358,12 +396,6 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, most: int = SHARD,
     return words, phrases, n
 
 
-def _pack_known(row: dict) -> Iterator[pa.RecordBatch]:
-    each = row["each"].as_py() or []
-    known, ids = np.array([x["number"] for x in each], np.int32), np.array([x["id"] for x in each], np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array([row[c].as_py()], kind) for c, kind in (("shard", pa.int64()), ("own", pa.int32()), ("numbers", pa.binary()), ("n", pa.int32()))] + [pa.array([known.tobytes()]), pa.array([ids.tobytes()])], ["shard", "own", "numbers", "n", "known", "ids"])
-
-
 def _unpack_pairs(row: dict) -> Iterator[pa.RecordBatch]:
     a, b, times = (np.frombuffer(row[c].as_buffer(), np.int64) for c in ("a", "b", "times"))
     flat = np.stack((a, b), axis=1).ravel()
