@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulesift.errors import BundleError
 from rulesift.functions import patterns as gate
-from rulesift.functions.text import normalize_search, sha256_upper, words
+from rulesift.functions.text import normalize_search, sha256_upper
+from rulesift.operators.contain import meet
 from rulesift.plans.rulepack import RulePack
 
 # The schools that a scope stands for, and the files of a sealed bundle by role.
@@ -58,26 +58,11 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 def quotes_contained(quotes: DataFrame, passages: DataFrame) -> DataFrame:
     """item_id, n_passages: passages (s) that contain each quote (q); no passage contains an empty quote.
 
-    The quotes are a stated set (excerpts that people checked). A word inside a quote, with others around it, is a whole
-    word of every passage that contains the quote: passages meet the broadcast quotes by the longest such word. Quotes
-    without one are looked for as they are. Up to ``MAX_QUOTES`` are broadcast and passages are read once; more are dealt
-    by hash into blocks of half as many on average, and passages are read once for each block.
+    The quotes are a stated set (excerpts that people checked); passages meet them by grams (see ``contain``), whatever
+    their length and script. Up to ``MAX_QUOTES`` are broadcast and passages are read once; more go in blocks.
     """
-    size = quotes.count()
-    blocks = 1 if size <= MAX_QUOTES else -(-2 * size // MAX_QUOTES)
-    block = F.pmod(F.xxhash64("item_id", "q"), F.lit(blocks))
-    inner = F.slice(words(F.col("q")), 2, F.greatest(F.size(words(F.col("q"))) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = quotes.where("q <> ''").select("item_id", "q", longest.alias("word"))
-    own = passages.select("s", F.explode_outer(F.array_distinct(words(F.col("s")))).alias("word"))
-    within = F.contains(F.col("s"), F.col("q"))
-
-    def pairs(some: DataFrame) -> DataFrame:
-        met = own.join(F.broadcast(some.where("word IS NOT NULL")), "word").where(within).select("item_id")
-        return met.unionByName(passages.join(F.broadcast(some.where("word IS NULL")), within).select("item_id"))
-
-    found = reduce(DataFrame.unionByName, [pairs(keyed if blocks == 1 else keyed.where(block == i)) for i in range(blocks)])
-    hits = found.groupBy("item_id").agg(F.count("*").alias("n"))
+    met = meet(passages.select("s"), "s", quotes.select("item_id", F.col("q").alias("needle")), MAX_QUOTES)
+    hits = met.groupBy("item_id").agg(F.count("*").alias("n"))
     return quotes.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_passages"))
 
 

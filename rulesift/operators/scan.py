@@ -2,8 +2,8 @@
 
 ``located`` gives the matches of one pattern with code-point and UTF-16 offsets, in built-in functions. ``scan_array``
 folds all rules of a pack into one projection: the text is read once, patterns are literals that a task compiles once,
-and rows without a hit cost one search for each pattern. ``scan_exploded`` is the other strategy, a broadcast join with
-the table of patterns; it serves packs that are data at run time, and as a check of the first.
+and rows without a hit cost one search for each pattern. ``scan_exploded`` is the other strategy: texts meet the patterns
+by the literals that these can't do without; it serves packs of many patterns, and as a check of the first.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulesift.functions.patterns import jvm
-from rulesift.functions.text import cumulative, utf16_length
+from rulesift.functions.patterns import fold, jvm, required
+from rulesift.functions.text import cumulative, once, utf16_length
+from rulesift.operators.contain import meet
 from rulesift.plans.rulepack import Rule, RulePack
 
 HIT = "struct<text:string,start:int,end:int,startCp:int>"
@@ -70,16 +71,37 @@ def _naming(rule_id: str):
 
 
 def scan_exploded(entries: DataFrame, pack: RulePack) -> DataFrame:
-    """Columns of ``entries`` (text, profile, field) with ruleId, rule_ord, pattern_ord, text_hit, start, end, startCp: one row for each place of each rule."""
-    patterns = F.broadcast(pack.patterns_table(entries.sparkSession))  # as many rows as the pack has patterns
-    silent = [f.key for f in pack.fields if f.content_mode == "none"]
-    on = (~F.col("editorial") | (F.col("profile") == "official_plus_editorial")) & (F.col("applies_to").isNull() | F.array_contains("applies_to", F.col("field")))
-    if silent:
-        on = on & ~F.col("field").isin(*silent)
-    rows = entries.join(patterns, on & F.expr("text rlike pattern")).withColumn("hit", F.explode(located(F.col("text"), F.col("pattern"))))
+    """Columns of ``entries`` (text, profile, field) with ruleId, rule_ord, pattern_ord, text_hit, start, end, startCp: one row for each place of each rule.
+
+    Every match of a pattern has one of the literals that its expression can't do without. Texts meet patterns by these
+    (see ``contain``), and only the pairs that meet are searched. Patterns without such a literal are searched for in
+    every text, in one projection.
+    """
+    spark, silent = entries.sparkSession, [f.key for f in pack.fields if f.content_mode == "none"]
     names = [F.col(f"`{c}`") for c in entries.columns]
-    once = rows.select(*names, F.col("rule_id").alias("ruleId"), "rule_ord", "pattern_ord", F.col("hit.text").alias("text_hit"), "hit.start", "hit.end", "hit.startCp")
-    return once
+    needles, open_ = [], []
+    for i, rule in enumerate(pack.phrases()):
+        for j, p in enumerate(rule.patterns):
+            row = (rule.id, i, j, jvm(p, rule.literal, rule.ignore_case), rule.editorial, list(rule.applies_to) if rule.applies_to is not None else None)
+            told = required(p, rule.literal)
+            if told is None:
+                open_.append(row)
+            else:
+                needles += [(x, list(told[:k]), *row) for k, x in enumerate(told)]
+    columns = ["rule_id", "rule_ord", "pattern_ord", "pattern", "editorial", "applies_to"]
+    kinds = "rule_id string, rule_ord int, pattern_ord int, pattern string, editorial boolean, applies_to array<string>"
+    rows = entries.where(~F.col("field").isin(*silent) | F.col("field").isNull()) if silent else entries
+    met = meet(once(rows, __folded=fold(F.col("text"))), "__folded", spark.createDataFrame(needles, f"needle string, earlier array<string>, {kinds}"))
+    first = ~F.exists("earlier", lambda x: F.contains(F.col("__folded"), x))  # a text meets a pattern once, by the first of its literals
+    pairs = met.where(first & F.expr("text rlike pattern")).select(*names, *columns)
+    if open_:
+        lit = lambda x, kind: F.lit(x) if x is None or not isinstance(x, list) else F.array(*map(F.lit, x)).cast(kind)
+        each = [F.when(F.col("text").rlike(row[3]), F.struct(*[lit(x, "array<string>").alias(c) for c, x in zip(columns, row, strict=True)])) for row in open_]
+        plain = rows.select(*names, F.explode(F.filter(F.array(*each).cast(f"array<struct<{kinds.replace(' ', ':').replace(',:', ',')}>>"), lambda x: x.isNotNull())).alias("__p"))
+        pairs = pairs.unionByName(plain.select(*names, "__p.*"))
+    on = (~F.col("editorial") | (F.col("profile") == "official_plus_editorial")) & (F.col("applies_to").isNull() | F.array_contains("applies_to", F.col("field")))
+    placed = pairs.where(on).withColumn("hit", F.explode(located(F.col("text"), F.col("pattern"))))
+    return placed.select(*names, F.col("rule_id").alias("ruleId"), "rule_ord", "pattern_ord", F.col("hit.text").alias("text_hit"), "hit.start", "hit.end", "hit.startCp")
 
 
 def first_of_rule(hits: DataFrame, key: list[str]) -> DataFrame:
