@@ -113,7 +113,7 @@ def shards(docs: DataFrame, most: int = SHARD) -> DataFrame:
 
     def row(seq: int, shard: _Shard) -> pa.RecordBatch:
         numbers, own, words = shard.cut(most)
-        return pa.RecordBatch.from_arrays([pa.array([seq]), pa.array([own], pa.int32()), pa.array([numbers.astype(np.int32).tobytes()]), pa.array([[x[0] for x in words]], pa.list_(pa.string())), pa.array([[x[1] for x in words]], pa.list_(pa.binary()))], names)
+        return pa.RecordBatch.from_arrays([pa.array([seq]), pa.array([own], pa.int32()), pa.array([_pack(numbers.astype(np.int32))]), pa.array([[x[0] for x in words]], pa.list_(pa.string())), pa.array([[x[1] for x in words]], pa.list_(pa.binary()))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, seq = _Shard(), 0
@@ -134,6 +134,17 @@ def shards(docs: DataFrame, most: int = SHARD) -> DataFrame:
     return made.select((F.spark_partition_id().cast("long") * (1 << 32) + F.col("seq")).alias("shard"), "own", "numbers", "langs", "words")
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """The numbers' bytes, all first ones, all second ones and so on: most of the higher ones are zero, and compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _joined(parts: list[bytes], kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    each = [np.frombuffer(x, np.uint8).reshape(size, -1).T for x in parts]
+    return np.ascontiguousarray(np.concatenate(each)).view(kind).ravel() if each else np.zeros(0, kind)
+
+
 def _rows(df: DataFrame, work, schema: str) -> DataFrame:
     """``work`` of every row, as a dict, gives batches."""
 
@@ -150,14 +161,14 @@ def shard_words(coded: DataFrame, buckets: int) -> DataFrame:
     """bucket, shard, numbers and times (packed), sizes and keys (joined): the words of each shard and how often its own places have them."""
 
     def work(row: dict) -> Iterator[pa.RecordBatch]:
-        numbers = np.frombuffer(row["numbers"].as_buffer(), np.int32)[: row["own"].as_py()]
+        numbers = _joined([row["numbers"].as_py()], np.int32)[: row["own"].as_py()]
         keys = [w + b" " + x.encode() for w, x in zip(row["words"].as_py(), row["langs"].as_py(), strict=True)]  # no word has a blank
         times = np.bincount(numbers[numbers >= 0], minlength=len(keys))
         bucket = (np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys)) % np.uint64(buckets)).astype(np.int32)
         out = []
         for k, (own, n) in _packed([np.arange(len(keys), dtype=np.int32), times], bucket):
-            some = [keys[i] for i in np.frombuffer(own, np.int32).tolist()]
-            out.append((k, row["shard"].as_py(), own, n, np.fromiter(map(len, some), np.int32, len(some)).tobytes(), b"".join(some)))
+            some = [keys[i] for i in _joined([own], np.int32).tolist()]
+            out.append((k, row["shard"].as_py(), own, n, _pack(np.fromiter(map(len, some), np.int32, len(some))), b"".join(some)))
         kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["bucket", "shard", "numbers", "times", "sizes", "keys"])
 
@@ -173,24 +184,24 @@ def frequent_words(counted: DataFrame, buckets: int, support: int) -> DataFrame:
         known: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
         codes = []
         for sizes, keys in zip(held["sizes"], held.pop("keys"), strict=True):
-            ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
+            ends = np.cumsum(_joined([sizes], np.int32)).tolist()
             codes.append(np.fromiter((known[keys[a:b]] for a, b in itertools.pairwise([0, *ends])), np.int64, len(ends)))
         total = np.zeros(len(known), np.int64)
         for code, times in zip(codes, held["times"], strict=True):
-            total[code] += np.frombuffer(times, np.int64)  # a shard has a word once
-        first, frequent = held["bucket"][0] << 32, total >= support
+            total[code] += _joined([times], np.int64)  # a shard has a word once
+        first, frequent = held["bucket"][0], total >= support
         out = []
         for shard, numbers, code in zip(held["shard"], held["numbers"], codes, strict=True):
             kept = frequent[code]
             if kept.any():
-                out.append((shard, np.frombuffer(numbers, np.int32)[kept].tobytes(), (first + code[kept]).tobytes(), None, None))
+                out.append((shard, _pack(_joined([numbers], np.int32)[kept]), _pack(first + buckets * code[kept]), None, None))
         totals: defaultdict[str, int] = defaultdict(int)
         words = []
         for i, (key, n) in enumerate(zip(known, total.tolist(), strict=True)):
             word, lang = key.split(b" ", 1)
             totals[lang.decode()] += n
             if n >= support:
-                words.append({"id": first + i, "lang": lang.decode(), "word": word, "times": n})
+                words.append({"id": first + buckets * i, "lang": lang.decode(), "word": word, "times": n})
         out.append((None, None, None, words, [{"lang": x, "n": n} for x, n in totals.items()]))
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["shard", "numbers", "ids", "words", "totals"])
 
@@ -203,7 +214,7 @@ def _packed(arrays: list[np.ndarray], buckets: np.ndarray) -> Iterator[tuple[int
     at = np.flatnonzero(np.concatenate(([True], np.diff(buckets[order]) != 0))) if len(order) else np.zeros(0, np.int64)
     arrays = [np.ascontiguousarray(x[order]) for x in arrays]
     for a, b in itertools.pairwise([*at.tolist(), len(order)]):
-        yield int(buckets[order[a]]), [x[a:b].tobytes() for x in arrays]
+        yield int(buckets[order[a]]), [_pack(x[a:b]) for x in arrays]
 
 
 def _mixed(*ids: np.ndarray) -> np.ndarray:
@@ -218,7 +229,7 @@ def _places(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """The word numbers of a shard, and the id of each number, -1 if the word isn't frequent; the last one is that of number -1."""
     ids = np.full(row["n"].as_py() + 1, -1, np.int64)
     ids[_joined(row["known"].as_py() or [], np.int32)] = _joined(row["ids"].as_py() or [], np.int64)
-    return np.frombuffer(row["numbers"].as_buffer(), np.int32), ids
+    return _joined([row["numbers"].as_py()], np.int32), ids
 
 
 def _unique(first: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,10 +284,6 @@ def _by_bucket(rows: DataFrame, buckets: int, work, schema: str) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
-def _joined(parts: list[bytes], kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(parts), kind)
-
-
 def frequent_pairs(pairs: DataFrame, buckets: int, support: int) -> DataFrame:
     """shard, a, b and times (packed; times in the corpus), for each shard the frequent pairs it has, and for no shard (null) all pairs once."""
 
@@ -289,7 +296,7 @@ def frequent_pairs(pairs: DataFrame, buckets: int, support: int) -> DataFrame:
         each[order] = np.repeat(total, np.diff(np.append(starts, len(order))))
         kept, once = each >= support, order[starts[total >= support]]
         out = [(held["shard"][i], x) for i, x in _packed([a[kept], b[kept], each[kept]], place[kept])]
-        out += [(None, [x[once].tobytes() for x in (a, b, each)])] * bool(len(once))
+        out += [(None, [_pack(x[once]) for x in (a, b, each)])] * bool(len(once))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), *(pa.array([x[1][k] for x in out], pa.binary()) for k in range(3))], ["shard", "a", "b", "times"])
 
     return _by_bucket(pairs, buckets, work, "shard long, a binary, b binary, times binary")
@@ -397,7 +404,7 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, most: int = SHARD,
 
 
 def _unpack_pairs(row: dict) -> Iterator[pa.RecordBatch]:
-    a, b, times = (np.frombuffer(row[c].as_buffer(), np.int64) for c in ("a", "b", "times"))
+    a, b, times = (_joined([row[c].as_py()], np.int64) for c in ("a", "b", "times"))
     flat = np.stack((a, b), axis=1).ravel()
     yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 2, dtype=np.int32)), pa.array(flat)), pa.array(times)], ["words", "times"])
 
