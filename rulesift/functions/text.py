@@ -118,12 +118,6 @@ def tokens(text: Column) -> Column:
     return F.element_at(F.transform(F.array(words(text)), both), 1)  # the words are looked for once
 
 
-def grams(found: Column, size: int) -> Column:
-    """Distinct runs of ``size`` characters within the words of an array."""
-    runs = F.transform(F.filter(found, lambda w: F.length(w) >= size), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - size + 1), lambda i: F.substring(w, i, F.lit(size))))
-    return F.array_distinct(F.flatten(runs))
-
-
 def count_in(haystack: Column, needle: Column) -> Column:
     """Leftmost non-overlapping occurrences; none of an empty needle."""
     size = F.octet_length(needle)

@@ -2,25 +2,28 @@
 
 Statistics (size, mean length, document frequencies of the query's tokens) are one aggregate row over all passages,
 whatever the filters; the score is a closed expression of a row and that row. One query is one pass for the statistics
-and one for the scores, and the top is taken without a full sort. Many queries share one exploded token table.
+and one for the scores, and the top is taken without a full sort. Many queries share an inverted index, whose blocks
+have bounds of the scores.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rulesift import schemas as S
-from rulesift.functions.text import compact, count_in, grams, normalize_search, once, pad_start, snippet, tokens, words
+from rulesift.functions.text import compact, count_in, normalize_search, once, pad_start, snippet, tokens, words
+from rulesift.operators.contain import meet
+from rulesift.sources.tables import written
 
 # Weights of the score.
 EXACT, COMPACT, COVERAGE, HEADING, BM25, CONTAINS, AUTHORITY = 3000.0, 1800.0, 800.0, 500.0, 100.0, 400.0, 0.01
 K1, B = 1.2, 0.75
-#: Queries that ``search_many`` broadcasts at once, and characters by which their tokens meet passages.
-MAX_QUERIES, GRAM = 2000, 3
+#: Queries up to which ``search_many`` broadcasts what it knows of them, passages in a block of the index, and passages with the rarest token that are tried first, for each result.
+MAX_QUERIES, BLOCK, SEEDS = 2000, 4096, 8
 
 
 class QueryError(ValueError):
@@ -132,45 +135,105 @@ def token_df(prepared: DataFrame) -> DataFrame:
     return listed.groupBy("token").agg(F.count("*").alias("df"))
 
 
-def search_many(prepared: DataFrame, queries: DataFrame, limit: int = S.DEFAULT_LIMIT, key: str = "id", compose: bool = True) -> DataFrame:
+# --- many queries: an inverted index ----------------------------------------------------------------------------
+
+
+@dataclass
+class Index:
+    """Tables that serve any number of searches; see ``build_index``."""
+
+    passages: DataFrame  # those of prepare, and __no
+    postings: DataFrame  # word, block, most (occurrences in a passage), shortest (tokens of a passage), entries (no, n, len)
+    vocabulary: DataFrame  # word, df
+    size: int
+    mean: float
+    authority: float  # the highest
+    headed: bool  # whether passages have headings
+
+
+def build_index(prepared: DataFrame) -> Index:
+    """An inverted index: for each word the passages that have it, in blocks of ``BLOCK`` passages with the bounds that a score needs.
+
+    A query's token is looked for within words. It has letters and digits alone, so each of its occurrences lies in one
+    word, and the words of the vocabulary that contain it tell its exact number of occurrences in every passage.
+    """
+    passages = written(prepared.withColumn("__no", F.monotonically_increasing_id()), "passages")
+    seen = passages.select("__no", "__len", F.explode(words(F.col("__s"))).alias("word")).groupBy("__no", "__len", "word").agg(F.count("*").cast("int").alias("n"))
+    block = F.call_function("shiftright", F.col("__no"), F.lit(BLOCK.bit_length() - 1))
+    listed = seen.groupBy("word", block.alias("block")).agg(F.max("n").alias("most"), F.min("__len").alias("shortest"), F.collect_list(F.struct(F.col("__no").alias("no"), "n", F.col("__len").alias("len"))).alias("entries"))
+    postings = written(listed.sortWithinPartitions("word", "block"), "postings")
+    vocabulary = postings.groupBy("word").agg(F.sum(F.size("entries").cast("long")).alias("df"))
+    row = passages.agg(F.count("*").alias("n"), F.coalesce(F.avg("__len"), F.lit(0.0)).alias("mean"), F.coalesce(F.max("authority"), F.lit(0)).alias("top"), F.coalesce(F.max(F.col("__h") != ""), F.lit(False)).alias("headed")).first()
+    return Index(passages, postings, written(vocabulary, "vocabulary"), row["n"], row["mean"], float(row["top"]), row["headed"])
+
+
+def _weight(tf: Column, length: Column, idf: Column, index: Index) -> Column:
+    """What a token that occurs adds to a score by its occurrences; a little more, where sums of it are bounds."""
+    return BM25 * idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length / F.lit(max(1.0, float(index.mean)))))
+
+
+def search_many(prepared: DataFrame, queries: DataFrame, limit: int = S.DEFAULT_LIMIT, key: str = "id", compose: bool = True, index: Index | None = None) -> DataFrame:
     """query_id, key, score, rank for a stated set of queries (query_id, query).
 
-    Term frequencies count substrings, and a token has letters and digits alone, so a passage that has it has its first
-    characters (three, or as many as it has) within one of its words. Passages' distinct runs of so many characters meet
-    the broadcast query set; the pairs that this gives, each once, meet the passages by key and are scored. Queries
-    without a token are looked for as they are. More than ``MAX_QUERIES`` are dealt by hash into blocks of half as many
-    on average, and passages are read once for each block.
+    Scores are those of ``search``. Few passages are scored: those that hold a query's phrase without its blanks, which
+    are found by grams, and some that hold its rarest token, give each query a score to beat. Passages without the phrase
+    can score no more than the sum of their tokens' bounds; tokens that even together can't reach the score to beat are
+    left out, and for the others only those blocks of the index are read, and only those passages scored, whose bounds do.
+    Queries without a token are found by their phrase alone. ``index``: one of ``prepared``, else it is made here.
     """
-    size = queries.count()
-    blocks = 1 if size <= MAX_QUERIES else -(-2 * size // MAX_QUERIES)
-    folded = queries.select("query_id", normalize_search(F.col("query"), compose).alias("__q")).where("__q <> ''").withColumn("__t", tokens(F.col("__q")))
-    n, mean, _ = statistics(prepared, [])
-    wanted = folded.select(F.explode_outer("__t").alias("token")).where("token IS NOT NULL").distinct()
-    df = token_df(prepared).join(F.broadcast(wanted) if blocks == 1 else wanted, "token")
-    listed = folded.select("query_id", "__q", F.posexplode_outer("__t").alias("pos", "token")).join(df, "token", "left").groupBy("query_id", "__q").agg(F.array_sort(F.collect_list(F.struct("pos", "token", F.coalesce("df", F.lit(0)).cast("double").alias("df")))).alias("x"))
-    real = F.filter("x", lambda y: y["token"].isNotNull())
-    ready = listed.select("query_id", "__q", F.transform(real, lambda y: y["token"]).alias("__t"), F.transform(real, lambda y: y["df"]).alias("__df"))
-    q, terms, s = F.col("__q"), F.col("__t"), F.col("__s")
-    block = F.pmod(F.xxhash64("query_id", "__q"), F.lit(blocks))
-    keyed = ready.select("*", F.posexplode_outer("__t").alias("__at", "__token")).withColumn("__gram", F.substring("__token", 1, GRAM))
-    sizes = sorted(r["n"] for r in keyed.where("__gram IS NOT NULL").select(F.length("__gram").alias("n")).distinct().collect())  # GRAM numbers at most
-    narrow = once(prepared.select(F.col(key).alias("__key"), "__s"), __words=words(s))
-    mine = F.array_distinct(F.concat(*[grams(F.col("__words"), n) for n in sizes])) if sizes else F.array().cast("array<string>")
-    spread = narrow.select("__key", F.explode_outer(mine).alias("__gram"))
-
-    passages = once(prepared, __c=F.col("__c"), __len=F.col("__len")).drop("__tokens")  # once for a passage, not for a pair
-
-    def scores(some: DataFrame) -> DataFrame:
-        wanted = some.where("__gram IS NOT NULL")
-        pairs = spread.join(F.broadcast(wanted.select("query_id", "__q", "__gram").distinct()), "__gram").select("__key", "query_id", "__q").distinct()
-        lists = some.select("query_id", "__q", "__t", "__df", F.col("__gram").isNull().alias("__bare")).distinct()
-        of = F.col(key).eqNullSafe(F.col("__key"))
-        met = passages.join(pairs, of).join(F.broadcast(lists.where("NOT __bare").select(F.col("query_id").alias("__id"), F.col("__q").alias("__own"), "__t", "__df")), F.col("query_id").eqNullSafe(F.col("__id")) & (q == F.col("__own")))
-        bare = passages.join(F.broadcast(lists.where("__bare").drop("__bare")), F.contains(s, q))
-        kept = [*passages.columns, "query_id", "__q", "__t", "__df"]
-        both = met.select(*kept).unionByName(bare.select(*kept))
-        return _features(both, q, terms).withColumn("score", _score(q, terms, F.col("__df"), F.lit(float(n)), F.lit(float(mean)))).select("query_id", key, "authority", "score")
-
-    scored = reduce(DataFrame.unionByName, [scores(keyed if blocks == 1 else keyed.where(block == i)) for i in range(blocks)])
+    index = index or build_index(prepared)
+    folded = queries.select("query_id", normalize_search(F.col("query"), compose).alias("__q")).where("__q <> ''").distinct()
+    asked = written(folded.withColumn("__t", tokens(F.col("__q"))).withColumn("__id", F.monotonically_increasing_id()), "queries")
+    few = (lambda df: F.broadcast(df)) if asked.count() <= MAX_QUERIES else (lambda df: df)
+    listed = asked.select("__id", F.size("__t").alias("size"), F.posexplode("__t").alias("pos", "token"))
+    each = listed.select("token").distinct()
+    having = index.passages.select(F.explode("__tokens").alias("token")).join(few(each), "token").groupBy("token").agg(F.count("*").alias("df"))
+    within = written(meet(index.vocabulary, "word", each.select(F.col("token").alias("needle"))).select(F.col("needle").alias("token"), "word", "df", count_in(F.col("word"), F.col("needle")).alias("times")), "query-words")
+    found = within.groupBy("token").agg(F.sum("df").alias("places"))
+    n = F.lit(float(index.size))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    told = listed.join(having, "token", "left").join(found, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)).cast("double"))
+    told = written(told.withColumn("idf", idf).withColumn("bound", F.lit(BM25 * (K1 + 1)) * idf + F.lit(COVERAGE) / F.col("size")), "query-tokens")
+    dfs = told.groupBy("__id").agg(F.array_sort(F.collect_list(F.struct("pos", "df"))).alias("x")).select("__id", F.transform("x", lambda y: y["df"]).alias("__df"))
+    none = F.array().cast("array<double>")
+    ready = asked.join(dfs, "__id", "left").withColumn("__df", F.coalesce("__df", none))
+    terms, q = F.col("__t"), F.col("__q")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """The pairs __id, __no that match, with the passage's columns that rank them."""
+        both = index.passages.join(pairs, "__no").join(few(ready), "__id")
+        rows = _features(both, q, terms).withColumn("score", _score(q, terms, F.col("__df"), n, F.lit(float(index.mean))))
+        return rows.select("__id", "__no", "query_id", key, "authority", "score")
+
+    def entries(some: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+        """token, no, len and tf of the tokens ``some``, in the given blocks (token, block)."""
+        kept = index.postings.join(few(some.join(within.select("token", "word", "times"), "token")), "word")
+        kept = kept if blocks is None else kept.join(few(blocks), ["token", "block"], "left_semi")
+        return kept.select("token", "times", F.inline("entries")).groupBy("token", "no", "len").agg(F.sum(F.col("n") * F.col("times")).alias("tf"))
+
+    phrases = asked.select("__id", compact(q).alias("needle"))
+    whole = meet(index.passages.select("__no", "__c"), "__c", phrases).select("__id", "__no")
+    rarest = told.where("places IS NOT NULL").groupBy("__id").agg(F.min(F.struct("places", "token")).alias("best")).select("__id", F.col("best.token").alias("token"))
+    best = F.row_number().over(W.partitionBy("__id").orderBy(F.desc("tf"), "len", "no"))
+    some = rarest.join(entries(rarest.select("token").distinct()), "token").withColumn("place", best).where(F.col("place") <= SEEDS * limit)
+    tried = written(whole.unionByName(some.select("__id", F.col("no").alias("__no"))).distinct(), "tried")
+    first = written(scored(tried), "first-scores")
+
+    kth = F.row_number().over(W.partitionBy("__id").orderBy(F.desc("score")))
+    beat = first.withColumn("place", kth).where(F.col("place") == limit).select("__id", F.col("score").alias("beat"))
+    slack = AUTHORITY * index.authority + (HEADING if index.headed else 0.0) + 1e-6
+    sums = W.partitionBy("__id").orderBy("bound", "pos").rowsBetween(W.unboundedPreceding, 0)
+    bounded = told.where("places IS NOT NULL").join(beat, "__id", "left").withColumn("beat", F.coalesce("beat", F.lit(0.0)) - slack).withColumn("sum", F.sum("bound").over(sums))
+    # Tokens whose bounds, added up from the least, stay under the score to beat can't bring a passage in by themselves.
+    bounded = written(bounded.withColumn("needed", F.col("sum") >= F.col("beat")).withColumn("rest", F.coalesce(F.sum(F.when(~F.col("needed"), F.col("bound"))).over(W.partitionBy("__id")), F.lit(0.0))).where("needed"), "needed-tokens")
+    needed = bounded.select("token").distinct()
+    heads = index.postings.join(few(needed.join(within.select("token", "word", "times"), "token")), "word").groupBy("token", "block").agg(F.sum(F.col("most") * F.col("times")).alias("most"), F.min("shortest").alias("shortest"))
+    of_block = heads.join(few(bounded), "token").groupBy("__id", "block", "beat", "rest").agg(F.sum(_weight(F.col("most"), F.col("shortest"), F.col("idf"), index) + F.lit(COVERAGE) / F.col("size")).alias("most"), F.collect_set("token").alias("tokens"))
+    blocks = written(of_block.where(F.col("most") + F.col("rest") >= F.col("beat")).select("__id", "block", "tokens"), "blocks")
+    listed = entries(needed, blocks.select(F.explode("tokens").alias("token"), "block").distinct()).withColumn("block", F.call_function("shiftright", F.col("no"), F.lit(BLOCK.bit_length() - 1)))
+    met = listed.join(few(bounded), "token").join(few(blocks.select("__id", "block")), ["__id", "block"], "left_semi")
+    summed = met.groupBy("__id", "no", "beat", "rest").agg(F.sum(_weight(F.col("tf"), F.col("len"), F.col("idf"), index) + F.lit(COVERAGE) / F.col("size")).alias("most"))
+    left = summed.where(F.col("most") + F.col("rest") >= F.col("beat")).select("__id", F.col("no").alias("__no")).join(tried, ["__id", "__no"], "left_anti")
+    every = first.unionByName(scored(left))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("authority"), key))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", key, "score", "rank")
+    return every.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", key, "score", "rank")
