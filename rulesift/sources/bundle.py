@@ -1,8 +1,9 @@
 """Loading a sealed bundle: seven files and their manifest become tables and a rule pack, or a failure with its kind.
 
-The files are read as bytes, so any store that Spark reads will do. Layouts are closed: unknown keys, missing keys and
-values outside their range are ``schema`` failures. Layouts are checked on the driver, where the manifest's hashes need
-the whole files anyway; a file of more than ``MAX_FILE`` bytes is refused. Everything that compares tables is left to the
+Any store that Spark reads will do. Hashes are taken and layouts are judged where the files are read (see ``layout``):
+unknown keys, missing keys and values outside their range are ``schema`` failures. The driver gets a row for each file, the
+two manifests, the rule pack, which becomes constants of plans, and the excerpts that the pack cites. A document of more
+than ``MAX_FILE`` bytes, or lines of more than ``MAX_LINES``, are refused. Everything that compares tables is left to the
 checks of ``operators.integrity``, in their order; the first failure of all is raised.
 """
 
@@ -10,10 +11,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
-from collections.abc import Callable
 from dataclasses import dataclass, replace
-from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +21,11 @@ from rulesift import schemas as S
 from rulesift.errors import BundleError
 from rulesift.operators import integrity
 from rulesift.plans.rulepack import Evidence, Field, Rule, RulePack, Semantic
+from rulesift.sources.layout import Layout, any_text, closed, columns, count, day, document, either, flag, lines, many, matching, name, one_of, problem, text, whole
+from rulesift.sources.tables import written
 
-MAX_FILE = 256 << 20
+#: Bytes of a document, which is one value, and of a file of lines, which is hashed as a whole.
+MAX_FILE, MAX_LINES = 16 << 20, 1 << 30
 
 # Places of a bundle's files ({} is the pack's id), lists and constants of their layouts.
 MANIFEST = "data/bundle-manifest.json"
@@ -37,67 +39,8 @@ YEAR, EFFECTIVE, CHECKED_ON, SOURCE_COUNT, POLICY = 2026, "2026-03-01", "2026-07
 DISCLAIMER = "교육부 명시 금지가 아닌 보수적 문장 품질 검토 항목"
 # End of the fixed values.
 
-Layout = Callable[[object], bool]
-
-
-# --- layouts ----------------------------------------------------------------------------------------------------
-
-
-def one_of(*values: object) -> Layout:
-    return lambda v: any(v == x and isinstance(v, bool) == isinstance(x, bool) for x in values)
-
-
-def matching(pattern: str) -> Layout:
-    return lambda v: isinstance(v, str) and re.fullmatch(pattern, v) is not None
-
-
-def text(v: object) -> bool:
-    return isinstance(v, str) and v.strip().strip("﻿").strip() != ""
-
-
-def any_text(v: object) -> bool:
-    return isinstance(v, str)
-
-
-def name(v: object) -> bool:
-    return isinstance(v, str) and 1 <= len(v.encode("utf-16-le", "surrogatepass")) // 2 <= 200
-
-
-def whole(v: object, least: int = 1) -> bool:
-    return isinstance(v, (int, float)) and not isinstance(v, bool) and v == int(v) >= least
-
-
-def count(v: object) -> bool:
-    return whole(v, 0)
-
-
-def flag(v: object) -> bool:
-    return isinstance(v, bool)
-
-
-def day(v: object) -> bool:
-    try:
-        return isinstance(v, str) and date.fromisoformat(v).isoformat() == v
-    except ValueError:
-        return False
-
-
-def many(item: Layout, least: int = 0, most: int | None = None) -> Layout:
-    return lambda v: isinstance(v, list) and least <= len(v) and (most is None or len(v) <= most) and all(map(item, v))
-
-
-def closed(must: dict[str, Layout], may: dict[str, Layout] | None = None) -> Layout:
-    """An object with all keys of ``must``, perhaps some of ``may``, and no others."""
-    known = must | (may or {})
-    return lambda v: isinstance(v, dict) and must.keys() <= v.keys() <= known.keys() and all(known[k](x) for k, x in v.items())
-
-
-def either(*layouts: Layout) -> Layout:
-    return lambda v: any(f(v) for f in layouts)
-
-
 sha, url, snapshot = matching("[A-F0-9]{64}"), matching(r"(?i)[a-z][a-z0-9+.-]*:\S+"), matching("[A-Za-z0-9][A-Za-z0-9._-]*")
-levels: Layout = lambda v: many(one_of(*LEVELS), 1)(v) and len(set(v)) == len(v)
+levels = many(one_of(*LEVELS), 1, distinct=True)
 _origin = {"title": text, "role": one_of(*S.SOURCE_ROLES), "format": one_of(*FORMATS), "authority": one_of(*AUTHORITIES), "schoolLevels": levels, "snapshotName": snapshot}
 _source = closed(_origin | {"id": name, "academicYear": one_of(YEAR), "effectiveFrom": one_of(EFFECTIVE), "fileName": text, "relativeInputPath": text, "sha256": sha, "minimumExtractedChars": whole}, {"publishedAt": day, "sourceUrl": url})
 _document = closed(_origin | {"sourceId": name, "sourceSha256": sha, "unitCount": whole, "extractedCharCount": whole, "includedInChunks": flag}, {"sourceUrl": url})
@@ -141,7 +84,7 @@ def layouts(pack_id: str) -> dict[str, Layout]:
     return {
         MANIFEST: closed(head | {"files": many(closed({"path": one_of(*paths), "sha256": sha}), len(paths), len(paths)), "bundleContentSha256": sha}),
         "sources": closed(head | {"sources": many(_source, SOURCE_COUNT, SOURCE_COUNT)}),
-        "documents": many(_document), "chunks": many(_chunk), "active": many(_approval), "evidence": many(_excerpt),
+        "documents": many(_document), "chunks": _chunk, "active": many(_approval), "evidence": many(_excerpt),
         "corpus": closed(head | {"sourceManifestSha256": sha, "documentsSha256": sha, "chunksSha256": sha, "documentCount": count, "chunkCount": count}),
         "rules": closed({
             "id": one_of(pack_id), "schoolLevel": one_of(LEVELS[0]), "academicYear": one_of(YEAR), "effectiveFrom": one_of(EFFECTIVE), "defaultProfile": one_of("official"), "authorityOrder": one_of([100, 80, 10]),
@@ -157,52 +100,49 @@ def _digest(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest().upper()
 
 
-def file_bytes(spark: SparkSession, root: str, path: str) -> bytes:
-    """A whole file; one that can't be read, or is over ``MAX_FILE``, is a ``data-read`` failure."""
-    try:
-        rows = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{path}")
-        found = rows.select(F.when(F.col("length") <= MAX_FILE, F.col("content")).alias("content")).first()["content"]
-    except Exception as e:
-        raise BundleError("data-read", path) from e
-    if found is None:
-        raise BundleError("data-read", path)
-    return bytes(found)
+def files_read(spark: SparkSession, root: str, paths: list[str], told: tuple[str, ...] = ()) -> dict[str, tuple[str, bytes | None]]:
+    """The hash of each file, in one pass, and the bytes of those ``told``; one that can't be read, or is too large, is a ``data-read`` failure, the first in order."""
+    most = F.when(F.col("path").endswith(".jsonl"), MAX_LINES).otherwise(MAX_FILE)
+    small = F.lit(False)
+    for p in told:
+        small = small | F.col("path").endswith(f"/{p}")
 
+    def read(some: list[str]) -> dict:
+        rows = spark.read.format("binaryFile").load([f"{root.rstrip('/')}/{p}" for p in some]).where(F.col("length") <= most)
+        got = rows.select("path", F.upper(F.sha2("content", 256)).alias("sha256"), F.when(small, F.col("content")).alias("content")).collect()  # a row for each of a bundle's files
+        return {p: (r["sha256"], None if r["content"] is None else bytes(r["content"])) for p in some for r in got if r["path"].endswith(f"/{p}")}
 
-def files_bytes(spark: SparkSession, root: str, paths: list[str]) -> dict[str, bytes]:
-    """All files in one pass; if that fails, one after the other, so that the first that can't be read is named."""
     try:
-        rows = spark.read.format("binaryFile").load([f"{root.rstrip('/')}/{p}" for p in paths]).where(F.col("length") <= MAX_FILE).select("path", "content").collect()  # a bundle's seven files
-        found = {p: bytes(r["content"]) for p in paths for r in rows if r["path"].endswith(f"/{p}")}
+        found = read(paths)
     except Exception:
         found = {}
-    return found if len(found) == len(paths) else {p: file_bytes(spark, root, p) for p in paths}
+    for p in paths:
+        if p not in found:
+            try:
+                found |= read([p])
+            except Exception as e:
+                raise BundleError("data-read", p) from e
+            if p not in found:
+                raise BundleError("data-read", p)
+    return found
 
 
 def _refuse(constant: str) -> object:
     raise ValueError(constant)
 
 
-def parse(data: bytes, path: str, lines: bool = False) -> object:
-    """A JSON document, or one for each line: no blank line, and only the last line end may be missing."""
-    body = data.decode("utf-8", "replace")
-    rows = [body]
-    if lines:
-        rows = re.split(r"\r?\n", body)
-        rows = rows[:-1] if rows[-1] == "" else rows
-        if not rows or any(not r.strip() for r in rows):
-            raise BundleError("json-lines", path)
+def parse(data: bytes, path: str) -> object:
+    """The value of a small JSON file: the manifests and the rule pack, whose values become constants of plans."""
     try:
-        found = [json.loads(r, parse_constant=_refuse) for r in rows]
+        return json.loads(data.decode("utf-8", "replace"), parse_constant=_refuse)
     except ValueError as e:
         raise BundleError("json-syntax", path) from e
-    return found if lines else found[0]
 
 
-def _require(layout: Layout, value: object, path: str) -> object:
-    if not layout(value):
-        raise BundleError("schema", path)
-    return value
+def problems(rows: dict[str, tuple[DataFrame, Layout]]) -> dict[str, str | None]:
+    """What is wrong with each file's values, in one job."""
+    each = [problem(df, layout, "blank" in df.columns).select(F.lit(kind).alias("kind"), "problem") for kind, (df, layout) in rows.items()]
+    return {r["kind"]: r["problem"] for r in reduce(DataFrame.unionByName, each).collect()}  # a row for each file
 
 
 def _authorities_mixed(raw: object) -> bool:
@@ -219,13 +159,6 @@ def _authorities_mixed(raw: object) -> bool:
     return False
 
 
-def _table(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
-    names, place = S.names(ddl), S.names(S.LOCATOR)
-    whole_number = lambda v: int(v) if isinstance(v, float) else v
-    value = lambda n, v: tuple(whole_number(v.get(k)) for k in place) if n == "locator" else whole_number(v)
-    return spark.createDataFrame([tuple(value(n, r.get(n)) for n in names) for r in rows], ddl)
-
-
 def rule_pack(raw: dict, excerpts: tuple[Evidence, ...] = (), gate: bool = True) -> RulePack:
     """A pack from its file's object. With ``gate=False`` patterns are not judged yet."""
     fields = []
@@ -273,42 +206,62 @@ class Loaded:
 
 def load_bundle(spark: SparkSession, root: str, pack_id: str) -> Loaded:
     """Read, check and build; raises ``BundleError`` for the first failure, in the order of a start-up."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # as JSON parsers do, the last of equal keys counts
     paths, layout = {k: p.format(pack_id) for k, p in FILES.items()}, layouts(pack_id)
-    manifest_bytes = file_bytes(spark, root, MANIFEST)
-    manifest = _require(layout[MANIFEST], parse(manifest_bytes, MANIFEST), MANIFEST)
+    manifest_sha, manifest_bytes = files_read(spark, root, [MANIFEST], (MANIFEST,))[MANIFEST]
+    manifest = parse(manifest_bytes, MANIFEST)
+    full = {kind: f"{root.rstrip('/')}/{path}" for kind, path in (paths | {MANIFEST: MANIFEST}).items()}
+    if problems({MANIFEST: (document(spark, full[MANIFEST]), layout[MANIFEST])})[MANIFEST]:
+        raise BundleError("schema", MANIFEST)
     declared = {f["path"]: f["sha256"] for f in manifest["files"]}
     if len(declared) < len(manifest["files"]):
         raise BundleError("duplicate-id", MANIFEST)
     if set(declared) != set(paths.values()):
         raise BundleError("bundle-file-set", MANIFEST)
-    found = files_bytes(spark, root, list(paths.values()))
-    raw = {kind: found[path] for kind, path in paths.items()}
-    for kind, path in paths.items():
-        if _digest(raw[kind]) != declared[path]:
+    found = files_read(spark, root, list(paths.values()), (paths["corpus"], paths["rules"]))
+    for path in paths.values():
+        if found[path][0] != declared[path]:
             raise BundleError("bundle-file-hash", path)
     if _digest("".join(f"{p}\0{declared[p]}\n" for p in sorted(declared)).encode()) != manifest["bundleContentSha256"]:
         raise BundleError("bundle-content-hash", MANIFEST)
 
-    got = {kind: _require(layout[kind], parse(raw[kind], paths[kind], kind == "chunks"), paths[kind]) for kind in ("sources", "documents", "chunks", "corpus", "active", "evidence")}
-    rules = parse(raw["rules"], paths["rules"])
+    values = {kind: lines(spark, full[kind]) if kind == "chunks" else document(spark, full[kind]) for kind in paths}
+    wrong = problems({kind: (df, layout[kind]) for kind, df in values.items()})
+    for kind in ("sources", "documents", "chunks", "corpus", "active", "evidence"):
+        if wrong[kind]:
+            raise BundleError(wrong[kind], paths[kind])
+    rules = parse(found[paths["rules"]][1], paths["rules"])
     if _authorities_mixed(rules):
         raise BundleError("rule-authority-separation", paths["rules"])
-    _require(layout["rules"], rules, paths["rules"])
-    sources = got["sources"]["sources"]
-    for rows, key, kind in ((sources, "id", "sources"), (sources, "snapshotName", "sources"), (got["documents"], "sourceId", "documents"), (got["chunks"], "id", "chunks"), (got["active"], "chunkId", "active"), (got["evidence"], "id", "evidence"), (rules["rules"], "id", "rules")):
-        if len({r[key] for r in rows}) < len(rows):
-            raise BundleError("duplicate-id", paths[kind])
-
-    corpus, chunk_of, title_of = got["corpus"], {c["id"]: c for c in got["chunks"]}, {s["id"]: s["title"] for s in sources}
-    cited = [(e, chunk_of[e["chunkId"]]) for e in got["evidence"] if e["chunkId"] in chunk_of]
-    excerpts = tuple(Evidence(e["id"], c["id"], c["sourceId"], title_of.get(c["sourceId"], ""), c["authority"], c["locatorLabel"], e["quote"]) for e, c in cited)
+    if wrong["rules"]:
+        raise BundleError(wrong["rules"], paths["rules"])
+
+    def rows(kind: str, at: str = "$") -> DataFrame:
+        return values[kind].select(F.explode(F.try_variant_get("v", at, "array<variant>")).alias("v"))
+
+    listed = {"sources": (rows("sources", "$.sources"), S.SOURCES), "documents": (rows("documents"), S.DOCUMENTS), "chunks": (values["chunks"], S.CHUNKS), "active": (rows("active"), S.ACTIVE), "evidence": (rows("evidence"), S.EVIDENCE)}
+    tables = {kind: written(columns(df, S.nested(ddl)), f"bundle-{kind}") for kind, (df, ddl) in listed.items()}
+    keys = (("sources", "id"), ("sources", "snapshotName"), ("documents", "sourceId"), ("chunks", "id"), ("active", "chunkId"), ("evidence", "id"))
+    each = [integrity.repeated(tables[kind], key).agg(F.count("*").alias("n")).select(F.lit(i).alias("i"), "n") for i, (kind, key) in enumerate(keys)]
+    repeats = [keys[r["i"]][0] for r in reduce(DataFrame.unionByName, each).where("n > 0").orderBy("i").collect()]  # a row for each key
+    if len({r["id"] for r in rules["rules"]}) < len(rules["rules"]):
+        repeats.append("rules")
+    if repeats:
+        raise BundleError("duplicate-id", paths[repeats[0]])
+
+    corpus = json.loads(found[paths["corpus"]][1])
+    # What the pack cites becomes part of its messages; other excerpts stay where they are.
+    citing = sorted({e for x in (*rules["fields"].values(), *rules["rules"]) for e in x.get("evidenceIds", ())})
+    told = tables["evidence"].where(F.col("id").isin(*citing)).select(F.col("id").alias("e"), "chunkId", "quote").join(tables["chunks"].select(F.col("id").alias("chunkId"), "sourceId", "authority", "locatorLabel"), "chunkId").join(tables["sources"].select(F.col("id").alias("sourceId"), "title"), "sourceId", "left")
+    excerpts = tuple(Evidence(r["e"], r["chunkId"], r["sourceId"], r["title"] or "", r["authority"], r["locatorLabel"], r["quote"]) for r in sorted(told.collect(), key=lambda r: r["e"]))
     pack = rule_pack(rules, excerpts, gate=False)
-    hashes = [(paths[k], corpus[n], _digest(raw[k])) for k, n in (("sources", "sourceManifestSha256"), ("documents", "documentsSha256"), ("chunks", "chunksSha256"))]
+    hashes = [(paths[k], corpus[n], found[paths[k]][0]) for k, n in (("sources", "sourceManifestSha256"), ("documents", "documentsSha256"), ("chunks", "chunksSha256"))]
     bundle = integrity.Bundle(
-        _table(spark, sources, S.SOURCES), _table(spark, got["documents"], S.DOCUMENTS), _table(spark, got["chunks"], S.CHUNKS), _table(spark, got["active"], S.ACTIVE), _table(spark, got["evidence"], S.EVIDENCE), pack,
+        tables["sources"], tables["documents"], tables["chunks"], tables["active"], tables["evidence"], pack,
         corpus_counts=(corpus["documentCount"], corpus["chunkCount"]), corpus_hashes=spark.createDataFrame(hashes, "path string, declared string, actual string"),
     )
     for kind, place, ids in integrity.violations(bundle):
         raise BundleError(kind, ids[0] if kind == "corpus-file-hash" else paths.get(place, place))
     pack = replace(pack, gate=True)
-    return Loaded(replace(bundle, pack=pack), pack, rules, sources, manifest["files"], _digest(manifest_bytes), manifest["bundleContentSha256"])
+    origins = [r.asDict() for r in tables["sources"].collect()]  # SOURCE_COUNT rows
+    return Loaded(replace(bundle, pack=pack), pack, rules, origins, manifest["files"], manifest_sha, manifest["bundleContentSha256"])

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import posixpath
 import re
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import StructType
 
 from rulesift import schemas as S
 from rulesift.errors import BundleError
+from rulesift.sources.layout import Layout, columns, document, layout_of, lines, parsed, problem
+from rulesift.sources.layout import many as some
 
 
 def read_bytes(spark: SparkSession, path: str) -> DataFrame:
@@ -24,50 +25,36 @@ def read_bytes(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content", F.upper(F.sha2("content", 256)).alias("sha256"))
 
 
-def _open(raw: Column, kind: StructType) -> Column:
-    """Whether a JSON object, or one that it holds, has keys that its type doesn't know."""
-    odd = F.size(F.array_except(F.json_object_keys(raw), F.array(*[F.lit(f.name) for f in kind]))) > 0
-    for f in kind:
-        own, inner = F.get_json_object(raw, f"$.{f.name}"), f.dataType
-        if isinstance(inner, StructType):
-            odd = odd | F.coalesce(_open(own, inner), F.lit(False))
-        elif isinstance(inner, ArrayType) and isinstance(inner.elementType, StructType):
-            odd = odd | F.coalesce(_any_open(own, inner.elementType), F.lit(False))
-    return odd
-
-
-def _any_open(raw: Column, kind: StructType) -> Column:
-    return F.exists(F.from_json(raw, "array<string>"), lambda x: _open(x, kind))
-
-
-def parse_rows(rows: DataFrame, ddl: str, path: str, column: str = "value", required: tuple[str, ...] = ()) -> DataFrame:
-    """JSON objects of a column as columns. Unparseable rows raise ``json-syntax``; unknown keys at any level, values of another type and missing ``required`` ones raise ``schema``."""
-    if not rows.where(F.json_object_keys(column).isNull()).isEmpty():
-        raise BundleError("json-syntax", path)
-    kind = StructType.fromDDL(ddl)
-    read = F.from_json(column, f"struct<{S.nested(ddl)[7:-1]},__corrupt:string>", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"})
-    got = rows.select(F.col(column).alias("__raw"), read.alias("x"))
-    missing = reduce(lambda a, b: a | b, [F.col(f"x.{n}").isNull() for n in required], F.lit(False))
-    if not got.where(_open(F.col("__raw"), kind) | F.col("x.__corrupt").isNotNull() | missing).isEmpty():
-        raise BundleError("schema", path)
-    return got.select("x.*").drop("__corrupt")
-
-
-def read_json(spark: SparkSession, path: str, ddl: str, many: bool = True) -> DataFrame:
-    """A JSON document: an array of objects (``many``) or one object."""
-    raw = spark.read.text(path, wholetext=True)
-    rows = raw.select(F.explode(F.from_json("value", "array<string>")).alias("value")) if many else raw
-    if many and raw.where(F.from_json("value", "array<string>").isNull()).limit(1).count():
-        raise BundleError("json-syntax", path)
-    return parse_rows(rows, ddl, path)
-
-
-def read_jsonl(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """One object a line; empty files and blank lines raise ``json-lines``. The text reader already takes the last line end."""
-    lines = spark.read.text(path)
-    if lines.isEmpty() or not lines.where(F.trim("value") == "").isEmpty():
-        raise BundleError("json-lines", path)
-    return parse_rows(lines.select(F.regexp_replace("value", "\r$", "").alias("value")), ddl, path)
+def parse_rows(rows: DataFrame, ddl: str, path: str, column: str = "value", required: tuple[str, ...] = (), layout: Layout | None = None) -> DataFrame:
+    """JSON objects of a column as columns.
+
+    Unparseable rows raise ``json-syntax``. Rows of another layout raise ``schema``; without a ``layout`` it is that of the
+    column types: unknown keys at any level, values of another type and missing ``required`` ones are refused.
+    """
+    got = rows.select(parsed(F.col(column)).alias("v"))
+    wrong = problem(got, layout or layout_of(StructType.fromDDL(ddl), required)).first()["problem"] if not rows.isEmpty() else None
+    if wrong:
+        raise BundleError(wrong, path)
+    return columns(got, S.nested(ddl))
+
+
+def read_json(spark: SparkSession, path: str, ddl: str, many: bool = True, layout: Layout | None = None) -> DataFrame:
+    """A JSON document: an array of objects (``many``) or one object; ``layout`` is that of an object."""
+    whole = document(spark, path)
+    objects = layout or layout_of(StructType.fromDDL(ddl))
+    wrong = problem(whole, some(objects) if many else objects).first()["problem"]
+    if wrong:
+        raise BundleError(wrong, path)
+    return columns(whole.select(F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("v")) if many else whole, S.nested(ddl))
+
+
+def read_jsonl(spark: SparkSession, path: str, ddl: str, layout: Layout | None = None) -> DataFrame:
+    """One object a line; empty files and blank lines raise ``json-lines``."""
+    rows = lines(spark, path)
+    wrong = problem(rows, layout or layout_of(StructType.fromDDL(ddl)), by_line=True).first()["problem"]
+    if wrong:
+        raise BundleError(wrong, path)
+    return columns(rows, S.nested(ddl))
 
 
 def contained(relative: str) -> str:
