@@ -144,17 +144,14 @@ def pad_start(text: Column, n: int) -> Column:
 
 
 def cumulative(sizes: Column) -> Column:
-    """Sums of the numbers before each place of an array. Arrays are appended to in blocks, as each append copies what is there."""
-    block = 128
-    none = F.array().cast("array<int>")
+    """Sums of the numbers (int) before each place of an array. In each round a place takes in the sum that lies 1, 2, 4, ... places before: no array is appended to."""
+    rounds = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.size(sizes))).cast("int") - 1, F.lit(0)))
 
-    def running(numbers: Column, start: Column) -> Column:
-        begin = F.struct(start.cast("int").alias("at"), none.alias("out"))
-        return F.aggregate(numbers, begin, lambda acc, n: F.struct((acc["at"] + n).cast("int").alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+    def step(sums: Column, k: Column) -> Column:
+        gap = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(sums, lambda x, i: F.when(i >= gap, x + F.get(sums, i - gap)).otherwise(x))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(sizes) - 1, F.lit(0)), F.lit(block)), lambda k: F.slice(sizes, k + 1, block))
-    starts = running(F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda a, n: (a + n).cast("int"))), F.lit(0))
-    return F.flatten(F.zip_with(blocks, starts, running))
+    return F.zip_with(F.aggregate(rounds, sizes, step), sizes, lambda total, n: total - n)
 
 
 def occurrence_starts(text: Column, span: Column) -> Column:

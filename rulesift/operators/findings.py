@@ -86,9 +86,12 @@ def length_verdicts(pack: RulePack, field: Column, text: Column) -> Column:
 
 
 def distinct_findings(found: Column) -> Column:
-    """The first of each (rule, start, end)."""
-    keys = F.transform(found, lambda f: F.concat_ws("\0", f["ruleId"], F.coalesce(f["start"].cast("string"), F.lit("")), F.coalesce(f["end"].cast("string"), F.lit(""))))
-    return F.filter(F.transform(found, lambda f, i: F.when(F.array_position(keys, F.element_at(keys, i + 1)) == i + 1, f)), lambda f: f.isNotNull())
+    """The first of each (rule, start, end): places are sorted, compared with their neighbour, and put back in order."""
+    place = lambda f: F.concat_ws("\0", f["ruleId"], F.coalesce(f["start"].cast("string"), F.lit("")), F.coalesce(f["end"].cast("string"), F.lit("")))
+    keyed = F.array_sort(F.transform(found, lambda f, i: F.struct(place(f).alias("at"), i.alias("i"))))
+    before = F.concat(F.array(F.lit("")), F.transform(keyed, lambda k: k["at"]))  # no place is the empty text
+    new = F.filter(F.zip_with(keyed, before, lambda k, last: F.when(k["at"] != last, k["i"])), lambda i: i.isNotNull())
+    return F.transform(F.array_sort(new), lambda i: F.get(found, i))
 
 
 def conflict_pairs(pack: RulePack) -> dict[str, list[str]]:
@@ -96,34 +99,52 @@ def conflict_pairs(pack: RulePack) -> dict[str, list[str]]:
     return {r.id: sorted({o for o in r.conflicts if o in pack.rule and r.id in pack.rule[o].conflicts and o != r.id}) for r in pack.rules if r.conflicts}
 
 
-def merge_conflicts(pack: RulePack, found: Column) -> Column:
-    """Each component of matched rules that name each other becomes one review finding with the evidence of all.
+def _conflicting(pack: RulePack) -> dict[str, list[str]]:
+    pairs = {k: v for k, v in sorted(conflict_pairs(pack).items()) if v}
+    editorial = [i for i in pairs if pack.rule[i].editorial]
+    if editorial and any(o in editorial for i in editorial for o in pairs[i]):
+        raise ValueError(f"conflicting rules without evidence: {', '.join(editorial)}")
+    return pairs
+
+
+def conflict_labels(pack: RulePack, found: Column) -> Column:
+    """For each rule in conflict, in order, the label of its component of two or more matched rules, or null.
 
     Components are labelled by the smallest rule that can be reached over matched rules: as many rounds as there are
-    rules in conflict, over an array of labels. Packs without conflicts get the findings as they are.
+    rules in conflict, over an array of labels.
     """
-    pairs = {k: v for k, v in conflict_pairs(pack).items() if v}
-    if not pairs:
-        return found
-    ids = sorted(pairs)
-    editorial = [i for i in ids if pack.rule[i].editorial]
-    if editorial and any(o in editorial for i in editorial for o in pairs[i]):
-        raise ValueError(f"conflicting rules without evidence: {', '.join(editorial)}")
-    names = F.array(*map(F.lit, ids))
+    pairs = _conflicting(pack)
+    ids = list(pairs)
+    names = F.array(*map(F.lit, ids)).cast("array<string>")
+    if not ids:
+        return F.array().cast("array<int>")
     near = F.array(*[F.array(*[F.lit(ids.index(o) + 1) for o in pairs[i]]) for i in ids])
-    matched = F.transform(names, lambda n: F.exists(found, lambda f: f["ruleId"] == n))
-    start = F.transform(matched, lambda m, i: F.when(m, i + 1))
+    met = F.array_distinct(F.transform(found, lambda f: f["ruleId"]))
+    start = F.transform(names, lambda n, i: F.when(F.array_contains(met, n), i + 1))
 
     def spread(labels: Column, _: Column) -> Column:
         return F.transform(labels, lambda own, i: F.when(own.isNotNull(), F.array_min(F.array_append(F.transform(F.element_at(near, i + 1), lambda j: F.element_at(labels, j)), own))))
 
-    labels = F.aggregate(F.sequence(F.lit(1), F.lit(len(ids))), start, spread)
-    # components of two or more: a label that another rule has as well
-    joined = F.transform(labels, lambda own: F.when(own.isNotNull() & (F.size(F.filter(labels, lambda other: other == own)) > 1), own))
-    member = F.map_from_arrays(names, joined)
+    def shared(labels: Column) -> Column:
+        return F.transform(labels, lambda own: F.when(own.isNotNull() & (F.size(F.filter(labels, lambda other: other == own)) > 1), own))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(ids))), start, spread, shared)
+
+
+def merge_conflicts(pack: RulePack, found: Column, joined: Column | None = None) -> Column:
+    """Each component of matched rules that name each other becomes one review finding with the evidence of all.
+
+    Packs without conflicts get the findings as they are. ``joined``: the column with the row's ``conflict_labels``; a row
+    with many findings needs it, else they are worked out for each one.
+    """
+    ids = list(_conflicting(pack))
+    if not ids:
+        return found
+    joined = conflict_labels(pack, found) if joined is None else joined
+    names = F.array(*map(F.lit, ids))
 
     def label(f: Column) -> Column:
-        return F.try_element_at(member, f["ruleId"])
+        return F.get(joined, (F.array_position(names, f["ruleId"]) - 1).cast("int"))
 
     kept = F.filter(found, lambda f: label(f).isNull())
     groups = F.array_sort(F.array_distinct(F.filter(joined, lambda x: x.isNotNull())))
@@ -222,13 +243,14 @@ def validate(entries: DataFrame, pack: RulePack, institutions: tuple[str, ...] =
         _from_verdicts(pack, F.col("__prov.matches"), kinds["metadata"], "provenance"),
         _from_verdicts(pack, context, kinds["context"], "context"),
     )
-    judged = staged.withColumn("__raw", raw).withColumn("__once", distinct_findings(F.col("__raw"))).withColumn("findings", sort_findings(merge_conflicts(pack, F.col("__once"))))
+    judged = once(once(staged, __raw=raw), __once=distinct_findings(F.col("__raw")))
+    judged = once(judged, __joined=conflict_labels(pack, F.col("__once"))).withColumn("findings", sort_findings(merge_conflicts(pack, F.col("__once"), F.col("__joined"))))
     needs = F.filter(F.col("__prov.needs"), lambda n: n.isin(*pack.rule))
     judged = judged.withColumns({"needsContext": needs, "measurement": measure(text)})
     judged = judged.withColumns({"contentStatus": content_status(F.col("findings")), "contextStatus": context_status(F.col("findings"), F.col("needsContext"))})
     ok = F.col("error").isNull()
     final = judged.withColumn("status", F.when(ok, overall_status(F.col("contentStatus"), F.col("contextStatus")))).withColumns({"contentStatus": F.when(ok, F.col("contentStatus")), "contextStatus": F.when(ok, F.col("contextStatus"))})
-    return final.drop("__plain", "__hits", "__prov", "__creative", "__volunteer", "__raw", "__once")
+    return final.drop("__plain", "__hits", "__prov", "__creative", "__volunteer", "__raw", "__once", "__joined")
 
 
 def batch_errors(entries: DataFrame) -> DataFrame:

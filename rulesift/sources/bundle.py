@@ -21,7 +21,7 @@ from rulesift import schemas as S
 from rulesift.errors import BundleError
 from rulesift.operators import integrity
 from rulesift.plans.rulepack import Evidence, Field, Rule, RulePack, Semantic
-from rulesift.sources.layout import Layout, any_text, closed, columns, count, day, document, either, flag, lines, many, matching, name, one_of, problem, text, whole
+from rulesift.sources.layout import Layout, any_text, closed, columns, count, day, document, either, flag, lines, many, mapped, matching, name, one_of, problem, text, whole
 from rulesift.sources.tables import written
 
 #: Bytes of a document, which is one value, and of a file of lines, which is hashed as a whole.
@@ -88,7 +88,7 @@ def layouts(pack_id: str) -> dict[str, Layout]:
         "corpus": closed(head | {"sourceManifestSha256": sha, "documentsSha256": sha, "chunksSha256": sha, "documentCount": count, "chunkCount": count}),
         "rules": closed({
             "id": one_of(pack_id), "schoolLevel": one_of(LEVELS[0]), "academicYear": one_of(YEAR), "effectiveFrom": one_of(EFFECTIVE), "defaultProfile": one_of("official"), "authorityOrder": one_of([100, 80, 10]),
-            "fields": closed(dict.fromkeys(FIELD_KEYS, _field)), "rules": many(_any_rule, 1), "localPolicies": closed({POLICY: closed({"label": text, "disclaimer": one_of(DISCLAIMER)})}),
+            "fields": mapped(FIELD_KEYS, _field), "rules": many(_any_rule, 1), "localPolicies": closed({POLICY: closed({"label": text, "disclaimer": one_of(DISCLAIMER)})}),
         }),
     }
 

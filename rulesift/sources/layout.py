@@ -1,112 +1,125 @@
 """Layouts of JSON values, compiled into predicates over ``VARIANT`` columns.
 
-A layout is a function from a column of variants to a boolean column, built from the ones below; a nested layout becomes
-one expression, so a table of any size is judged where its rows are, and a file's rows never go to the driver. Objects are
-closed: a key that a layout doesn't know is a fault, as is a missing one, or a null where a value must be.
+A layout is a function from an SQL expression of a variant to one that tells whether the value has the layout, built from
+the ones below; a nested layout becomes one expression, so a table of any size is judged where its rows are, and a file's
+rows never go to the driver. Objects are closed: a key that a layout doesn't know is a fault, as is a missing one, or a
+null where a value must be.
 
 ``document`` and ``lines`` parse files; what isn't JSON is told apart from what has another layout.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, FractionalType, IntegralType, StructType
 
-from rulesift.functions.text import trim, utf16_length
+from rulesift.functions.text import trim
 
-Layout = Callable[[Column], Column]
+Layout = Callable[[str], str]
+_NAMES = itertools.count()
 
 
-def _kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
+def _lit(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _text(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "string")
+def _get(v: str, kind: str, path: str = "$") -> str:
+    return f"try_variant_get({v}, {_lit(path)}, '{kind}')"
 
 
-def _is_number(v: Column) -> Column:
-    return _kind(v).isin("BIGINT", "DOUBLE", "FLOAT") | _kind(v).startswith("DECIMAL")
+def _list(values) -> str:
+    return f"array({', '.join(values)})"
 
 
-def _number(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "double")
+def _sure(test: str) -> str:
+    return f"coalesce({test}, false)"
 
 
-def _sure(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
+def _is_text(v: str) -> str:
+    return f"schema_of_variant({v}) = 'STRING'"
 
 
-def _key(v: Column, key: str) -> Column:
-    return F.try_variant_get(v, f"$['{key}']", "variant")
+def _is_number(v: str) -> str:
+    return f"schema_of_variant({v}) rlike '^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$'"
+
+
+def _every(items: str, layout: Layout) -> str:
+    x = f"x{next(_NAMES)}"
+    return f"forall({items}, {x} -> {layout(x)})"
 
 
 def one_of(*values: object) -> Layout:
     """One of some texts, numbers or lists of numbers."""
+    texts, lists = [_lit(x) for x in values if isinstance(x, str)], [x for x in values if isinstance(x, list)]
+    numbers = [f"{float(x)}D" for x in values if not isinstance(x, (str, list))]
 
-    def holds(v: Column) -> Column:
-        texts, lists = [x for x in values if isinstance(x, str)], [x for x in values if isinstance(x, list)]
-        numbers = [float(x) for x in values if not isinstance(x, (str, list))]
-        tests = [(_kind(v) == "STRING") & _text(v).isin(*texts)] if texts else []
-        tests += [_is_number(v) & _number(v).isin(*numbers)] if numbers else []
-        tests += [F.try_variant_get(v, "$", "array<double>") == F.array(*[F.lit(float(y)) for y in x]) for x in lists]
-        return reduce(lambda a, b: a | b, map(_sure, tests))
+    def holds(v: str) -> str:
+        tests = [f"{_is_text(v)} AND {_get(v, 'string')} IN ({', '.join(texts)})"] if texts else []
+        tests += [f"{_is_number(v)} AND {_get(v, 'double')} IN ({', '.join(numbers)})"] if numbers else []
+        tests += [f"{_get(v, 'array<double>')} = {_list(f'{float(y)}D' for y in x)}" for x in lists]
+        return f"({' OR '.join(map(_sure, tests))})"
 
     return holds
 
 
 def matching(pattern: str) -> Layout:
-    return lambda v: _sure((_kind(v) == "STRING") & _text(v).rlike(rf"\A(?:{pattern})\z"))
+    whole_pattern = _lit(rf"\A(?:{pattern})\z")
+    return lambda v: _sure(f"{_is_text(v)} AND {_get(v, 'string')} rlike {whole_pattern}")
+
 
+def any_text(v: str) -> str:
+    return _sure(_is_text(v))
 
-def any_text(v: Column) -> Column:
-    return _sure(_kind(v) == "STRING")
 
+#: A text that isn't blank.
+_INK = _lit(r"(?U)[^\s\x{FEFF}]")
 
-def text(v: Column) -> Column:
+
+def text(v: str) -> str:
     """A text that isn't blank."""
-    return _sure((_kind(v) == "STRING") & (trim(_text(v)) != ""))
+    return _sure(f"{_is_text(v)} AND {_get(v, 'string')} rlike {_INK}")
 
 
-def name(v: Column) -> Column:
+def name(v: str) -> str:
     """A text of up to 200 UTF-16 units."""
-    return _sure((_kind(v) == "STRING") & utf16_length(_text(v)).between(1, 200))
+    own = _get(v, "string")
+    return _sure(f"{_is_text(v)} AND length({own}) + regexp_count({own}, {_lit(r'[\x{10000}-\x{10FFFF}]')}) BETWEEN 1 AND 200")
 
 
-def number(v: Column) -> Column:
+def number(v: str) -> str:
     return _sure(_is_number(v))
 
 
-def whole(v: Column, least: int | None = 1) -> Column:
-    at = _number(v)
-    return _sure(_is_number(v) & (at == F.floor(at)) & (F.lit(True) if least is None else at >= least))
+def whole(v: str, least: int | None = 1) -> str:
+    own = _get(v, "double")
+    return _sure(f"{_is_number(v)} AND {own} = floor({own})" + ("" if least is None else f" AND {own} >= {least}"))
 
 
-def count(v: Column) -> Column:
+def count(v: str) -> str:
     return whole(v, 0)
 
 
-def flag(v: Column) -> Column:
-    return _sure(_kind(v) == "BOOLEAN")
+def flag(v: str) -> str:
+    return _sure(f"schema_of_variant({v}) = 'BOOLEAN'")
 
 
-def day(v: Column) -> Column:
-    return _sure((_kind(v) == "STRING") & _text(v).rlike(r"\A\d{4}-\d{2}-\d{2}\z") & _text(v).try_cast("date").isNotNull())
+def day(v: str) -> str:
+    own = _get(v, "string")
+    return _sure(f"{_is_text(v)} AND {own} rlike {_lit(r'\A\d{4}-\d{2}-\d{2}\z')} AND try_cast({own} AS date) IS NOT NULL")
 
 
 def many(item: Layout, least: int = 0, most: int | None = None, distinct: bool = False) -> Layout:
     """An array; ``distinct`` is for texts."""
 
-    def holds(v: Column) -> Column:
-        items = F.try_variant_get(v, "$", "array<variant>")
-        n = F.size(items)
-        fits = items.isNotNull() & (n >= least) & F.forall(items, item)
-        fits = fits if most is None else fits & (n <= most)
-        return _sure(fits & (F.size(F.array_distinct(F.try_variant_get(v, "$", "array<string>"))) == n) if distinct else fits)
+    def holds(v: str) -> str:
+        items = _get(v, "array<variant>")
+        test = f"{items} IS NOT NULL AND size({items}) >= {least} AND {_every(items, item)}"
+        test += "" if most is None else f" AND size({items}) <= {most}"
+        return _sure(test + (f" AND size(array_distinct({_get(v, 'array<string>')})) = size({items})" if distinct else ""))
 
     return holds
 
@@ -114,23 +127,33 @@ def many(item: Layout, least: int = 0, most: int | None = None, distinct: bool =
 def closed(must: dict[str, Layout], may: dict[str, Layout] | None = None) -> Layout:
     """An object with all keys of ``must``, perhaps some of ``may``, and no others."""
     may = may or {}
+    known = f"cast({_list(map(_lit, [*must, *may]))} AS array<string>)"
 
-    def holds(v: Column) -> Column:
-        keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
-        known = F.array(*map(F.lit, [*must, *may])).cast("array<string>")
-        tests = [F.size(F.array_except(keys, known)) == 0, *[layout(_key(v, k)) for k, layout in must.items()]]
-        tests += [~F.array_contains(keys, k) | layout(_key(v, k)) for k, layout in may.items()]
-        return _sure(reduce(lambda a, b: a & b, tests, keys.isNotNull()))
+    def holds(v: str) -> str:
+        keys = f"map_keys({_get(v, 'map<string,variant>')})"
+        at = lambda k: _get(v, "variant", f"$['{k}']")
+        tests = [f"size(array_except({keys}, {known})) = 0", *[layout(at(k)) for k, layout in must.items()]]
+        return _sure(" AND ".join(tests + [f"(NOT array_contains({keys}, {_lit(k)}) OR {layout(at(k))})" for k, layout in may.items()]))
+
+    return holds
+
+
+def mapped(keys: tuple[str, ...], layout: Layout) -> Layout:
+    """An object with just these keys, whose values all have one layout."""
+
+    def holds(v: str) -> str:
+        entries = _get(v, "map<string,variant>")
+        return _sure(f"array_sort(map_keys({entries})) = {_list(map(_lit, sorted(keys)))} AND {_every(f'map_values({entries})', layout)}")
 
     return holds
 
 
 def either(*layouts: Layout) -> Layout:
-    return lambda v: reduce(lambda a, b: a | b, [f(v) for f in layouts])
+    return lambda v: f"({' OR '.join(f(v) for f in layouts)})"
 
 
 def or_null(layout: Layout) -> Layout:
-    return lambda v: (F.coalesce(_kind(v), F.lit("VOID")) == "VOID") | layout(v)
+    return lambda v: f"(coalesce(schema_of_variant({v}), 'VOID') = 'VOID' OR {layout(v)})"
 
 
 def layout_of(kind: DataType, required: tuple[str, ...] = ()) -> Layout:
@@ -144,6 +167,11 @@ def layout_of(kind: DataType, required: tuple[str, ...] = ()) -> Layout:
     return number if isinstance(kind, FractionalType) else flag if isinstance(kind, BooleanType) else any_text
 
 
+def holds(layout: Layout, column: str = "v") -> Column:
+    """Whether a column's values have the layout."""
+    return F.expr(layout(column))
+
+
 # --- reading ----------------------------------------------------------------------------------------------------
 
 
@@ -167,7 +195,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 def problem(rows: DataFrame, layout: Layout, by_line: bool = False) -> DataFrame:
     """One row, problem: why the values ``v`` of a file aren't of a layout: ``json-lines``, ``json-syntax`` or ``schema``, or null. A file without lines has no line that isn't blank."""
     blank = F.col("blank") if by_line else F.lit(False)
-    one = F.when(blank, 1).when(F.col("v").isNull(), 2).when(~layout(F.col("v")), 3)
+    one = F.when(blank, 1).when(F.col("v").isNull(), 2).when(~holds(layout), 3)
     worst = F.coalesce(F.min(one), F.when(F.count("*") == 0, 1 if by_line else 2))
     return rows.agg(F.when(worst == 1, "json-lines").when(worst == 2, "json-syntax").when(worst == 3, "schema").alias("problem"))
 
