@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rulesift.llm.common import free_names
+
 WINDOW, GRAM = 10, 5
 #: Runs in a window.
 RUNS = WINDOW - GRAM + 1
@@ -159,6 +161,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pipeline stage: rows without a hit, with their columns as they were."""
-    dirty = hits(keyed(docs).drop("doc_id"), benchmark).select(F.col("a").alias("__a"), F.col("b").alias("__b")).distinct()
-    own = (F.xxhash64("doc_id", "text") == F.col("__a")) & (F.xxhash64("text", F.lit(1)) == F.col("__b"))
+    a, b = free_names(docs, "a", "b")
+    dirty = hits(keyed(docs).drop("doc_id"), benchmark).select(F.col("a").alias(a), F.col("b").alias(b)).distinct()
+    own = (F.xxhash64("doc_id", "text") == F.col(a)) & (F.xxhash64("text", F.lit(1)) == F.col(b))
     return docs.join(dirty, own, "left_anti").select(*[f"`{x}`" for x in docs.columns])

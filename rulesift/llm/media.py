@@ -424,10 +424,12 @@ def encode(docs: DataFrame) -> DataFrame:
     return map_pieces(kept, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "n_bytes bigint, media binary"]))
 
 
-def digest(data: bytes) -> dict:
-    """What the stored file says once it is read back."""
+def digest(data: bytes | None) -> dict:
+    """What the stored file says once it is read back; nothing (nulls) where there is no file. Frames may differ in size."""
+    if data is None:
+        return dict.fromkeys(k for k, *_ in DIGEST)
     micros, frames = read_avi(data)
-    payload = frames.tobytes()
+    payload = b"".join(f.tobytes() for f in frames)
     found = shots(frames, micros)
     return {
         "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]),
@@ -440,7 +442,7 @@ DIGEST = (("payload_bytes", "bigint", pa.int64()), ("payload_sha256", "string",
 
 
 def digests(files: DataFrame) -> DataFrame:
-    """The columns of ``files`` but media, and the digest of each file. Other columns with the names of results are dropped."""
+    """The columns of ``files`` but media, and the digest of each file, nulls for a null one. Other columns with the names of results are dropped."""
     own = tuple(k for k, *_ in DIGEST)
     kept, kind, rest = _beside(files, "media", own)
 

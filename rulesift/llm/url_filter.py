@@ -28,7 +28,7 @@ from math import ceil, log, log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulesift.llm.common import discard, materialize
+from rulesift.llm.common import discard, free_names, materialize
 
 #: (host, path, verdict)
 Rule = tuple[str, str, str]
@@ -162,5 +162,6 @@ def judge(urls: DataFrame, rules: list[Rule], column: str = "url") -> DataFrame:
         return F.transform(F.filter(keys, cascade.listed), rank)
 
     marked = F.concat(*[ranked(cascade, verdict) for verdict, cascade in cascades.items()])
-    best = parts.withColumn("best", F.array_max(marked))
-    return best.select(*parts.columns, F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(UNLISTED)).alias("verdict"))
+    name = free_names(parts, "best")[0]
+    best = parts.withColumn(name, F.array_max(marked))
+    return best.select(*[f"`{x}`" for x in parts.columns], F.col(f"{name}.rule").alias("rule"), F.coalesce(f"{name}.verdict", F.lit(UNLISTED)).alias("verdict"))
