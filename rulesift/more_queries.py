@@ -12,7 +12,7 @@ from rulesift import schemas as S
 from rulesift.functions import text as tx
 from rulesift.operators import decide, findings, integrity, review, search
 from rulesift.plans.rulepack import conformance_pack, latin_pack
-from rulesift.sources import chunk, extract, render, sinks
+from rulesift.sources import chunk, extract, layout, render, sinks
 from rulesift.streaming import shell
 
 _table = q._table
@@ -335,14 +335,34 @@ UNION ALL SELECT 'active-chunk-reference', count(*) FROM act WHERE k NOT IN (SEL
 UNION ALL SELECT 'active-chunk-scope', count(*) FROM act JOIN ch USING (k) WHERE lv <> scope UNION ALL SELECT 'evidence-active-reference', count(*) FROM ev WHERE k NOT IN (SELECT k FROM act)
 UNION ALL SELECT 'evidence-quote-hash', count(*) FROM ev WHERE k % 9 = 0 UNION ALL SELECT 'evidence-quote-containment', count(*) FROM ev JOIN ch USING (k) WHERE qn = '' OR NOT contains(CASE WHEN k % 60 = 11 THEN '' ELSE n END, qn)"""
 
+def layout_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with each document written as JSON, with faults of several kinds put in."""
+    k, n = F.col("doc_id"), F.col("n_chars").cast("string")
+    number = F.when(k % 23 == 0, F.concat(F.lit('"'), n, F.lit('"'))).when(k % 37 == 0, F.concat(n, F.lit(".5"))).when(k % 41 == 0, F.lit("null")).otherwise(F.concat(n, F.lit(".0")))
+    parts = [
+        F.when(k % 19 != 0, F.concat(F.lit('"id":"D'), k.cast("string"), F.lit('"'))), F.concat(F.lit('"lang":"'), F.when(k % 29 == 0, "xx").otherwise(F.col("lang")), F.lit('"')), F.concat(F.lit('"n":'), number),
+        F.concat(F.lit('"origin":{"source":"'), F.col("source"), F.lit('"'), F.when(k % 17 == 0, ',"extra":1').otherwise(""), F.lit("}")), F.when(k % 3 == 0, '"tags":["a","b"]').when(k % 3 == 1, F.when(k % 31 == 0, '"tags":["a","a"]').otherwise('"tags":["b"]')),
+    ]
+    raw = F.concat(F.lit("{"), F.array_join(F.array(*parts), ","), F.when(k % 43 == 0, "").when(k % 47 == 0, "}}").otherwise("}"))
+    kind = layout.closed(
+        {"id": layout.matching("D[0-9]+"), "lang": layout.one_of("en", "fr", "de", "es"), "n": layout.count, "origin": layout.closed({"source": layout.name})},
+        {"tags": layout.many(layout.one_of("a", "b"), 1, 2, distinct=True)},
+    )
+    rows = _table(spark, sf_dir, "documents").select("doc_id", layout.parsed(raw).alias("v"))
+    return rows.select("doc_id", F.when(F.col("v").isNull(), "json-syntax").when(~layout.holds(kind), "schema").otherwise("sound").alias("verdict"))
+
+
+_LAYOUT_FAULTS = """SELECT doc_id, CASE WHEN doc_id % 43 = 0 OR doc_id % 47 = 0 THEN 'json-syntax'
+  WHEN doc_id % 23 = 0 OR doc_id % 37 = 0 OR doc_id % 41 = 0 OR doc_id % 19 = 0 OR doc_id % 29 = 0 OR doc_id % 17 = 0 OR (doc_id % 3 = 1 AND doc_id % 31 = 0) THEN 'schema' ELSE 'sound' END AS verdict FROM documents"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        activity_outcomes, volunteer_outcomes, observation_outcomes, routed_needs, allowed_names, entry_errors, finding_order, first_seen_advice, status_windows, review_text, text_forms, page_marks, passage_places, corpus_build, paragraph_marks, canonical_rows, search_by_role, set_checks, bundle_violations,
+        activity_outcomes, volunteer_outcomes, observation_outcomes, routed_needs, allowed_names, entry_errors, finding_order, first_seen_advice, status_windows, review_text, text_forms, page_marks, passage_places, corpus_build, paragraph_marks, canonical_rows, search_by_role, set_checks, bundle_violations, layout_faults,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "activity_outcomes": _ACTIVITY, "volunteer_outcomes": _VOLUNTEER, "observation_outcomes": _OBSERVATION, "routed_needs": _ROUTED, "allowed_names": _ALLOWED, "entry_errors": _ENTRY_ERRORS, "finding_order": _FINDING_ORDER, "first_seen_advice": _FIRST_SEEN, "status_windows": _WINDOWS, "review_text": _REVIEW_TEXT,
-    "text_forms": _TEXT_FORMS, "page_marks": _PAGE_MARKS, "passage_places": _PASSAGE_PLACES, "corpus_build": _CORPUS_BUILD, "paragraph_marks": _PARAGRAPHS, "canonical_rows": _CANONICAL, "search_by_role": _SEARCH_ROLE, "set_checks": _SET_CHECKS, "bundle_violations": _VIOLATIONS,
+    "text_forms": _TEXT_FORMS, "page_marks": _PAGE_MARKS, "passage_places": _PASSAGE_PLACES, "corpus_build": _CORPUS_BUILD, "paragraph_marks": _PARAGRAPHS, "canonical_rows": _CANONICAL, "search_by_role": _SEARCH_ROLE, "set_checks": _SET_CHECKS, "bundle_violations": _VIOLATIONS, "layout_faults": _LAYOUT_FAULTS,
 }
