@@ -45,8 +45,14 @@ def _batches(rows: DataFrame, batches: DataFrame, told: list[str], more: list[st
 
 
 def answer(tools: Tools, requests: DataFrame) -> DataFrame:
-    """id, tool, response (JSON text), error: a row for each request with an id of its own. Unknown tools and bad arguments are errors of their rows."""
-    of = {t: requests.where(F.col("tool") == t).dropDuplicates(["id"]) for t in KNOWN}
+    """id, tool, response (JSON text), error: a row for each request, one for all that share an id and a tool.
+
+    Unknown tools, bad arguments and ids that several requests share are errors of their rows. A search by sources or roles
+    is an error here: their passages differ from request to request, so it is left to the tool itself.
+    """
+    shared = requests.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("several requests have this id").alias("repeated"))
+    alone = requests.join(shared, "id", "left_anti")
+    of = {t: alone.where(F.col("tool") == t) for t in KNOWN}
     defaults = {"profile": tools.pack.default_profile}
     entries = tools._complete(entries_of(of[KNOWN[0]]), defaults)
     rows = findings.validate(entries, tools.pack, tools.institutions)
@@ -59,13 +65,22 @@ def answer(tools: Tools, requests: DataFrame) -> DataFrame:
 
     if tools.chunks is not None:
         active = tools.chunks.join(tools.active.select(F.col("chunkId").alias("id")), "id", "left_semi")
-        asked = of[KNOWN[2]].select("id", F.get_json_object("arguments", "$.query").alias("query"))
-        fit = F.length("query").between(1, S.MAX_QUERY)
-        found = search.search_many(search.prepare(active), asked.where(fit).select(F.col("id").alias("query_id"), "query"))
+        argument = lambda name: F.get_json_object("arguments", f"$.{name}")
+        most = F.when(argument("limit").isNull(), S.DEFAULT_LIMIT).otherwise(F.when(argument("limit").rlike("^[0-9]{1,2}$"), argument("limit")).cast("int"))
+        wrong = (
+            F.when(~F.coalesce(F.length("query").between(1, S.MAX_QUERY), F.lit(False)), "query must contain between 1 and 200 characters")
+            .when(~F.coalesce(F.col("most").between(1, S.MAX_LIMIT), F.lit(False)), "limit must be an integer from 1 to 20")
+            .when(F.col("filtered"), "a search by sources or roles isn't answered together with others")
+        )
+        filtered = argument("sourceIds").isNotNull() | argument("sourceRoles").isNotNull()
+        asked = of[KNOWN[2]].select("id", argument("query").alias("query"), most.alias("most"), filtered.alias("filtered")).withColumn("wrong", wrong)
+        fit = F.col("wrong").isNull()
+        found = search.search_many(search.prepare(active), asked.where(fit).select(F.col("id").alias("query_id"), "query"), S.MAX_LIMIT)
+        found = found.join(asked.where(fit).select(F.col("id").alias("query_id"), "most"), "query_id").where(F.col("rank") <= F.col("most")).drop("most")
         named = found.join(active.select("id", "sourceId", "locatorLabel"), "id").join(tools.sources.select(F.col("id").alias("sourceId"), "title"), "sourceId")
         ranked = named.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("id").alias("chunkId"), "sourceId", "title", "locatorLabel", "score"))).alias("results"))
         joined = asked.join(ranked, asked["id"] == ranked["query_id"], "left")
-        done[KNOWN[2]] = joined.select("id", F.when(fit, F.to_json(F.struct(F.coalesce("results", F.array().cast(ranked.schema["results"].dataType)).alias("results")))).alias("response"), F.when(~F.coalesce(fit, F.lit(False)), "query must contain between 1 and 200 characters").alias("error"))
+        done[KNOWN[2]] = joined.select("id", F.when(fit, F.to_json(F.struct(F.coalesce("results", F.array().cast(ranked.schema["results"].dataType)).alias("results")))).alias("response"), F.col("wrong").alias("error"))
 
         asked = of[KNOWN[3]].select(F.col("id").alias("request"), F.get_json_object("arguments", "$.chunkId").alias("chunkId"))
         dim = tools.sources.select(F.col("id").alias("sourceId"), "title", "role", F.col("sha256").alias("sourceSha256"))
@@ -76,5 +91,5 @@ def answer(tools: Tools, requests: DataFrame) -> DataFrame:
     answered = reduce(DataFrame.unionByName, [df.withColumn("tool", F.lit(t)) for t, df in done.items()])
     asked = requests.select("id", "tool").distinct()
     none = F.when(F.col("tool").isin(*done), "arguments without entries").otherwise("unknown tool")
-    whole = asked.join(answered, ["id", "tool"], "left")
-    return whole.select("id", "tool", "response", F.when(F.col("response").isNull(), F.coalesce("error", none)).alias("error"))
+    whole = asked.join(answered, ["id", "tool"], "left").join(shared, "id", "left")
+    return whole.select("id", "tool", "response", F.when(F.col("response").isNull(), F.coalesce("repeated", "error", none)).alias("error"))

@@ -8,6 +8,19 @@ from rulesift.sources import requests
 from tests.test_operators import passages, sources
 
 
+def test_search_arguments_and_shared_ids(spark):
+    search = lambda **more: json.dumps({"query": "협력 학습"} | more, ensure_ascii=False)
+    tool = "search_record_guidance"
+    rows = [("a", tool, search(limit=1)), ("b", tool, search(limit=20)), ("c", tool, search(limit=0)), ("d", tool, search(limit=21)), ("e", tool, search(limit="x")), ("f", tool, search(sourceIds=["s2"])), ("g", tool, search()), ("g", tool, search(limit=2)), ("h", "no_tool", "{}"), ("h", tool, search())]
+    asked = spark.createDataFrame(rows, "id string, tool string, arguments string")
+    active = spark.createDataFrame([(f"c{i}", "elementary", "r") for i in (1, 2, 3)], "chunkId string, scope string, reason string")
+    tools = Tools(conformance_pack(), passages(spark), active, sources(spark))
+    got = [(r["id"], r["tool"], r["response"] and len(json.loads(r["response"])["results"]), r["error"]) for r in requests.answer(tools, asked).orderBy("id", "tool").collect()]
+    limit, shared = "limit must be an integer from 1 to 20", "several requests have this id"
+    assert got[0] == ("a", tool, 1, None) and got[1][0] == "b" and got[1][2] > 1 and [x[3] for x in got[2:5]] == [limit] * 3
+    assert got[5][3].startswith("a search by sources") and [(x[0], x[2], x[3]) for x in got[6:]] == [("g", None, shared), ("h", None, shared), ("h", None, shared)]
+
+
 def test_requests_are_answered(spark, tmp_path):
     entry = lambda i, text, field="behavior_opinion": {"entryId": i, "field": field, "text": text, "profile": "official"}
     asked = [
