@@ -31,6 +31,9 @@ group that the first shell gives it, never all pairs. Every link is then checked
 exactly, by the sets of shingles of its two texts, a text with many links being sent to several tasks; only links of 0.8 or
 more count. Checks go in rounds: first each text's nearest link; then, of the links that are left between different
 classes of good ones, the nearest for each pair of classes, and four times as many with each round, until none is left.
+What the forest and ``NEAREST`` have passed over is made up for: the buckets whose texts are still in different classes
+are searched again, for each text's ``APART`` nearest in other classes, and eight times as many with each round, until no
+text has more. In the end every pair within the radius that shares a bucket is in one class or has been checked.
 
 Classes: the forests' links are contracted by alternating large-star and small-star steps, in DataFrame joins and
 aggregates with a written table for each round.
@@ -73,6 +76,8 @@ TABLES, DRAWN, FINER = 7, 3, 4
 SHELLS, LINKS = (26, 36, 46, WIDE), 1024
 #: Members of other groups that a bucket's texts are linked with, besides the forest.
 NEAREST = 8
+#: Members of other classes that a bucket's texts are linked with, in the first round after the forests' links are checked.
+APART = 64
 #: Planes from one look at who is still within the radius to the next, where they are many.
 PAUSE = 8
 #: Large buckets that are listed to all tasks; more of them are joined.
@@ -342,16 +347,64 @@ def near_links(members: np.ndarray, shells: tuple[int, ...]) -> list[tuple[int,
     return found
 
 
-def similar_links(nodes: DataFrame, radius: int = WIDE, bucket: int = BUCKET) -> DataFrame:
-    """a, b (the smaller id first) and bits: links between ``nodes`` (id, w0, w1, ...: a wide fingerprint, keys, finer) that some table has brought together."""
+def apart_links(members: np.ndarray, classes: np.ndarray, radius: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """For each member, as places in ``members``: it, its ``most`` nearest within the radius that have another class, and whether there are more."""
+    planes, of = Planes(members), np.unique(classes, return_inverse=True)[1].tolist()
+    masks: dict[int, int] = {}
+    for i, c in enumerate(of):
+        masks[c] = masks.get(c, 0) | 1 << i
+    for at, m in enumerate(np.ascontiguousarray(members, np.uint64)):
+        if near := planes.near(int.from_bytes(m.tobytes(), "little"), radius, (1 << planes.n) - 1 & ~masks[of[at]]):
+            others = np.flatnonzero(np.unpackbits(np.frombuffer(near.to_bytes(-(-planes.n // 8), "little"), np.uint8), bitorder="little"))
+            bits = np.bitwise_count(members[others] ^ m).sum(axis=1)
+            nearest = others[np.argsort(bits, kind="stable")[:most]]
+            yield np.full(len(nearest), at), nearest, len(others) > most
+
+
+def similar_links(nodes: DataFrame, radius: int = WIDE, bucket: int = BUCKET, *, most: int | None = None) -> DataFrame:
+    """a, b (the smaller id first) and bits: links between ``nodes`` (id, w0, w1, ...: a wide fingerprint, keys, finer) that some table has brought together.
+
+    With ``most``, ``nodes`` have a column root: the links are those of each text with its ``most`` nearest of other roots,
+    and a column more tells whether one of the two has further ones.
+    """
     words, shells = [f"w{k}" for k in range(BITS // 64)], tuple(x for x in SHELLS if x < radius) + (radius,)
+    if most:
+        words.append("root")
     rows = nodes.select("id", *words, "finer", F.explode("keys").alias("key"))
+    if most:
+        mixed = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+        rows = rows.join(mixed, "key", "left_semi")
     large = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("key", F.lit(True).alias("large")), "simhash-large")
     n = large.count()
     marked = rows.join(F.broadcast(large) if n <= LISTED else large, "key", "left") if n else rows.withColumn("large", F.lit(None).cast("boolean"))
     plain = marked.where("large IS NULL").select("key", "id", *words).repartition("key").sortWithinPartitions("key", "id")
     finer = marked.where("large").select(F.explode(F.transform("finer", lambda x: F.xxhash64("key", x))).alias("key"), "id", *words)
 
+    def linked(columns: dict, fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        ids = columns["id"]
+        return pa.RecordBatch.from_arrays([*map(pa.array, (np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1).astype(np.int32)))], ["a", "b", "bits"])
+
+    def again(keys: tuple[str, ...]):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for columns, ends in _buckets(batches, keys):
+                fp = np.stack([columns[w] for w in words[:-1]], axis=1).view(np.uint64)
+                found, size = [], 0
+                for a, b in pairwise(ends.tolist()):
+                    if (columns["root"][a:b] == columns["root"][a]).all():
+                        continue
+                    for i, j, more in apart_links(fp[a:b], columns["root"][a:b], radius, most):
+                        found.append((i + a, j + a, np.full(len(i), more)))
+                        size += len(i)
+                        if size > SLICE:
+                            x, y, z = map(np.concatenate, zip(*found, strict=True))
+                            yield linked(columns, fp, x, y).append_column("more", pa.array(z))
+                            found, size = [], 0
+                if found:
+                    x, y, z = map(np.concatenate, zip(*found, strict=True))
+                    yield linked(columns, fp, x, y).append_column("more", pa.array(z))
+
+        return work
+
     def run(keys: tuple[str, ...]):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for columns, ends in _buckets(batches, keys):
@@ -366,15 +419,15 @@ def similar_links(nodes: DataFrame, radius: int = WIDE, bucket: int = BUCKET) ->
                         other.append(pairs[:, 1])
                 i, j = np.concatenate(one), np.concatenate(other)
                 if len(i):
-                    ids = columns["id"]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, (np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1).astype(np.int32)))], ["a", "b", "bits"])
+                    yield linked(columns, fp, i, j)
 
         return work
 
-    out = plain.mapInArrow(run(("key",)), "a long, b long, bits int")
+    search, kinds = (again, "a long, b long, bits int, more boolean") if most else (run, "a long, b long, bits int")
+    out = plain.mapInArrow(search(("key",)), kinds)
     if n:
-        out = out.unionByName(_dealt(finer, ["key"], "id", bucket).mapInArrow(run(("key", "i", "j")), "a long, b long, bits int"))
-    return out.distinct()
+        out = out.unionByName(_dealt(finer, ["key"], "id", bucket).mapInArrow(search(("key", "i", "j")), kinds))
+    return out.groupBy("a", "b", "bits").agg(F.max("more").alias("more")) if most else out.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -408,26 +461,50 @@ def between(links: DataFrame, roots: DataFrame) -> DataFrame:
     return links.where("root_a <> root_b").select("a", "b", "bits", F.least("root_a", "root_b").alias("x"), F.greatest("root_a", "root_b").alias("y"))
 
 
-def good_classes(met: DataFrame, sets: DataFrame) -> DataFrame:
-    """node and root of the classes that those of the links ``met`` (a, b, bits) make whose texts' sets are similar enough.
+def good_classes(met: DataFrame, sets: DataFrame, good: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The good links (a, b), those of ``met`` (a, b, bits) whose texts' sets are similar enough, with those that were found before, and node and root of their classes.
 
     A link is checked unless the good ones have joined its ends before.
     """
     ends = met.select("a", "b", "bits", F.col("a").alias("x")).unionByName(met.select("a", "b", "bits", F.col("b").alias("x")))
     tested = materialize(ends.groupBy("x").agg(F.min(F.struct("bits", "a", "b")).alias("best")).select("best.a", "best.b").distinct(), "simhash-tested")
-    left, most, good = met, 1, materialize(alike(tested, sets), "simhash-good")
+    first = alike(tested, sets)
+    left, most, good = met, 1, materialize(first if good is None else good.unionByName(first), "simhash-good")
     while True:
         roots = components(good)
         left = materialize(between(left.join(tested, ["a", "b"], "left_anti"), roots), "simhash-left")
         if left.isEmpty():
-            discard(good, left, tested)
-            return roots
+            discard(left, tested)
+            return good, roots
         nearest = F.row_number().over(Window.partitionBy("x", "y").orderBy("bits", "a", "b"))
         tested = materialize(left.withColumn("place", nearest).where(F.col("place") <= most).select("a", "b"), "simhash-tested")
         good = materialize(good.unionByName(alike(tested, sets)), "simhash-good")
         left, most = left.select("a", "b", "bits"), 4 * most
 
 
+def similar_classes(nodes: DataFrame, met: DataFrame, sets: DataFrame) -> DataFrame:
+    """node and root of the classes of ``nodes`` (as ``similar_links`` takes them) by all pairs within the radius that share a bucket.
+
+    met: the first links, in which every text with such a pair has one, and sets: the sets of their ends. The links that
+    they have left out are looked for between different classes alone: copies are not expanded into pairs.
+    """
+    good, roots = good_classes(met, sets)
+    own = nodes.select("id", *[f"w{k}" for k in range(BITS // 64)], "keys", "finer").join(sets.select("id"), "id", "left_semi")
+    done, most = met.select("a", "b"), APART
+    while True:
+        labelled = own.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        more = materialize(similar_links(labelled, most=most), "simhash-more")
+        fresh = materialize(more.join(done, ["a", "b"], "left_anti").select("a", "b", "bits"), "simhash-fresh")
+        last = more.where("more").isEmpty()
+        discard(more)
+        if not fresh.isEmpty():
+            # links that were met before are checked or within a class
+            good, roots = good_classes(fresh, sets, good)
+        if last:
+            return roots
+        done, most = done.unionByName(fresh.select("a", "b")), 8 * most
+
+
 def _sets(texts: DataFrame) -> DataFrame:
     """id and set: the sorted hashes of the distinct shingles, packed, for every row of ``texts`` (id, text)."""
 
@@ -532,7 +609,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     keyed = docs.select("*", *[k.alias(x) for k, x in zip(key, own, strict=True)])
     ends = met.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", *of_row), "id")
     sets = materialize(_sets(keyed.select(*own, "text").dropDuplicates(own).join(ends, own).select("id", "text")), "simhash-sets")
-    roots = good_classes(met, sets)
+    roots = similar_classes(nodes, met, sets)
     first = materialize(_class_table(nodes.select("id", "rows", "row"), "id", roots, ["row"]).select(*of_row).distinct(), "simhash-first")
     discard(nodes, met, sets)
     return keyed.dropDuplicates(own).join(first, own, "left_semi").select(*[f"`{x}`" for x in names])

@@ -147,6 +147,22 @@ def test_links_are_checked_exactly(spark, most):
     assert got == {(a, b) for a, b in pairs if jaccard(sets[a], sets[b]) >= 0.8} and 20 < len(got) < 190
 
 
+@pytest.mark.parametrize("first", [simhash.APART, 2])
+def test_no_pair_is_lost_behind_nearer_ones(spark, monkeypatch, first):
+    """Two similar texts with 20 others nearer to both, none of which is similar to any: the bucket's forest and nearest links pass their pair over."""
+    monkeypatch.setattr(simhash, "APART", first)
+    rng = random.Random(5)
+    far = sum(1 << b for b in range(50))
+    prints = [0, far] + [sum(1 << b for b in rng.sample(range(50), 25)) | sum(1 << b for b in rng.sample(range(60, 250), 4)) for _ in range(20)]
+    rows = [(i, *[int(w) for w in np.array([p >> 64 * k & (1 << 64) - 1 for k in range(4)], np.uint64).view(np.int64)], [7], [8]) for i, p in enumerate(prints)]
+    nodes = spark.createDataFrame(rows, "id long, w0 long, w1 long, w2 long, w3 long, keys array<long>, finer array<long>")
+    sets = [(i, np.arange(100, dtype=np.uint64) + np.uint64(i if i < 2 else 1000 * i)) for i in range(len(rows))]
+    met = simhash.similar_links(nodes)
+    assert (0, 1) not in {(r["a"], r["b"]) for r in met.collect()}
+    found = simhash.similar_classes(nodes, met, spark.createDataFrame([(i, x.tobytes()) for i, x in sets], "id long, set binary"))
+    assert sorted(map(tuple, found.where("node <> root").collect())) == [(1, 0)]
+
+
 def test_keep_first_keeps_a_row_of_each_class(spark):
     long, other = " ".join(f"alpha{i} beta" for i in range(30)), " ".join(f"gamma{i} delta" for i in range(30))
     rows = [(1, long, "x", 1), (1, other, "x", 1), (2, long, "x", 1), (1, long, "y", 1), (1, long, "x", 1), (3, None, "n", 1), (4, "", "n", 1), (None, other, "z", 1)]
