@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -13,6 +13,16 @@ from pyspark.sql.types import ArrayType, StringType
 SPACE = r"[\s\x{FEFF}]"
 _WORD = r"[\p{L}\p{N}]+"
 _ASTRAL = r"[\x{10000}-\x{10FFFF}]"
+#: Bytes of an Arrow batch, as far as single rows allow: a batch is held by Spark and, as text objects several times its size, by Python.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession | None) -> None:
+    """Bound the session's Arrow batches by ``BATCH_BYTES``, if its own bound isn't lower; else 10,000 rows of any length are one batch."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = ((spark and spark.conf.get(name, None)) or "").rstrip("bB")
+    if spark and (not now.isdigit() or int(now) > BATCH_BYTES):
+        spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
 @F.pandas_udf(StringType())

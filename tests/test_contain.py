@@ -29,6 +29,18 @@ def test_needles_meet_the_texts_that_have_them(spark, monkeypatch, most, part):
     assert "NestedLoop" not in plan_of(got) and "Cartesian" not in plan_of(got)
 
 
+def test_texts_give_no_grams_but_the_needles(spark, monkeypatch):
+    """Texts used to give a row for each of their distinct grams."""
+    monkeypatch.setattr(contain, "PART", 7)
+    rng = random.Random(9)
+    texts = [(i, "".join(rng.choice("abc é漢😀") for _ in range(rng.randint(0, 30)))) for i in range(300)] + [(400, None), (401, "")]
+    grams = list(dict.fromkeys(g for x in ("ab", "b", "é漢", "abc ab", "cab", "c a", "caba", "bca", "漢😀é", "aaaaaaaaaaaaaaaa") for g in contain._own_grams(x.encode())))
+    df = spark.createDataFrame(texts, "id int, text string").repartition(3)
+    got = sorted((r["id"], r["g"]) for r in contain._having(df, "text", grams, "g").collect())
+    want = sorted((i, k) for i, t in texts if t for k, (n, x) in enumerate(grams) if x.to_bytes(n, "little") in t.encode())
+    assert got == want and len(want) > 300
+
+
 def test_no_needles_and_no_texts(spark):
     texts = spark.createDataFrame([(1, "a")], "id int, text string")
     assert contain.meet(texts, "text", spark.createDataFrame([], "n int, needle string")).collect() == []
