@@ -69,6 +69,7 @@ def composed(text: Column, compose: bool = True) -> Column:
     """NFKC; texts of ASCII alone, which have it already, don't go to Python. ``compose=False`` for texts known to be in NFKC keeps the plan free of it."""
     if not compose:
         return text
+    small_batches(SparkSession.getActiveSession())
     plain = F.octet_length(text) == F.length(text)
     return F.when(plain, text).otherwise(nfkc(F.when(~plain, text)))
 
