@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql.types import ArrayType, StringType
 
 #: White space of scripts that also know the byte-order mark: Unicode's, and U+FEFF.
 SPACE = r"[\s\x{FEFF}]"
+#: The same characters, written out: Unicode's white space and U+FEFF.
+BLANKS = "".join(map(chr, (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 _WORD = r"[\p{L}\p{N}]+"
 _ASTRAL = r"[\x{10000}-\x{10FFFF}]"
 #: Bytes of an Arrow batch, as far as single rows allow: a batch is held by Spark and, as text objects several times its size, by Python.
@@ -39,7 +42,7 @@ def nfkc_each(lists: pd.Series) -> pd.Series:
 
 def trim(text: Column) -> Column:
     """Strip Unicode white space and byte-order marks at both ends."""
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def compact(text: Column) -> Column:
@@ -52,10 +55,15 @@ def normalize_corpus(text: Column) -> Column:
     return trim(F.regexp_replace(text, "\r\n", "\n"))
 
 
+def _where(text: Column, signs: list[str], pattern: str, by: str) -> Column:
+    """The pattern replaced, in texts that have one of the signs; others, which a replacement wouldn't change, are not searched by the pattern."""
+    return F.element_at(F.transform(F.array(text), lambda x: F.when(reduce(Column.__or__, [F.contains(x, F.lit(y)) for y in signs]), F.regexp_replace(x, pattern, by)).otherwise(x)), 1)
+
+
 def fold_search(composed: Column) -> Column:
     """The search form of a text that is composed already: line ends, blanks, case, ends."""
-    lines = F.regexp_replace(composed, "\r\n?", "\n")
-    blanks = F.regexp_replace(F.regexp_replace(lines, "[\t ]+", " "), " *\n *", "\n")
+    lines = _where(composed, ["\r"], "\r\n?", "\n")
+    blanks = _where(_where(lines, ["\t", "  "], "[\t ]+", " "), [" \n", "\n "], " *\n *", "\n")
     return trim(F.lower(blanks))
 
 

@@ -50,3 +50,15 @@ def test_batches_to_python_are_bounded(spark):
         assert spark.conf.get(name) == "1000b"
     finally:
         spark.conf.set(name, before)
+
+
+def test_texts_are_folded_as_by_the_patterns(spark):
+    """The patterns go to texts with one of their signs alone, and the ends are cut without one."""
+    rng = random.Random(1)
+    some, every = "aB \n\r\t", "aB" + tx.BLANKS + "\u180e\u200b\x1c\x1fé😀İ"
+    rows = [(i, "".join(rng.choice(some if i % 2 else every) for _ in range(rng.randint(0, 14)))) for i in range(3000)] + [(9999, None)]
+    t = F.col("t")
+    ends = lambda x: F.regexp_replace(x, rf"(?U)^{tx.SPACE}+|{tx.SPACE}+$", "")
+    blanks = F.regexp_replace(F.regexp_replace(t, "\r\n?", "\n"), "[\t ]+", " ")
+    df = spark.createDataFrame(rows, "i int, t string")
+    assert df.where(~tx.trim(t).eqNullSafe(ends(t)) | ~tx.fold_search(t).eqNullSafe(ends(F.lower(F.regexp_replace(blanks, " *\n *", "\n"))))).count() == 0
