@@ -24,6 +24,8 @@ EXACT, COMPACT, COVERAGE, HEADING, BM25, CONTAINS, AUTHORITY = 3000.0, 1800.0, 8
 K1, B = 1.2, 0.75
 #: Queries up to which ``search_many`` broadcasts what it knows of them, passages in a block of the index, and passages with the rarest token that are tried first, for each result.
 MAX_QUERIES, BLOCK, SEEDS = 2000, 4096, 8
+#: Pairs of query and passage up to which they go to the passages instead of being joined by a shuffle of both.
+MAX_PAIRS = 1 << 18
 
 
 class QueryError(ValueError):
@@ -143,7 +145,7 @@ class Index:
     """Tables that serve any number of searches; see ``build_index``."""
 
     passages: DataFrame  # those of prepare, and __no
-    postings: DataFrame  # word, block, most (occurrences in a passage), shortest (tokens of a passage), entries (no, n, len)
+    postings: DataFrame  # word, block, df (passages), most (occurrences in a passage), shortest (tokens of a passage), entries (no, n, len)
     vocabulary: DataFrame  # word, df
     size: int
     mean: float
@@ -158,11 +160,16 @@ def build_index(prepared: DataFrame) -> Index:
     word, and the words of the vocabulary that contain it tell its exact number of occurrences in every passage.
     """
     passages = written(prepared.withColumn("__no", F.monotonically_increasing_id()), "passages")
-    seen = passages.select("__no", "__len", F.explode(words(F.col("__s"))).alias("word")).groupBy("__no", "__len", "word").agg(F.count("*").cast("int").alias("n"))
+    # a passage's words are counted where it is: equal ones are neighbours in their order
+    ordered = once(passages.select("__no", "__len", "__s"), __w=F.sort_array(words(F.col("__s")))).where(F.size("__w") > 0)
+    w, n = F.col("__w"), F.size("__w")
+    starts = once(ordered, __from=F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1))))
+    ends = F.concat(F.slice("__from", 2, F.size("__from")), F.array(n))
+    seen = starts.select("__no", "__len", F.inline(F.zip_with("__from", ends, lambda a, b: F.struct(F.get(w, a).alias("word"), (b - a).alias("n")))))
     block = F.call_function("shiftright", F.col("__no"), F.lit(BLOCK.bit_length() - 1))
-    listed = seen.groupBy("word", block.alias("block")).agg(F.max("n").alias("most"), F.min("__len").alias("shortest"), F.collect_list(F.struct(F.col("__no").alias("no"), "n", F.col("__len").alias("len"))).alias("entries"))
+    listed = seen.groupBy("word", block.alias("block")).agg(F.count("*").alias("df"), F.max("n").alias("most"), F.min("__len").alias("shortest"), F.collect_list(F.struct(F.col("__no").alias("no"), "n", F.col("__len").alias("len"))).alias("entries"))
     postings = written(listed.sortWithinPartitions("word", "block"), "postings")
-    vocabulary = postings.groupBy("word").agg(F.sum(F.size("entries").cast("long")).alias("df"))
+    vocabulary = postings.groupBy("word").agg(F.sum("df").alias("df"))
     row = passages.agg(F.count("*").alias("n"), F.coalesce(F.avg("__len"), F.lit(0.0)).alias("mean"), F.coalesce(F.max("authority"), F.lit(0)).alias("top"), F.coalesce(F.max(F.col("__h") != ""), F.lit(False)).alias("headed")).first()
     return Index(passages, postings, written(vocabulary, "vocabulary"), row["n"], row["mean"], float(row["top"]), row["headed"])
 
@@ -181,7 +188,7 @@ def search_many(prepared: DataFrame, queries: DataFrame, limit: int = S.DEFAULT_
     left out, and for the others only those blocks of the index are read, and only those passages scored, whose bounds do.
     Queries without a token are found by their phrase alone. ``index``: one of ``prepared``, else it is made here.
     """
-    index = index or build_index(prepared)
+    index = index or build_index(prepared.select(*dict.fromkeys([key, "authority", "__s", "__h", "__c", "__len", "__tokens"])))
     folded = queries.select("query_id", normalize_search(F.col("query"), compose).alias("__q")).where("__q <> ''").distinct()
     asked = written(folded.withColumn("__t", tokens(F.col("__q"))).withColumn("__id", F.monotonically_increasing_id()), "queries")
     few = (lambda df: F.broadcast(df)) if asked.count() <= MAX_QUERIES else (lambda df: df)
@@ -200,8 +207,8 @@ def search_many(prepared: DataFrame, queries: DataFrame, limit: int = S.DEFAULT_
     terms, q = F.col("__t"), F.col("__q")
 
     def scored(pairs: DataFrame) -> DataFrame:
-        """The pairs __id, __no that match, with the passage's columns that rank them."""
-        both = index.passages.join(pairs, "__no").join(few(ready), "__id")
+        """The pairs __id, __no (a written table) that match, with the passage's columns that rank them."""
+        both = index.passages.join(F.broadcast(pairs) if pairs.count() <= MAX_PAIRS else pairs, "__no").join(few(ready), "__id")
         rows = _features(both, q, terms).withColumn("score", _score(q, terms, F.col("__df"), n, F.lit(float(index.mean))))
         return rows.select("__id", "__no", "query_id", key, "authority", "score")
 
@@ -233,7 +240,7 @@ def search_many(prepared: DataFrame, queries: DataFrame, limit: int = S.DEFAULT_
     listed = entries(needed, blocks.select(F.explode("tokens").alias("token"), "block").distinct()).withColumn("block", F.call_function("shiftright", F.col("no"), F.lit(BLOCK.bit_length() - 1)))
     met = listed.join(few(bounded), "token").join(few(blocks.select("__id", "block")), ["__id", "block"], "left_semi")
     summed = met.groupBy("__id", "no", "beat", "rest").agg(F.sum(_weight(F.col("tf"), F.col("len"), F.col("idf"), index) + F.lit(COVERAGE) / F.col("size")).alias("most"))
-    left = summed.where(F.col("most") + F.col("rest") >= F.col("beat")).select("__id", F.col("no").alias("__no")).join(tried, ["__id", "__no"], "left_anti")
+    left = written(summed.where(F.col("most") + F.col("rest") >= F.col("beat")).select("__id", F.col("no").alias("__no")).join(tried, ["__id", "__no"], "left_anti"), "left")
     every = first.unionByName(scored(left))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("authority"), key))
     return every.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", key, "score", "rank")

@@ -56,6 +56,19 @@ def test_every_query_as_by_itself(spark, monkeypatch):
         ready.unpersist()
 
 
+def test_words_are_counted_where_the_passage_is(spark):
+    import re
+    from collections import Counter
+
+    index = search.build_index(corpus(spark))
+    texts = {r["__no"]: (r["__s"], r["__len"]) for r in index.passages.collect()}
+    want = {(w, no, n, size) for no, (s, size) in texts.items() for w, n in Counter(re.findall(r"[^\W_]+", s)).items()}
+    rows = index.postings.collect()
+    assert {(r["word"], e["no"], e["n"], e["len"]) for r in rows for e in r["entries"]} == want and len(want) > 500
+    assert all(r["df"] == len(r["entries"]) and r["most"] == max(e["n"] for e in r["entries"]) and r["shortest"] == min(e["len"] for e in r["entries"]) for r in rows)
+    assert {r["word"]: r["df"] for r in index.vocabulary.collect()} == Counter(w for w, *_ in want)
+
+
 def test_empty_sets(spark):
     ready = corpus(spark, 5)
     queries = spark.createDataFrame([(1, "the")], "query_id int, query string")
