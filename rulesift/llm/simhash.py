@@ -30,7 +30,9 @@ gives a spanning forest of its links within the radius, near ones first, and eac
 group that the first shell gives it, never all pairs. Every link is then checked
 exactly, by the sets of shingles of its two texts, a text with many links being sent to several tasks; only links of 0.8 or
 more count. Checks go in rounds: first each text's nearest link; then, of the links that are left between different
-classes of good ones, the nearest for each pair of classes, and four times as many with each round, until none is left.
+classes of good ones, the nearest for each pair of classes, and four times as many with each round, until no more are left
+than have been checked; these are checked together. Each round contracts its own good links alone, between the classes
+that the ones before have made.
 What the forest and ``NEAREST`` have passed over is made up for: the buckets whose texts are still in different classes
 are searched again, for each text's ``APART`` nearest in other classes, and eight times as many with each round, until no
 text has more. In the end every pair within the radius that shares a bucket is in one class or has been checked.
@@ -434,11 +436,15 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of each class that ``edges`` (a, b) joins; isolated nodes are absent.
 
     Alternating large-star and small-star steps: every round hooks nodes to the smallest neighbour, and the longest
-    path shrinks by a constant factor. Each round is a few shuffles over links alone; it ends when no link changes.
+    path shrinks by a constant factor. Each round is a few shuffles over links alone; it ends when every link leads to
+    the smallest node of its class, for links that do from the start before the first round.
     """
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
-    mark = None
     while True:
+        # stars: no node with a link to a smaller one has a second link
+        seen = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+        if seen.groupBy("x").agg(F.max("up").alias("up"), F.count("*").alias("n")).where("up = 1 AND n > 1").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         # large star: the larger neighbours of a node go to the smallest of it and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -448,10 +454,6 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, edges = edges, materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "star")
         discard(last)
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if mark == tuple(now):
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = tuple(now)
 
 
 def between(links: DataFrame, roots: DataFrame) -> DataFrame:
@@ -461,25 +463,50 @@ def between(links: DataFrame, roots: DataFrame) -> DataFrame:
     return links.where("root_a <> root_b").select("a", "b", "bits", F.least("root_a", "root_b").alias("x"), F.greatest("root_a", "root_b").alias("y"))
 
 
-def good_classes(met: DataFrame, sets: DataFrame, good: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The good links (a, b), those of ``met`` (a, b, bits) whose texts' sets are similar enough, with those that were found before, and node and root of their classes.
+def merged(roots: DataFrame, good: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after the links ``good`` (x, y) between roots and nodes without a class have joined them.
 
-    A link is checked unless the good ones have joined its ends before.
+    Only the new links are contracted; the nodes of a class follow its root.
     """
-    ends = met.select("a", "b", "bits", F.col("a").alias("x")).unionByName(met.select("a", "b", "bits", F.col("b").alias("x")))
-    tested = materialize(ends.groupBy("x").agg(F.min(F.struct("bits", "a", "b")).alias("best")).select("best.a", "best.b").distinct(), "simhash-tested")
-    first = alike(tested, sets)
-    left, most, good = met, 1, materialize(first if good is None else good.unionByName(first), "simhash-good")
-    while True:
-        roots = components(good)
-        left = materialize(between(left.join(tested, ["a", "b"], "left_anti"), roots), "simhash-left")
-        if left.isEmpty():
-            discard(left, tested)
-            return good, roots
-        nearest = F.row_number().over(Window.partitionBy("x", "y").orderBy("bits", "a", "b"))
-        tested = materialize(left.withColumn("place", nearest).where(F.col("place") <= most).select("a", "b"), "simhash-tested")
-        good = materialize(good.unionByName(alike(tested, sets)), "simhash-good")
-        left, most = left.select("a", "b", "bits"), 4 * most
+    heads = components(good.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    moved = roots.join(heads.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return materialize(moved.unionByName(heads), "simhash-roots")
+
+
+def good_classes(met: DataFrame, sets: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """node and root of the classes ``roots`` (none: every node by itself) after those of the links ``met`` (a, b, bits) have joined them whose texts' sets are similar enough.
+
+    A link is checked unless the good ones have joined its ends before. Once no more links are left than have been
+    checked, all of them are: that costs at most as much again, and saves the rounds for a few links each.
+    """
+    if roots is None:
+        left = met.select("a", "b", "bits", F.col("a").alias("x"), F.col("b").alias("y"))
+        roots = met.where(F.lit(False)).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    else:
+        left = materialize(between(met, roots), "simhash-left")
+    n, checked, most = left.count(), 0, 1
+    while n:
+        if n <= checked:
+            tested = left
+        elif not checked:
+            ends = left.select("*", F.col("a").alias("end")).unionByName(left.select("*", F.col("b").alias("end")))
+            tested = materialize(ends.groupBy("end").agg(F.min(F.struct("bits", "a", "b", "x", "y")).alias("best")).select("best.*").distinct(), "simhash-tested")
+        else:
+            nearest = F.row_number().over(Window.partitionBy("x", "y").orderBy("bits", "a", "b"))
+            tested, most = materialize(left.withColumn("place", nearest).where(F.col("place") <= most).drop("place"), "simhash-tested"), 4 * most
+        good = materialize(tested.select("a", "b", "x", "y").join(alike(tested.select("a", "b"), sets), ["a", "b"]).select("x", "y").distinct(), "simhash-good")
+        if not good.isEmpty():
+            last, roots = roots, merged(roots, good)
+            discard(last)
+        discard(good)
+        if n <= checked:
+            break
+        checked += tested.count()
+        last, left = left, materialize(between(left.select("a", "b", "bits").join(tested.select("a", "b"), ["a", "b"], "left_anti"), roots), "simhash-left")
+        n = left.count()
+        discard(last, tested)
+    discard(left)
+    return roots
 
 
 def similar_classes(nodes: DataFrame, met: DataFrame, sets: DataFrame) -> DataFrame:
@@ -488,7 +515,7 @@ def similar_classes(nodes: DataFrame, met: DataFrame, sets: DataFrame) -> DataFr
     met: the first links, in which every text with such a pair has one, and sets: the sets of their ends. The links that
     they have left out are looked for between different classes alone: copies are not expanded into pairs.
     """
-    good, roots = good_classes(met, sets)
+    roots = good_classes(met, sets)
     own = nodes.select("id", *[f"w{k}" for k in range(BITS // 64)], "keys", "finer").join(sets.select("id"), "id", "left_semi")
     done, most = met.select("a", "b"), APART
     while True:
@@ -497,9 +524,8 @@ def similar_classes(nodes: DataFrame, met: DataFrame, sets: DataFrame) -> DataFr
         fresh = materialize(more.join(done, ["a", "b"], "left_anti").select("a", "b", "bits"), "simhash-fresh")
         last = more.where("more").isEmpty()
         discard(more)
-        if not fresh.isEmpty():
-            # links that were met before are checked or within a class
-            good, roots = good_classes(fresh, sets, good)
+        # links that were met before are checked or within a class
+        roots = good_classes(fresh, sets, roots)
         if last:
             return roots
         done, most = done.unionByName(fresh.select("a", "b")), 8 * most

@@ -212,6 +212,39 @@ def test_components_of_a_long_path(spark):
     assert set(got.values()) <= {0, 100} and all(got[i] == 0 for i in range(1, 61)) and got[101] == 100
 
 
+def recorded_tables(monkeypatch):
+    """The names of the tables that the stage writes from now on."""
+    names, write = [], simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: (names.append(name), write(df, name))[1])
+    return names
+
+
+def test_stars_are_classes_without_a_round(spark, monkeypatch):
+    tables = recorded_tables(monkeypatch)
+    edges = [(9, i) for i in range(10, 30)] + [(40, 41), (41, 40), (5, 5)]
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 9 for i in range(10, 30)} | {41: 40} and tables == ["star"]
+
+
+def test_classes_in_rounds_are_those_of_all_similar_links(spark, monkeypatch):
+    """Links of many classes, found in two parts: the classes are those of all links between similar sets, new links alone are contracted, and there are few rounds."""
+    rng, contracted, of = random.Random(11), [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda edges: (contracted.append(edges.count()), of(edges))[1])
+    tables = recorded_tables(monkeypatch)
+    sets = {i: frozenset(range(200 * (i % 9), 200 * (i % 9) + 100)) ^ frozenset(rng.sample(range(200 * (i % 9), 200 * (i % 9) + 100), rng.randint(0, 18))) for i in range(150)}
+    pairs = [(a, b) for a in sets for b in sets if a < b and (a % 9 == b % 9 or rng.random() < 0.1)]
+    rng.shuffle(pairs)
+    links = [(a, b, rng.randint(0, 56)) for a, b in pairs]
+    frame = spark.createDataFrame([(i, np.array(sorted(x), np.uint64).tobytes()) for i, x in sets.items()], "id long, set binary")
+    first, second = (spark.createDataFrame(x, "a long, b long, bits int") for x in (links[:600], links[600:]))
+    got = {r["node"]: r["root"] for r in simhash.good_classes(second, frame, simhash.good_classes(first, frame)).collect()}
+    want = roots(sets, [(a, b) for a, b, _ in links if jaccard(sets[a], sets[b]) >= 0.8])
+    least = {r: min(i for i in want if want[i] == r) for r in want.values()}
+    assert got == {i: least[want[i]] for i in want if least[want[i]] != i} and len(got) > 60
+    # each part's first round has many links, all others few, and no link comes twice
+    assert sorted(contracted)[-3] < 20 and tables.count("simhash-left") < 8 and tables.count("star") < 20
+
+
 def stripped(rows):
     words = [SPLIT.findall(t or "") for _, t in rows]
     n = Counter(tuple(w[k : k + 35]) for w in words for k in range(len(w) - 34))
